@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import media
+from marlstone.llm import bpe, media, packing
 from marlstone.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read_media(media.to_media(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_bpe_codec": op5_bpe_codec,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op10_media_columns": op10_media_columns,
     }
 
