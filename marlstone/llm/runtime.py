@@ -52,10 +52,11 @@ def bounded_sample(df: DataFrame, strata: list[str], key: list[Column], bound: i
 
     The expected number is `bound`; the hash decides row by row, without sorting or collecting anything.
     Used for fitting only; every corpus statistic is computed over all rows."""
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    joined = df.join(F.broadcast(sizes), strata) if strata else df.crossJoin(F.broadcast(sizes))
     share = F.pmod(F.xxhash64(F.lit(20240229), *key), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return joined.filter(share < F.lit(float(bound)) / F.col("_n")).drop("_n")
+    if not strata:
+        return df.filter(share < float(bound) / max(1, df.count()))
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+    return df.join(F.broadcast(sizes), strata).filter(share < F.lit(float(bound)) / F.col("_n")).drop("_n")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
