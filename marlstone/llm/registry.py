@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, langid, media, packing, quality
+from marlstone.llm import bpe, langid, licenses, media, packing, quality, sql, urlfilter
 from marlstone.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document that its path numbers, so that document's labels are the page's outcome."""
+    bad = F.greatest(F.col("quality") == 0, F.col("toxic") == 1).cast("int")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), bad.alias("bad")))
+
+
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,6 +32,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -35,13 +46,15 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_url_filter": op3_url_filter,
         "op5_bpe_codec": op5_bpe_codec,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_license_scan": op8_license_scan,
         "op9_language_id": op9_language_id,
         "op10_media_columns": op10_media_columns,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": sql.OP3}
