@@ -20,7 +20,7 @@ moments AS (SELECT l, count(*) AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS
 between_ AS (SELECT l, k, b / n * (1 - b / n) AS w, CASE WHEN k >= 2 THEN (ra - n * (b / n) * (b / n) - (k - 1) * (b / n * (1 - b / n))) / (n - sq / n) END AS v FROM moments),
 strength AS (SELECT l, CASE WHEN k < 2 OR v <= 0 THEN 1000.0 ELSE least(1000.0, greatest(0.5, w / v - 1)) END::DOUBLE AS m FROM between_),
 ks AS (SELECT coalesce((SELECT m FROM strength WHERE l = 's'), 1000.0) AS ks, coalesce((SELECT m FROM strength WHERE l = 'd'), 1000.0) AS kd, coalesce((SELECT m FROM strength WHERE l = 'h'), 1000.0) AS kh,
-       (coalesce(sum(bad), 0) + 0.5)::DOUBLE / (coalesce(sum(n), 0) + 1) AS p0 FROM suffixes),
+       (coalesce(sum(bad), 0) + 0.5)::DOUBLE / (coalesce(sum(n), 0) + 10) AS p0 FROM suffixes),
 ps AS (SELECT suffix, (bad + ks * p0) / (n + ks) AS p FROM suffixes, ks),
 pd AS (SELECT domain, (d.bad + kd * ps.p) / (d.n + kd) AS p FROM domains d JOIN ps USING (suffix), ks),
 ab AS (SELECT host, bad + kh * pd.p AS a, n - bad + kh * (1 - pd.p) AS b FROM hosts JOIN pd USING (domain), ks),

@@ -10,7 +10,7 @@ one heavy key only in the join back, which Spark splits at run time.
 
 Cases: a null url or one without `://` has empty host and path, no rule, and the reputation of the empty host; rules are
 literal, of two that fit the longer (host and path together) wins, then the smaller text; without labelled pages the
-prior is one half and nothing is blocked by reputation; repeated rows are judged alike.
+prior is 0.05 and nothing is blocked by reputation; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def reputation(counts: DataFrame) -> DataFrame:
     counts = counts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
     suffix, domain = _level(counts, "suffix", None), _level(counts, "domain", "suffix")
     total, bad = suffix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    p0 = (bad + 0.5) / (total + 1)
+    p0 = (bad + 0.5) / (total + 10)
     ks, kd, kh = (_strength(x) for x in (suffix, domain, counts))
     s = suffix.select("suffix", ((F.col("bad") + ks * p0) / (F.col("n") + ks)).alias("p_suffix"))
     d = domain.join(s, "suffix").select("domain", ((F.col("bad") + kd * F.col("p_suffix")) / (F.col("n") + kd)).alias("p_domain"))
