@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, langid, licenses, linededup, media, packing, quality, sql, urlfilter
+from marlstone.llm import bpe, langid, licenses, linededup, media, ngramjoin, packing, quality, sql, urlfilter
 from marlstone.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"), width=4, per_cent=85)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document that its path numbers, so that document's labels are the page's outcome."""
     bad = F.greatest(F.col("quality") == 0, F.col("toxic") == 1).cast("int")
@@ -50,6 +54,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_url_filter": op3_url_filter,
         "op4_line_dedup": op4_line_dedup,
         "op5_bpe_codec": op5_bpe_codec,
