@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, langid, licenses, linededup, media, ngramjoin, packing, quality, sql, urlfilter
+from marlstone.llm import bpe, langid, licenses, linededup, media, ngramjoin, packing, quality, sql, topk, urlfilter
 from marlstone.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"), width=4, per_cent=85)
 
@@ -54,6 +58,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_exact_top_k": op1_exact_top_k,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_url_filter": op3_url_filter,
         "op4_line_dedup": op4_line_dedup,
@@ -67,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": sql.OP3}
+    return {"op1_exact_top_k": sql.OP1, "op3_url_filter": sql.OP3}

@@ -28,3 +28,13 @@ bound AS (SELECT host, a / (a + b) - 1.0 * sqrt(a * b / ((a + b) * (a + b) * (a
 SELECT p.page_id, p.host, p.path, rule, coalesce(rv, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, round(low, 6) AS bad_bound
 FROM p JOIN ruled r ON p.page_id IS NOT DISTINCT FROM r.page_id AND p.host = r.host AND p.path = r.path LEFT JOIN bound ON p.host = bound.host
 """
+
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
