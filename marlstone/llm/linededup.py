@@ -27,18 +27,25 @@ from pyspark.sql.window import Window
 from marlstone.llm.runtime import through_table
 
 MIN_WORDS, NEAR_WORDS = 5, 10
-#: Documents with candidate lines are told by this many id hashes at most, before their texts are shuffled.
-BUCKETS = 1 << 17
+#: Halves and documents that matter are told by this many hashes at most, before rows are shuffled. Speed only.
+BUCKETS = 1 << 19
 _MASK = (1 << 40) - 1
 
 
 def line_words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[\t-\r ]+"), lambda w: w != "")
+    """The lower-cased words; other white space than blanks is rare, so it becomes blanks first and the split is plain."""
+    plain = F.when(line.rlike("[\t\x0b-\r]"), F.translate(line, "\t\x0b\x0c\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
+
+
+def _once(c: Column) -> Column:
+    """The same value from a generator, so that an expression used several times above is evaluated once."""
+    return F.explode(F.array(c))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, line and words of each line that is judged."""
-    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", line_words(F.col("raw")).alias("words"))
+    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", _once(line_words(F.col("raw"))).alias("words"))
     return at.filter(F.size("words") >= MIN_WORDS)
 
 
@@ -52,67 +59,61 @@ def _first(doc_id: Column, line: Column) -> Column:
 
 
 def _halves() -> Column:
-    """Keys of a line's halves, for lines of its own length and of one word less."""
+    """Keys of a line's halves, for lines of its own length and of one word less: first and last halves alternate."""
     w, n = F.col("words"), F.size("words")
-    def key(c, k):
-        return F.array(F.xxhash64(F.lit(k), c, F.slice(w, 1, c)), F.xxhash64(F.lit(k + 1), c, F.slice(w, -c, c)))
+    def key(c):
+        return F.array(F.xxhash64(F.lit(1), c, F.slice(w, 1, c)), F.xxhash64(F.lit(2), c, F.slice(w, -c, c)))
     whole, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.when(n >= NEAR_WORDS, F.array_distinct(F.concat(key(whole, 1), key(less, 1))))
+    return F.when(n >= NEAR_WORDS, F.when(whole == less, key(whole)).otherwise(F.concat(key(whole), key(less))))
+
+
+def _buckets(keys: DataFrame, of: Column, n: int) -> DataFrame:
+    """The distinct buckets of some keys: n rows at most, whatever the input, so they may be broadcast."""
+    return F.broadcast(keys.select(F.pmod(F.xxhash64(of), F.lit(n)).alias("_b")).distinct())
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """From (first, h1, h2, words): a row for each deleted word (its place k) and one for the whole line (k null)."""
+    """From (first, words): a row for each deleted word, as a line of equal length and as one of a word less would have
+    it, and one for the whole line (whole: true for this, false for those of a word less, null for equal length)."""
     def value(seed: int, word: Column, k: Column) -> Column:
         return F.xxhash64(F.lit(seed), word, k).bitwiseAND(F.lit(_MASK))
-    each = lines.select("first", "h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
-    for s in (1, 2):
-        each = each.withColumn(f"a{s}", value(s, F.col("w"), F.col("k"))).withColumn(f"b{s}", value(s, F.col("w"), F.col("k") - 1))
-    line = Window.partitionBy("h1", "h2", "n")
-    upto = line.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    sums = each.select("first", "h1", "h2", "n", "k", *(F.col(f"{c}{s}") for c in "ab" for s in (1, 2)), *(F.sum(f"{c}{s}").over(line).alias(f"all_{c}{s}") for c in "ab" for s in (1, 2)), *(F.sum(f"{c}{s}").over(upto).alias(f"to_{c}{s}") for c in "ab" for s in (1, 2)))
-    same = [(F.col(f"all_a{s}") - F.col(f"a{s}")).alias(f"same{s}") for s in (1, 2)]
-    short = [(F.col(f"to_a{s}") - F.col(f"a{s}") + F.col(f"all_b{s}") - F.col(f"to_b{s}")).alias(f"short{s}") for s in (1, 2)]
-    return sums.select("first", "h1", "h2", "n", "k", "all_a1", "all_a2", *same, *short)
-
-
-def _near(distinct: DataFrame, docs: DataFrame, halves: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that go because an earlier line is near."""
+    each = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
+    each = each.select("first", "n", "k", *(value(s, F.col("w"), F.col("k")).alias(f"a{s}") for s in (1, 2)), *(value(s, F.col("w"), F.col("k") - 1).alias(f"b{s}") for s in (1, 2)))
+    line = Window.partitionBy("first", "n").orderBy("k")
+    upto, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    none = F.lit(0).cast("long")
+    before = [F.coalesce(F.sum(f"a{s}").over(upto), none).alias(f"p{s}") for s in (1, 2)]
+    after = [F.coalesce(F.sum(f"{c}{s}").over(later), none).alias(f"{c}s{s}") for c in "ab" for s in (1, 2)]
+    sums = each.select("first", "n", "k", "a1", "a2", *before, *after)
+    same = F.struct(F.xxhash64(F.lit("="), "n", "k", F.col("p1") + F.col("as1"), F.col("p2") + F.col("as2")).alias("key"), F.lit(None).cast("boolean").alias("whole"))
+    short = F.struct(F.xxhash64(F.lit("w"), F.col("n") - 1, F.col("p1") + F.col("bs1"), F.col("p2") + F.col("bs2")).alias("key"), F.lit(False).alias("whole"))
+    itself = F.struct(F.xxhash64(F.lit("w"), "n", F.col("a1") + F.col("as1"), F.col("a2") + F.col("as2")).alias("key"), F.lit(True).alias("whole"))
+    return sums.select("first", F.explode(F.when(F.col("k") == 0, F.array(same, short, itself)).otherwise(F.array(same, short))).alias("v")).select("first", "v.key", "v.whole")
+
+
+def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+    """The first places of the lines that go because an earlier line is near."""
     # Pigeonhole: lines that share a half with another line.
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi").select("half")
-    can = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    at = distinct.join(can, ["h1", "h2"], "left_semi").select("first", "h1", "h2")
-    at = through_table(at, "line-candidates")
+    halves = distinct.filter("halves IS NOT NULL").select("first", F.explode("halves").alias("half"))
+    shared = through_table(halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo <> hi").select("half"), "shared-halves")
+    maybe = halves.withColumn("_k", F.pmod(F.xxhash64("half"), F.lit(BUCKETS))).join(_buckets(shared, F.col("half"), BUCKETS), F.col("_k") == F.col("_b"), "left_semi")
+    at = through_table(maybe.join(shared, "half", "left_semi").select("first").distinct(), "line-candidates")
     # Their words, from the documents that hold their first places.
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    some = at.select(bucket_of_first(BUCKETS).alias("b")).distinct()  # BUCKETS rows at most, whatever the input
-    holders = docs.withColumn("_b", bucket).join(F.broadcast(some), F.col("_b") == F.col("b"), "left_semi").select("doc_id", "text")
-    wanted = at.select(F.col("first.doc_id").alias("_id"), F.col("first.line").alias("_line"), "first", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    words = _lines(holders).select("doc_id", "line", "words", *_hashes(F.col("words")))
-    there = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("line") == F.col("_line")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
-    lines = words.join(wanted, there).select("first", "h1", "h2", "words").dropDuplicates(["h1", "h2"])
-    lines = through_table(lines, "line-words")
-
-    v = _variants(lines)
-    me = F.struct("first", "h1", "h2")
-    keys = ["n", "k", "same1", "same2"]
-    earliest = v.groupBy(*keys).agg(F.min(me).alias("by"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    changed = v.join(earliest, keys).filter(F.col("by.first") < F.col("first"))
-    # The whole line (n words) against lines of n + 1 words without word k.
-    whole = v.filter("k = 0").select("n", F.col("all_a1").alias("short1"), F.col("all_a2").alias("short2"), me.alias("whole"))
-    longer = v.select((F.col("n") - 1).alias("n"), "short1", "short2", me.alias("long"), "k")
-    pairs = longer.join(whole, ["n", "short1", "short2"])
-    more = pairs.filter(F.col("whole.first") < F.col("long.first")).select(F.col("long").alias("go"), F.col("whole").alias("by"))
-    fewer = pairs.filter(F.col("long.first") < F.col("whole.first")).groupBy("whole").agg(F.min("long").alias("by")).select(F.col("whole").alias("go"), "by")
-    found = changed.select(me.alias("go"), "by").unionByName(more).unionByName(fewer).groupBy("go").agg(F.min("by").alias("by"))
+    holders = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).join(_buckets(at, F.col("first.doc_id"), BUCKETS), F.col("_k") == F.col("_b"), "left_semi")
+    words = _lines(holders.select("doc_id", "text")).select(_first(F.col("doc_id"), F.col("line")).alias("first"), "words")
+    lines = through_table(words.join(at, "first", "left_semi").dropDuplicates(["first"]), "line-words")
+
+    v = through_table(_variants(lines), "variants")
+    low = lambda cond: F.min(F.when(cond, F.col("first")))
+    groups = v.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), low(F.col("whole")).alias("w"), low(~F.col("whole")).alias("l"))
+    met = groups.filter("(w IS NULL AND l IS NULL AND lo <> hi) OR (w IS NOT NULL AND l IS NOT NULL)")
+    # A line of equal length meets the key's earliest, the whole line the earliest of a word more, those the whole line.
+    by = F.when(F.col("whole").isNull(), F.col("lo")).when(F.col("whole"), F.col("l")).otherwise(F.col("w"))
+    found = v.join(met, "key").withColumn("by", by).filter(F.col("by") < F.col("first")).groupBy("first").agg(F.min("by").alias("by"))
     # Verify the distance on the words.
-    a = lines.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("words").alias("a"))
-    b = lines.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("words").alias("b"))
-    both = found.select("go.h1", "go.h2", F.col("by.h1").alias("b1"), F.col("by.h2").alias("b2")).join(a, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2"))).join(b, ["b1", "b2"])
-    return both.filter(within_one(F.col("a"), F.col("b"))).select("h1", "h2")
-
-
-def bucket_of_first(n: int) -> Column:
-    return F.pmod(F.xxhash64(F.col("first.doc_id")), F.lit(n))
+    a = lines.select("first", F.col("words").alias("a"))
+    b = lines.select(F.col("first").alias("by"), F.col("words").alias("b"))
+    return found.join(a, "first").join(b, "by").filter(within_one(F.col("a"), F.col("b"))).select("first")
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -128,23 +129,26 @@ def within_one(a: Column, b: Column) -> Column:
 def dedup(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, the text without the lines that go, and n_lines, n_exact and n_near (lines that went)."""
     docs = docs.drop("n_lines", "n_exact", "n_near")
-    lines = _lines(docs.select("doc_id", "text")).select("doc_id", "line", *_hashes(F.col("words")), _halves().alias("halves"))
-    lines = through_table(lines, "lines")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(_first(F.col("doc_id"), F.col("line"))).alias("first"), F.count("*").alias("n"))
+    judged = _lines(docs.select("doc_id", "text"))
+    lines = through_table(judged.select("doc_id", "line", *_hashes(F.col("words")), _halves().alias("halves")), "lines")
+    here = _first(F.col("doc_id"), F.col("line"))
+    distinct = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n"), F.min_by("halves", here).alias("halves"))
     distinct = through_table(distinct, "distinct-lines")
-    # A line's halves are counted once; equal lines have equal halves.
-    halves = lines.filter("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
-    near = _near(distinct, docs.select("doc_id", "text"), halves).withColumn("near", F.lit(True))
-    bad = distinct.join(near, ["h1", "h2"], "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    near = _near(distinct.select("first", "halves"), docs.select("doc_id", "text")).withColumn("near", F.lit(True))
+    bad = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc_id", "line", "h1", "h2").join(bad, ["h1", "h2"])
-    here = _first(F.col("doc_id"), F.col("line"))
     gone = gone.filter(F.col("near") | (F.col("first") != here)).withColumn("exact", F.col("first") != here)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1", "h2", "exact")).alias("gone"))  # lines of one document
-
-    # The old text is renamed: within a lambda its name would mean the new column of the same select.
-    left, right = docs.withColumnRenamed("text", "_text"), per_doc.withColumnRenamed("doc_id", "_id")
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*_rebuilt(docs))
+    per_doc = through_table(per_doc.withColumnRenamed("doc_id", "_id"), "lines-gone")
+
+    # Documents that lose nothing need not be shuffled.  The old text is renamed: within a lambda its name would mean
+    # the new column of the same select.
+    told = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    touched = _buckets(per_doc, F.col("_id"), BUCKETS)
+    plain = told.join(touched, F.col("_k") == F.col("_b"), "left_anti").drop("_k").withColumnRenamed("text", "_text").withColumn("gone", F.lit(None).cast(per_doc.schema["gone"].dataType))
+    some = told.join(touched, F.col("_k") == F.col("_b"), "left_semi").drop("_k").withColumnRenamed("text", "_text")
+    joined = some.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return joined.unionByName(plain).select(*_rebuilt(docs))
 
 
 def _rebuilt(docs: DataFrame) -> list[Column]:
