@@ -31,8 +31,9 @@ from marlstone.llm.runtime import ship_package, through_table
 from marlstone.llm.shingles import shingle_sets
 from marlstone.llm.textbatch import batches_of, mix, utf8
 
-#: Frequent tokens that the order knows of, and how often one must occur in a stretch of text to be counted.
-HEAVY, LOCAL = 1 << 17, 4
+#: Frequent tokens that the order knows of, and how often one must occur in a stretch of text, of so many
+#: tokens, to be counted.
+HEAVY, LOCAL, STRETCH = 1 << 17, 4, 4_000_000
 #: Classes in a group at most (expected), minhashes, pairs that one call verifies (expected).
 GROUP, HASHES, AT_ONCE = 256, 3, 512
 #: Documents with candidates are told by this many id hashes at most, before their texts are shuffled.
@@ -46,12 +47,23 @@ def least_overlap(n: int, per_cent: int) -> int:
 
 
 def _frequent(width: int):
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, times = np.unique(np.concatenate(sets), return_counts=True)
+        often = times >= LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
+
     def run(batches):
+        sets, size = [], 0
         for batch in batches:
-            for _, data, offsets in batches_of(utf8(batch.column(0)), 32 << 20):
-                tokens, times = np.unique(np.concatenate([*shingle_sets(data, offsets, width), np.zeros(0, np.uint64)]), return_counts=True)
-                often = times >= LOCAL
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often])], names=["token", "times"])
+            for _, data, offsets in batches_of(utf8(batch.column(0))):
+                for s in shingle_sets(data, offsets, width):
+                    sets.append(s)
+                    size += len(s)
+                if size > STRETCH:
+                    yield counted(sets)
+                    sets, size = [], 0
+        if sets:
+            yield counted(sets)
 
     return run
 
@@ -62,7 +74,7 @@ def _signatures(width: int, per_cent: int, heavy):
     def run(batches):
         known, often = heavy.value
         for batch in batches:
-            for at, data, offsets in batches_of(utf8(batch.column(1)), 8 << 20):
+            for at, data, offsets in batches_of(utf8(batch.column(1))):
                 n, d1, d2, hashes, prefixes = [], [], [], [], []
                 for s in shingle_sets(data, offsets, width):
                     n.append(len(s))

@@ -86,7 +86,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 8 << 20):
+def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 3 << 20):
     """Cuts (data, offsets) into pieces of about `most` bytes of whole texts: (first text, data, offsets)."""
     data, offsets = arrays
     n, at = len(offsets) - 1, 0
