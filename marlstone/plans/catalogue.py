@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import prices
+from marlstone.plans import aggregates, catalog, joins, prices, windows
 
-_MODULES = (prices,)
+_MODULES = (prices, catalog, joins, aggregates, windows)
 
 
 def queries() -> dict:
