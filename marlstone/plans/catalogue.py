@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, catalog, joins, prices, windows
+from marlstone.plans import aggregates, catalog, evaluation, governance, identities, joins, prices, texts, windows
 
-_MODULES = (prices, catalog, joins, aggregates, windows)
+_MODULES = (prices, catalog, joins, aggregates, windows, texts, identities, evaluation, governance)
 
 
 def queries() -> dict:
