@@ -21,7 +21,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from marlstone.llm.runtime import through_table
@@ -44,8 +43,9 @@ def _once(c: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line and words of each line that is judged."""
-    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc_id", "line", _once(line_words(F.col("raw"))).alias("words"))
+    """doc_id, line, raw (a hash of the line as it stands) and words of each line that is judged."""
+    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    at = at.select("doc_id", "line", F.xxhash64("raw").alias("raw"), _once(line_words(F.col("raw"))).alias("words"))
     return at.filter(F.size("words") >= MIN_WORDS)
 
 
@@ -80,10 +80,9 @@ def _variants(lines: DataFrame) -> DataFrame:
     each = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
     each = each.select("first", "n", "k", *(value(s, F.col("w"), F.col("k")).alias(f"a{s}") for s in (1, 2)), *(value(s, F.col("w"), F.col("k") - 1).alias(f"b{s}") for s in (1, 2)))
     line = Window.partitionBy("first", "n").orderBy("k")
-    upto, later = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
-    none = F.lit(0).cast("long")
-    before = [F.coalesce(F.sum(f"a{s}").over(upto), none).alias(f"p{s}") for s in (1, 2)]
-    after = [F.coalesce(F.sum(f"{c}{s}").over(later), none).alias(f"{c}s{s}") for c in "ab" for s in (1, 2)]
+    upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = [(F.sum(f"a{s}").over(upto) - F.col(f"a{s}")).alias(f"p{s}") for s in (1, 2)]
+    after = [(F.sum(f"{c}{s}").over(whole) - F.sum(f"{c}{s}").over(upto)).alias(f"{c}s{s}") for c in "ab" for s in (1, 2)]
     sums = each.select("first", "n", "k", "a1", "a2", *before, *after)
     same = F.struct(F.xxhash64(F.lit("="), "n", "k", F.col("p1") + F.col("as1"), F.col("p2") + F.col("as2")).alias("key"), F.lit(None).cast("boolean").alias("whole"))
     short = F.struct(F.xxhash64(F.lit("w"), F.col("n") - 1, F.col("p1") + F.col("bs1"), F.col("p2") + F.col("bs2")).alias("key"), F.lit(False).alias("whole"))
@@ -130,36 +129,37 @@ def dedup(docs: DataFrame) -> DataFrame:
     """All columns of `docs`, the text without the lines that go, and n_lines, n_exact and n_near (lines that went)."""
     docs = docs.drop("n_lines", "n_exact", "n_near")
     judged = _lines(docs.select("doc_id", "text"))
-    lines = through_table(judged.select("doc_id", "line", *_hashes(F.col("words")), _halves().alias("halves")), "lines")
+    lines = through_table(judged.select("doc_id", "line", "raw", *_hashes(F.col("words")), _halves().alias("halves")), "lines")
     here = _first(F.col("doc_id"), F.col("line"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n"), F.min_by("halves", here).alias("halves"))
     distinct = through_table(distinct, "distinct-lines")
     near = _near(distinct.select("first", "halves"), docs.select("doc_id", "text")).withColumn("near", F.lit(True))
     bad = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("doc_id", "line", "h1", "h2").join(bad, ["h1", "h2"])
+    gone = lines.select("doc_id", "line", "raw", "h1", "h2").join(bad, ["h1", "h2"])
     gone = gone.filter(F.col("near") | (F.col("first") != here)).withColumn("exact", F.col("first") != here)
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1", "h2", "exact")).alias("gone"))  # lines of one document
+    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "raw", "exact")).alias("gone"))  # lines of one document
     per_doc = through_table(per_doc.withColumnRenamed("doc_id", "_id"), "lines-gone")
 
     # Documents that lose nothing need not be shuffled.  The old text is renamed: within a lambda its name would mean
     # the new column of the same select.
     told = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
     touched = _buckets(per_doc, F.col("_id"), BUCKETS)
-    plain = told.join(touched, F.col("_k") == F.col("_b"), "left_anti").drop("_k").withColumnRenamed("text", "_text").withColumn("gone", F.lit(None).cast(per_doc.schema["gone"].dataType))
+    none = F.lit(0).cast("long")
+    n_lines = F.when(F.col("text").isNull(), none).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    plain = told.join(touched, F.col("_k") == F.col("_b"), "left_anti").select(*docs.columns, n_lines.alias("n_lines"), none.alias("n_exact"), none.alias("n_near"))
     some = told.join(touched, F.col("_k") == F.col("_b"), "left_semi").drop("_k").withColumnRenamed("text", "_text")
-    joined = some.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    return joined.unionByName(plain).select(*_rebuilt(docs))
+    joined = some.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return _rebuilt(joined, docs.columns).unionByName(plain)
 
 
-def _rebuilt(docs: DataFrame) -> list[Column]:
-    parts = F.split("_text", "\n")
+def _rebuilt(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """From _text and gone: the text kept and the counts."""
+    split = joined.select("*", _once(F.split("_text", "\n")).alias("_parts"))
     # Rows that share an id may differ: a line goes only where it is the line that was judged.
-    def same(g):
-        words = line_words(F.element_at(parts, g["line"] + 1))
-        return (g["line"] < F.size(parts)) & (F.xxhash64(words) == g["h1"])
-    mine = F.filter(F.col("gone"), same)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.transform(mine, lambda g: g["line"]))
-    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(parts, i + 1)), "\n"))
-    count = lambda keep: F.when(F.col("gone").isNull(), 0).otherwise(F.size(F.filter(F.col("gone"), lambda g: same(g) & keep(g)))).cast(T.LongType())
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return [*columns, F.when(F.col("_text").isNull(), 0).otherwise(F.size(parts)).cast(T.LongType()).alias("n_lines"), count(lambda g: g["exact"]).alias("n_exact"), count(lambda g: ~g["exact"]).alias("n_near")]
+    mine = F.filter(F.coalesce("gone", F.array().cast(joined.schema["gone"].dataType)), lambda g: F.xxhash64(F.get(F.col("_parts"), g["line"])) == g["raw"])
+    told = split.select("*", _once(mine).alias("_mine"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.transform("_mine", lambda g: g["line"]))
+    text = F.when(F.size("_mine") == 0, F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n"))
+    exact = F.size(F.filter("_mine", lambda g: g["exact"])).cast("long")
+    lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_parts")).cast("long")
+    return told.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), lines.alias("n_lines"), exact.alias("n_exact"), (F.size("_mine").cast("long") - exact).alias("n_near"))
