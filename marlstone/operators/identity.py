@@ -36,6 +36,23 @@ def quarantine(df: DataFrame, blocked: Column, component: str = "component") ->
     return df.join(bad, component)
 
 
+def root_chain(df: DataFrame, key: str, parent: str, most: int) -> DataFrame:
+    """Adds root, depth and cycle: where the chain of parents ends. By pointer doubling, so a few joins whatever the depth.
+
+    A chain of more than `most` steps counts as a cycle and has neither root nor depth; a parent that is no row ends it."""
+    known = df.select(F.col(key).alias("_p")).distinct()
+    up = df.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(key).alias("_k"), F.coalesce("_p", key).alias("_up"), F.col("_p").isNotNull().cast("long").alias("_n"))
+    step = up
+    for _ in range(max(1, most.bit_length())):
+        further = step.select(F.col("_k").alias("_f"), F.col("_up").alias("_to"), F.col("_n").alias("_more"))
+        step = step.join(further, F.col("_up") == F.col("_f")).select("_k", F.col("_to").alias("_up"), (F.col("_n") + F.col("_more")).alias("_n"))
+        step = through_table(step, "chains")
+    ends = up.filter("_n = 0").select(F.col("_k").alias("_end"))
+    done = step.join(ends, F.col("_up") == F.col("_end"), "left")
+    ok = F.col("_end").isNotNull() & (F.col("_n") <= most)
+    return df.join(done.select("_k", F.when(ok, F.col("_n")).alias("depth"), F.when(ok, F.col("_end")).alias("root"), (~ok).alias("cycle")), F.col(key) == F.col("_k")).drop("_k")
+
+
 def best_of_identity(df: DataFrame, identity: list[str], order: list[Column], peers: list[Column], value: Column) -> DataFrame:
     """Adds `position` in the identity and `conflict`: whether rows equal to the best in all `peers` differ in value."""
     w = Window.partitionBy(*identity).orderBy(*order)

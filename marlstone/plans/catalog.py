@@ -176,7 +176,7 @@ def next_in_sequence(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next_order"))
 
 
-@query("SELECT n_nationkey, CAST(r AS BIGINT) AS grid_row, CAST(c AS BIGINT) AS grid_col, CAST(n_nationkey * 10 + c * 64 AS BIGINT) AS x, CAST(r * 64 AS BIGINT) AS y FROM nation, range(4) a(r), range(5) b(c)")
+@query("SELECT s_suppkey, CAST(r AS BIGINT) AS grid_row, CAST(c AS BIGINT) AS grid_col, CAST(s_suppkey * 10 + c * 64 AS BIGINT) AS x, CAST(r * 64 AS BIGINT) AS y FROM supplier, range(4) a(r), range(5) b(c)")
 def grid_regions(spark, sf):
-    n = table(spark, sf, "nation").withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("grid_col", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    return n.select("n_nationkey", F.col("grid_row").cast("long").alias("grid_row"), F.col("grid_col").cast("long").alias("grid_col"), (F.col("n_nationkey") * 10 + F.col("grid_col") * 64).cast("long").alias("x"), (F.col("grid_row") * 64).cast("long").alias("y"))
+    n = table(spark, sf, "supplier").withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("grid_col", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return n.select("s_suppkey", F.col("grid_row").cast("long").alias("grid_row"), F.col("grid_col").cast("long").alias("grid_col"), (F.col("s_suppkey") * 10 + F.col("grid_col") * 64).cast("long").alias("x"), (F.col("grid_row") * 64).cast("long").alias("y"))

@@ -64,17 +64,11 @@ def identical_within_component(spark, sf):
     return _components(spark, sf).withColumn("copy_number", F.row_number().over(w).cast("long")).filter("copy_number > 1").select("doc_id", "copy_number")
 
 
-@query("WITH RECURSIVE p AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey IN (21, 22) THEN 43 - n_nationkey ELSE n_nationkey - 1 END AS parent FROM nation), r(k, spot, depth) AS (SELECT k, k, 0 FROM p UNION ALL SELECT r.k, p.parent, depth + 1 FROM r JOIN p ON p.k = r.spot WHERE p.parent IS NOT NULL AND depth < 30) SELECT k, CAST(max(depth) AS BIGINT) AS depth, CASE WHEN max(depth) >= 30 THEN NULL ELSE arg_max(spot, depth) END AS root, max(depth) >= 30 AS cycle FROM r GROUP BY 1")
+@query("WITH RECURSIVE p AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 8 = 0 THEN NULL WHEN s_suppkey % 8 IN (5, 6) AND s_suppkey % 3 = 0 THEN s_suppkey ELSE s_suppkey - 1 END AS parent FROM supplier), r(k, spot, depth) AS (SELECT k, k, 0 FROM p UNION ALL SELECT r.k, p.parent, depth + 1 FROM r JOIN p ON p.k = r.spot WHERE p.parent IS NOT NULL AND depth < 31) SELECT k, CASE WHEN max(depth) >= 31 THEN NULL ELSE CAST(max(depth) AS BIGINT) END AS depth, CASE WHEN max(depth) >= 31 THEN NULL ELSE arg_max(spot, depth) END AS root, max(depth) >= 31 AS cycle FROM r GROUP BY 1")
 def root_key_chain(spark, sf):
-    k = F.col("n_nationkey")
-    parent = F.when(k % 4 == 0, None).when(k.isin(21, 22), 43 - k).otherwise(k - 1)
-    table(spark, sf, "nation").select(k.alias("k"), parent.alias("parent")).createOrReplaceTempView("marlstone_parents")
-    return spark.sql("""
-        WITH RECURSIVE r(k, spot, depth) AS (
-            SELECT k, k, 0 FROM marlstone_parents
-          UNION ALL
-            SELECT r.k, p.parent, r.depth + 1 FROM r JOIN marlstone_parents p ON p.k = r.spot WHERE p.parent IS NOT NULL AND r.depth < 30)
-        SELECT k, CAST(max(depth) AS BIGINT) AS depth, CASE WHEN max(depth) >= 30 THEN NULL ELSE max_by(spot, depth) END AS root, max(depth) >= 30 AS cycle FROM r GROUP BY k""")
+    k = F.col("s_suppkey")
+    parent = F.when(k % 8 == 0, None).when((k % 8).isin(5, 6) & (k % 3 == 0), k).otherwise(k - 1)
+    return I.root_chain(table(spark, sf, "supplier").select(k.alias("k"), parent.alias("parent")), "k", "parent", 30).select("k", "depth", "root", "cycle")
 
 
 _GRADE = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"

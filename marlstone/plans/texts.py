@@ -50,9 +50,9 @@ def safe_name(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", T.safe_name(raw).alias("file_name"))
 
 
-@query("SELECT n_nationkey, CAST(n AS VARCHAR) || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS label FROM (SELECT n_nationkey, n_nationkey * 5 + 1 AS n FROM nation)")
+@query("SELECT s_suppkey, CAST(n AS VARCHAR) || CASE WHEN n % 100 BETWEEN 11 AND 13 THEN 'th' WHEN n % 10 = 1 THEN 'st' WHEN n % 10 = 2 THEN 'nd' WHEN n % 10 = 3 THEN 'rd' ELSE 'th' END AS label FROM (SELECT s_suppkey, s_suppkey * 5 + 1 AS n FROM supplier)")
 def ordinal_label(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", T.ordinal(F.col("n_nationkey") * 5 + 1).alias("label"))
+    return table(spark, sf, "supplier").select("s_suppkey", T.ordinal(F.col("s_suppkey") * 5 + 1).alias("label"))
 
 
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN 'forum' END, CASE event_type WHEN 'purchase' THEN 'shop' WHEN 'signup' THEN 'shop' WHEN 'view' THEN 'web' WHEN 'click' THEN 'web' END, 'unknown') AS channel FROM events")

@@ -1,0 +1,52 @@
+"""Every query with SQL against DuckDB over sf0.001."""
+
+import datetime
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from marlstone.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in os.listdir(SF):
+        c.sql(f"CREATE VIEW {t.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{t}'")
+    return c
+
+
+def plain(v):
+    if isinstance(v, float):
+        return None if math.isnan(v) else round(v, 6) + 0.0
+    if isinstance(v, datetime.datetime):
+        return str(v)
+    return v
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda k: columns[k])
+    return sorted((tuple(plain(r[k]) for k in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+def test_equals_sql(spark, con, name):
+    got = catalogue.queries()[name](spark, SF)
+    want = con.sql(catalogue.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+def test_has_rows(spark, name):
+    assert catalogue.queries()[name](spark, SF).count() > 0
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
