@@ -1,8 +1,8 @@
 """Exact Jaccard join of word-shingle sets with a token-group matrix, giving each document's component.
 
 1. Every whole text becomes a set of shingle hashes; documents of equal sets are one class, named by its least doc_id.
-2. Stars: classes that share a minhash are compared with the bucket's least class (one pair for each class and hash,
-   so linear), and those that link get one label.  This partitions similar documents into groups; a large label is cut
+2. Stars: classes that share a minhash are compared with the bucket's least class, then with its class of most links (two
+   pairs for each class and hash at most, so linear), and those that link get one label.  This partitions similar documents into groups; a large label is cut
    into groups of GROUP classes.
 3. Token-group matrix: (token, group) for the union of the members' prefixes.  A set's prefix is its first
    n - ceil(t n) + 1 tokens, rare before frequent; sets that link share a prefix token.  Two groups of different labels
@@ -37,7 +37,7 @@ HEAVY, LOCAL, STRETCH = 1 << 17, 4, 4_000_000
 #: Classes in a group at most (expected), minhashes, pairs that one call verifies (expected).
 GROUP, HASHES, AT_ONCE = 256, 3, 512
 #: Documents with candidates are told by this many id hashes at most, before their texts are shuffled.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0xF1357AEA2E62A9C5, 0xA0761D6478BD642F)]
 
 
@@ -153,6 +153,21 @@ def _verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, width: int, p
     return numbered.join(found, "pair", "left_semi").select("a", "b")
 
 
+def _split_by(rows: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """`rows` (node, ...) whose node falls in no bucket of few.key, which need no shuffle, and the others."""
+    buckets = F.broadcast(few.select(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")).distinct())  # BUCKETS rows at most
+    told = rows.withColumn("_k", F.pmod(F.xxhash64("node"), F.lit(BUCKETS)))
+    return told.join(buckets, F.col("_k") == F.col("_b"), "left_anti").drop("_k"), told.join(buckets, F.col("_k") == F.col("_b"), "left_semi").drop("_k")
+
+
+def _stars(hashed: DataFrame, centre: Column, per_cent: int, needed: Column | None = None) -> DataFrame:
+    """Pairs (a, b) of each class and its buckets' centres, sizes allowing: as many as there are hashes at most."""
+    centres = hashed.groupBy("k", "h").agg(centre.alias("c"), F.count("*").alias("m")).filter("m > 1")
+    near = hashed.join(centres, ["k", "h"]).filter("c.node <> node").filter(_sizes_fit(F.col("n"), F.col("c.n"), F.col("n"), F.col("c.n"), per_cent))
+    near = near if needed is None else near.filter(needed)
+    return near.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+
+
 def join(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links reach) of every row of `docs`.
 
@@ -169,23 +184,34 @@ def join(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     signed = through_table(signed, "signatures")
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("node"))
-    rep = full.join(classes, ["d1", "d2", "n"]).filter("doc_id = node").select("node", "n", "hashes", "prefix")
-    rep = through_table(rep, "classes")
-
-    # Stars.
-    hashed = rep.select("node", "n", F.posexplode("hashes").alias("k", "h"))
-    centre = hashed.groupBy("k", "h").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("m")).filter("m > 1")
-    stars = hashed.join(centre, ["k", "h"]).filter("c.node < node").filter(_sizes_fit(F.col("n"), F.col("c.n"), F.col("n"), F.col("c.n"), per_cent)).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+    # Rows that aren't their class's first are few or of few ids, so only rows whose id falls in their buckets are shuffled.
+    ids = full.select("doc_id", "d1", "d2", "n")
+    other = through_table(ids.join(classes, ["d1", "d2", "n"]).filter("doc_id <> node").select("doc_id", "d1", "d2").distinct(), "copies")
+    plain, some = _split_by(full.select(F.col("doc_id").alias("node"), "n", "d1", "d2", "hashes", "prefix"), other, "doc_id")
+    other = other.select(F.col("doc_id").alias("_i"), F.col("d1").alias("_1"), F.col("d2").alias("_2"))
+    some = some.join(other, (F.col("node") == F.col("_i")) & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left_anti")
+    rep = through_table(plain.unionByName(some).select("node", "n", "hashes", "prefix"), "classes")
+
+    # Stars: first around each bucket's least class, then around the class of most links, which is the likely original.
+    hashed = through_table(rep.select("node", "n", F.posexplode("hashes").alias("k", "h")), "hashes")
     alone = rep.select(F.col("node").alias("g"), "node").distinct()
-    links = through_table(_verify(stars, alone, docs, width, per_cent), "star-links")
+    links = through_table(_verify(_stars(hashed, F.min(F.struct("node", "n")), per_cent), alone, docs, width, per_cent), "star-links")
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
+    label = through_table(components(links), "star-labels")
+    known = hashed.join(degree.join(label, "node"), "node", "left").select("node", "n", "k", "h", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("label", "node").alias("label"))
+    hubs = _stars(known, F.max_by(F.struct("node", "n", "label"), F.struct("degree", -F.col("node"))), per_cent, F.col("c.label") != F.col("label"))
+    links = through_table(links.unionByName(_verify(hubs, alone, docs, width, per_cent)), "star-links")
     label = through_table(components(links), "star-labels")
 
     # Groups: a label's classes, GROUP together; a class without a link is a group of its own.
     large = label.groupBy("label").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     part = label.join(large, "label").select("node", "label", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     named = part.groupBy("label", "part").agg(F.min("node").alias("g"))
-    grouped = part.join(named, ["label", "part"]).select("node", "label", "g")
-    placed = rep.select("node", "n", "prefix").join(grouped, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"), F.coalesce("g", "node").alias("g"), F.col("g").isNotNull().alias("many"))
+    grouped = through_table(part.join(named, ["label", "part"]).select("node", "label", "g"), "groups")
+    single, some = _split_by(rep.select("node", "n", "prefix"), grouped, "node")
+    single = single.withColumn("label", F.col("node")).withColumn("g", F.col("node")).withColumn("many", F.lit(False))
+    some = some.join(grouped, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"), F.coalesce("g", "node").alias("g"), F.col("g").isNotNull().alias("many"))
+    placed = single.unionByName(some)
     about = placed.groupBy("g").agg(F.min("label").alias("label"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
     # Matrix: only groups of several classes need the distinct.
