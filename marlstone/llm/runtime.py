@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.shared import shared_dir, through_table
+from marlstone.sources.tables import table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+__all__ = ["bounded_sample", "held_out", "shared_dir", "ship_package", "table", "through_table"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -30,23 +30,6 @@ def ship_package(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='marlstone-checkpoint-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there and no executor's loss matters."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def bounded_sample(df: DataFrame, strata: list[str], key: list[Column], bound: int) -> DataFrame:
     """About `bound` rows of each stratum (all, if fewer), chosen by a hash of `key`, so equal on every run.
 

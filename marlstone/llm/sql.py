@@ -38,3 +38,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS ss FROM w),
+t AS (SELECT doc_id, len(ss) AS n, hash(unnest(ss)) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r(x, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.y, r.c FROM r JOIN e ON r.x = e.x)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, c.c AS component_id FROM s JOIN (SELECT x, min(c) AS c FROM r GROUP BY 1) c ON s.doc_id = c.x
+"""
+
+OP4 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(lower(raw), '[\t-\r ]+'), lambda x: x <> '') AS ws, {'none': doc_id IS NULL, 'doc_id': doc_id, 'line': line} AS here FROM l),
+d AS (SELECT ws, min(here) AS first FROM w WHERE len(ws) >= 5 GROUP BY 1),
+v AS (SELECT first, len(ws) AS n, k, list_concat(ws[:k - 1], ws[k + 1:]) AS less FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM d WHERE len(ws) >= 10)),
+g AS (SELECT n, k, less, min(first) AS earliest FROM v GROUP BY ALL HAVING count(*) > 1),
+o AS (SELECT v.first AS more, d.first AS fewer FROM v JOIN d ON v.less = d.ws AND len(d.ws) >= 10),
+near AS (SELECT v.first FROM v JOIN g USING (n, k, less) WHERE earliest < v.first UNION SELECT more FROM o WHERE fewer < more UNION SELECT fewer FROM o WHERE more < fewer),
+j AS (SELECT w.doc_id, w.raw, w.line, d.first IS NOT NULL AND d.first <> w.here AS exact, d.first IS NOT NULL AND d.first = w.here AND near.first IS NOT NULL AS close FROM w LEFT JOIN d ON w.ws = d.ws LEFT JOIN near ON d.first = near.first),
+a AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) FILTER (NOT exact AND NOT close) AS text, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (close) AS n_near FROM j GROUP BY 1)
+SELECT x.doc_id, CASE WHEN x.text IS NOT NULL THEN coalesce(a.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near FROM documents x LEFT JOIN a ON x.doc_id IS NOT DISTINCT FROM a.doc_id
+"""
