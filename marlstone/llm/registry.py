@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": sql.OP1, "op2_ngram_jaccard_join": sql.OP2, "op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4}
+    return {"op1_exact_top_k": sql.OP1, "op2_ngram_jaccard_join": sql.OP2, "op3_url_filter": sql.OP3, "op4_line_dedup": sql.OP4, "op8_license_scan": sql.op8()}
