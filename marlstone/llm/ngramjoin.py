@@ -6,8 +6,8 @@
    into groups of GROUP classes.
 3. Token-group matrix: (token, group) for the union of the members' prefixes.  A set's prefix is its first
    n - ceil(t n) + 1 tokens, rare before frequent; sets that link share a prefix token.  Two groups of different labels
-   qualify if the tokens they share in the matrix reach what their sizes need at least (a bound for every pair of
-   members).  Only those are opened: a member is held against the other group's whole token union, and where that
+   qualify if their first common token lies early enough and the tokens they share in the matrix reach what their sizes
+   need at least (bounds for every pair of members).  Only those are opened: a member is held against the other group's whole token union, and where that
    bound reaches the threshold, against its members, until a link is found (labels then merge).
 4. Components of all links.  Pairs within a label are never needed, so a group of copies costs no square of its size.
 
@@ -215,15 +215,21 @@ def join(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
     about = placed.groupBy("g").agg(F.min("label").alias("label"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
     # Matrix: only groups of several classes need the distinct.
-    cells = placed.select("g", "many", F.explode("prefix").alias("token"))
-    matrix = cells.filter("NOT many").select("token", "g").unionByName(cells.filter("many").select("token", "g").distinct())
-    shared = matrix.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").select("token", "g")
+    cells = placed.select("g", "many", F.posexplode("prefix").alias("at", "token"))
+    matrix = cells.filter("NOT many").select("token", "g", "at").unionByName(cells.filter("many").groupBy("token", "g").agg(F.min("at").alias("at")))
+    shared = matrix.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").select("token", "g", "at")
     shared = through_table(shared.join(about, "g"), "shared-tokens")
-    x, y = shared.select("token", *(F.col(c).alias(f"{c}1") for c in ("g", "label", "lo", "hi"))), shared.select("token", *(F.col(c).alias(f"{c}2") for c in ("g", "label", "lo", "hi")))
-    met = x.join(y, "token").filter("g1 < g2 AND label1 <> label2").filter(_sizes_fit(F.col("lo1"), F.col("lo2"), F.col("hi1"), F.col("hi2"), per_cent))
-    counts = met.groupBy("g1", "g2", "lo1", "lo2", "hi1", "hi2").agg(F.count("*").alias("both"))
-    # A link needs ceil(t / (1 + t) * (n1 + n2)) common tokens; those beyond both prefixes are at most ceil(t n) - 1.
-    need = F.ceil((F.col("lo1") + F.col("lo2")) * per_cent / F.lit(100 + per_cent) - 1e-9) - F.ceil(F.greatest("hi1", "hi2") * per_cent / F.lit(100) - 1e-9) + 1
+    names = ("g", "label", "lo", "hi", "at")
+    x, y = shared.select("token", *(F.col(c).alias(f"{c}1") for c in names)), shared.select("token", *(F.col(c).alias(f"{c}2") for c in names))
+    # A link needs ceil(t / (1 + t) * (n1 + n2)) common tokens; all but the first lie behind it in both sets.
+    overlap = F.ceil((F.col("lo1") + F.col("lo2")) * per_cent / F.lit(100 + per_cent) - 1e-9)
+    behind = F.least(F.col("hi1") - F.col("at1"), F.col("hi2") - F.col("at2"))
+    fits = _sizes_fit(F.col("lo1"), F.col("lo2"), F.col("hi1"), F.col("hi2"), per_cent) & (behind >= overlap)
+    met = x.join(y, "token").filter("g1 < g2 AND label1 <> label2").filter(fits).select("g1", "g2", "lo1", "lo2", "hi1", "hi2").distinct()
+    # Those beyond both prefixes are at most ceil(t n) - 1, the others are in both prefixes and so in the matrix.
+    need = overlap - F.ceil(F.greatest("hi1", "hi2") * per_cent / F.lit(100) - 1e-9) + 1
+    cell = shared.select(F.col("g").alias("g1"), "token")
+    counts = met.join(cell, "g1").join(shared.select(F.col("g").alias("g2"), "token"), ["g2", "token"]).groupBy("g1", "g2", "lo1", "lo2", "hi1", "hi2").agg(F.count("*").alias("both"))
     chosen = counts.filter(F.col("both") >= need).select(F.col("g1").alias("a"), F.col("g2").alias("b"))
     more = _verify(chosen, placed.select("g", "node").distinct(), docs, width, per_cent)
 
