@@ -1,10 +1,10 @@
 """Licence scan: a positional index of rare licence words, voting on where a template lies in a file.
 
 One pass over the texts notes, for each, which indexed words it holds and where.  Document frequencies over the whole
-corpus give each indexed word its IDF.  A file's RARE words of highest IDF are looked up in the templates' postings; an
-occurrence at place i of a word at place q of a template votes for that template at i - q.  A template is found where
-one place gathers THRESHOLD of the weight of its words that the file's rare words include at best, and all words of
-its key phrase stand at that place too.  Phrases of the base list are found wherever they stand consecutively.
+corpus give each indexed word its IDF.  An occurrence at place i of a word at place q of a template speaks for that
+template at i - q; of each template, the RARE words of highest IDF that the file holds have a vote, whatever else the
+file holds.  A template is found where one place gathers THRESHOLD of the weight that these words have in it, and all
+words of its key phrase stand at that place too.  Phrases of the base list are found wherever they stand consecutively.
 
 Native: DataFrame functions only.  Only files with an indexed word leave the first pass, and votes are summed before
 they are shuffled; nothing is grouped by anything wider than one file.
@@ -46,7 +46,7 @@ TEMPLATES = (
 )
 #: Words too common to open a file for; they are noted only in files that hold another indexed word.
 COMMON = frozenset("a all and any are by can for form forms free has in into is it law of or person provided that the this to under use v version with without work you 0 2 3 4 8 all author code conditions copy domain extent files following met possible program related rights source subject terms waived public released general charge fee modify purpose software".split())
-#: Words of highest IDF that are looked up for each file, and the share of their weight that a place must gather.
+#: Words of highest IDF that vote for each template in a file, and the share of their weight that a place must gather.
 RARE, THRESHOLD = 6, 0.7
 
 
@@ -98,20 +98,23 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     n = noted.count()
     df = {w: c for w, c in noted.select(F.explode("held").alias("w")).groupBy("w").count().collect()}  # a row for each indexed word at most
     idf = {w: round(math.log((n + 1) / (df.get(w, 0) + 1)) + 1.0, 9) for w in vocabulary}
-    # Ranks are corpus-wide, so a file's rarest words are its first in this order.
-    ranked = sorted(vocabulary, key=lambda w: (-idf[w], w))
-    post = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).cast("long").alias("q"), F.lit(key).alias("key"), F.lit(idf[w]).alias("idf")) for w, t, q, key, _ in postings)))))  # as many rows as the templates have words
+    # Ranks are corpus-wide, so a template's rarest words in a file are the first in this order that the file holds.
+    rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (-idf[w], w)))}
+    post = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).cast("long").alias("q"), F.lit(key).alias("key"), F.lit(idf[w]).alias("idf"), F.lit(rank[w]).alias("rank")) for w, t, q, key, _ in postings)))))  # as many rows as the templates have words
     keys = {t: sum(p[3] for p in postings if p[1] == t) for t in range(len(templates))}
 
-    files = noted.filter("file IS NOT NULL").dropDuplicates(["file"])
-    top = F.slice(F.array_intersect(_array(ranked), "held"), 1, RARE)
-    hits = files.select("file", top.alias("top"), F.explode("places").alias("x")).select("file", "top", "x.w", "x.i")
-    votes = hits.join(post, "w").select("file", "t", (F.col("i") - F.col("q")).alias("at"), "q", "key", F.when(F.array_contains("top", F.col("w")), F.col("idf")).otherwise(0.0).alias("vote"))
+    # For each template, the rank of the last of its words that votes in this file.
+    ranks = F.create_map(*(F.lit(x) for p in rank.items() for x in p))
+    mine = [_array(sorted({rank[p[0]] for p in postings if p[1] == t})) for t in range(len(templates))]
+    last = F.array(*(F.coalesce(F.get(F.array_intersect(m, F.col("ranks")), RARE - 1), F.lit(len(rank))) for m in mine))
+    files = noted.filter("file IS NOT NULL").dropDuplicates(["file"]).withColumn("ranks", F.transform("held", lambda w: ranks[w])).select("file", "held", "places", last.alias("last"))
+    hits = files.select("file", "last", F.explode("places").alias("x")).select("file", "last", "x.w", "x.i")
+    votes = hits.join(post, "w").select("file", "t", (F.col("i") - F.col("q")).alias("at"), "q", "key", F.when(F.col("rank") <= F.get("last", F.col("t")), F.col("idf")).otherwise(0.0).alias("vote"))
     gathered = votes.groupBy("file", "t", "at").agg(F.sum("vote").alias("got"), F.sum(F.col("key").cast("int")).alias("keys"))
     best = F.element_at(F.map_from_arrays(F.array(*(F.lit(t) for t in keys)), F.array(*(F.lit(k) for k in keys.values()))), F.col("t"))
     placed = gathered.filter((F.col("got") > 0) & (F.col("keys") == best))
-    # What the file's rare words could give the template at best, each template place counted.
-    could = files.select("file", F.explode(top).alias("w")).join(post, "w").groupBy("file", "t").agg(F.sum("idf").alias("could"))
+    # What these words could give the template at best, each template place counted.
+    could = files.select("file", "last", F.explode("held").alias("w")).join(post, "w").filter(F.col("rank") <= F.get("last", F.col("t"))).groupBy("file", "t").agg(F.sum("idf").alias("could"))
     names = F.element_at(F.map_from_arrays(F.array(*(F.lit(t) for t in range(len(templates)))), F.array(*(F.lit(x[0]) for x in templates))), F.col("t"))
     found = placed.groupBy("file", "t").agg(F.max("got").alias("got")).join(could, ["file", "t"]).withColumn("score", F.least(F.lit(1.0), F.col("got") / F.col("could"))).filter(F.col("score") >= THRESHOLD)
     per_file = found.groupBy("file").agg(F.collect_set(names).alias("found"), F.max("score").alias("score"))  # no more labels than templates

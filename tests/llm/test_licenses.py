@@ -39,6 +39,18 @@ def test_odd_rows(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_several_notices_in_one_file(spark):
+    gpl, apache, cc = "this work is licensed under the gnu general public license version 3", "Licensed under the Apache License, Version 2.0", "licensed under cc by nc 4.0"
+    mit = "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    prose = "mozilla person documentation permission granted copy charge associated obtaining hereby redistribution affero lesser waived copyright "
+    texts = [f"{mit}. {apache}", f"{mit} {gpl} {cc}", f"{gpl} x {apache} x {cc} x {mit}", prose * 300 + gpl + " " + prose * 300, prose * 300]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, *["plain words"] * 200])], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got[0] == ("apache,apache-2.0,mit", 1) and got[1] == ("cc-by,cc-by-nc-4.0,gpl,gpl-3.0,mit", 1)
+    assert got[2] == ("apache,apache-2.0,cc-by,cc-by-nc-4.0,gpl,gpl-3.0,mit", 1)
+    assert got[3] == ("gpl,gpl-3.0", 1) and got[4] == ("", 0)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
