@@ -12,6 +12,7 @@ of a longer one the first piece may be shorter and the others are full; repeated
 from __future__ import annotations
 
 import json
+import re
 import zlib
 
 import numpy as np
@@ -59,17 +60,45 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return _encodings[path, pattern]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece (keep_ids: also the ids). Other columns are not read."""
+def load_added(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizers JSON file, which the library matches inside text. Those that take in neighbouring
+    spaces or must be whole words, and a file that normalises text, raise ValueError."""
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    added = whole.get("added_tokens") or []
+    if whole.get("normalizer") or any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that aren't matched as they stand")
+    return {t["content"]: t["id"] for t in added}
+
+
+_added: dict[str, dict[str, int]] = {}
+
+
+def ids_of(text: str, tool: tiktoken.Encoding, added: dict[str, int]) -> list[int]:
+    """The ids of a text; where `added` tokens stand (the longest at a place, from the left) it is split and has theirs."""
+    if not any(t in text for t in added):
+        return tool.encode_ordinary(text)
+    parts = re.split(f"({'|'.join(re.escape(t) for t in sorted(added, key=len, reverse=True))})", text)
+    return [i for k, part in enumerate(parts) for i in ([added[part]] if k % 2 else tool.encode_ordinary(part))]
+
+
+def pieces(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, keep_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece (keep_ids: also the ids). Other columns are not read.
+
+    added_tokens: the file's added tokens have their own ids where they stand in a text, as in `tokenizers` by default;
+    else they are text like any other, as with its encode_special_tokens."""
     ship_package(docs.sparkSession)
     names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * keep_ids
 
     def cut(batches):
         tool = encoding(path, pattern)
+        if added_tokens and path not in _added:
+            _added[path] = load_added(path)
+        added = _added[path] if added_tokens else {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*tool.encode_ordinary(text or ""), end], "<u4")
+                ids = np.array([*ids_of(text or "", tool, added), end], "<u4")
                 first = len(ids) % window or window
                 for k, at in enumerate([0, *range(first, len(ids), window)] if len(ids) > window else [0]):
                     part = ids[at : first + k * window] if len(ids) > window else ids
@@ -107,8 +136,8 @@ def fit(lengths: np.ndarray, window: int, most_docs: int, most_cost: int, weight
     return where, offset
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.05)) -> DataFrame:
-    """Every piece with its sequence_id and offset.
+def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.05), added_tokens: bool = False) -> DataFrame:
+    """Every piece with its sequence_id and offset (added_tokens: see `pieces`).
 
     most_docs and most_cost default to what `window` tokens can hold at most, so that sequences are as few as can be;
     smaller values are kept as hard limits (a piece that alone exceeds most_cost raises)."""
@@ -123,5 +152,5 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int
         where, offset = fit(rows.column("length").to_numpy(), window, most_docs, most_cost, weights)
         return rows.append_column("sequence_id", pa.array(where + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    dealt = pieces(docs, path, pattern, window, end).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    dealt = pieces(docs, path, pattern, window, end, added_tokens=added_tokens).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(run, _PIECE + ", sequence_id long, offset long")

@@ -55,3 +55,19 @@ def test_every_capacity_holds():
         order = np.argsort(offset[where == b])
         assert (offset[where == b][order] == np.cumsum(mine[order]) - mine[order]).all()
     assert where.max() + 1 <= 1.3 * max(lengths.sum() / 100, len(lengths) / 4)
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline
+    from marlstone.llm import registry
+
+    t = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|>\n\n foo", "<|endoftext|><|endoftext|>x <|endoftext|", "é <|endoftext|> it's " * 400, "none", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for d, x in enumerate(texts):
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+        ends = range(len(ids) % 1024 or min(1024, len(ids)), len(ids) + 1, 1024)
+        want += [(d, k, int(e) - len(p), len(p), zlib.crc32(p.tobytes())) for k, (e, p) in enumerate((e, ids[max(0, e - 1024) : e]) for e in ends)]
+    for got in (registry.op7_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.sequences(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == want
