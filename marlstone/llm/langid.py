@@ -3,7 +3,8 @@
 Document frequencies are counted over all rows that may be learnt from.  The centroids come from a bounded sample of
 them (PER_LANGUAGE rows each, chosen by hash): spherical k-means within each language.  A text gets the language of the
 centroid of greatest cosine.  Rejection is by distance: a cosine under what learnt texts of about that many trigrams
-reach, or no letter at all.
+reach, or no letter at all.  Every length has a limit: where few learnt texts are that short, the beginnings of longer ones
+stand in for them, and elsewhere those of the nearest lengths, shorter ones first (their cosines are smaller).
 
 Cases: a null text or one without a letter is `und` with score 0 and rejected; ties go to the language that sorts first;
 with nothing to learn from, every text is `und`.  Labels that are null or the empty string teach nothing.
@@ -24,8 +25,9 @@ from marlstone.llm.textbatch import batches_of, utf8
 
 #: Hashed trigrams; rows of each language that centroids are fitted on; centroids of each language.
 SIZE, PER_LANGUAGE, CENTROIDS = 4096, 700, 4
-#: A text is rejected under this share of the least cosine of learnt texts of its length class.
-SLACK = 0.5
+#: A text is rejected under SLACK of the LOW quantile of the cosines of learnt texts of its length class, for
+#: which LEAST_ROWS are gathered where there are as many; classes up to that of BEGINNING trigrams can be filled with beginnings.
+SLACK, LOW, LEAST_ROWS, BEGINNING = 0.6, 0.01, 100, 255
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -35,15 +37,21 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def trigram_counts(data: np.ndarray, offsets: np.ndarray):
-    """For each text, how often each hashed trigram of its letters (anything else is a space) occurs."""
+def trigrams(data: np.ndarray, offsets: np.ndarray):
+    """For each text, the hashed trigrams of its letters (anything else is a space) in order; SIZE stands for none."""
     b = _FOLD[data].astype(np.uint32)
     if len(b) < 3:
         b = np.pad(b, (0, 3 - len(b)), constant_values=32)
     h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
     h[(b[:-2] == 32) & (b[1:-1] == 32)] = SIZE  # runs of spaces say nothing
     for s, e in zip(offsets[:-1], offsets[1:], strict=True):
-        yield np.bincount(h[s : max(s, e - 2)], minlength=SIZE + 1)[:SIZE]
+        yield h[s : max(s, e - 2)]
+
+
+def trigram_counts(data: np.ndarray, offsets: np.ndarray):
+    """For each text, how often each hashed trigram occurs."""
+    for h in trigrams(data, offsets):
+        yield np.bincount(h, minlength=SIZE + 1)[:SIZE]
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -67,7 +75,8 @@ def _sampled(batches):
     for batch in batches:
         for at, data, offsets in batches_of(utf8(batch.column(1))):
             got = [np.minimum(c, 65535).astype("<u2").tobytes() for c in trigram_counts(data, offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array(got, pa.binary())], names=["lang", "counts"])
+            first = [h[h < SIZE][:BEGINNING].astype("<u2").tobytes() for h in trigrams(data, offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array(got, pa.binary()), pa.array(first, pa.binary())], names=["lang", "counts", "first"])
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -114,10 +123,11 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = PER_
     by = dict(zip(df["gram"], df["df"], strict=True))
     idf = np.log((1 + by[-1]) / (1 + np.array([by.get(k, 0) for k in range(SIZE)], np.float32))).astype(np.float32) + 0.1
     sample = bounded_sample(rows, ["lang"], [F.col("doc_id"), F.col("text")], per_language)
-    got = sample.select("lang", "text").mapInArrow(_sampled, "lang string, counts binary").toArrow()
-    pairs = sorted(zip(got.column("lang").to_pylist(), got.column("counts").to_pylist(), strict=True))
-    lang = np.array([name for name, _ in pairs], object)
-    counts = np.frombuffer(b"".join(c for _, c in pairs), "<u2").reshape(-1, SIZE)
+    got = sample.select("lang", "text").mapInArrow(_sampled, "lang string, counts binary, first binary").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "counts", "first")), strict=True))
+    lang = np.array([name for name, _, _ in rows], object)
+    counts = np.frombuffer(b"".join(c for _, c, _ in rows), "<u2").reshape(-1, SIZE)
+    first = [np.frombuffer(f, "<u2") for (_, _, f), some in zip(rows, counts.any(1), strict=True) if some]
     lang, counts = lang[counts.any(1)], counts[counts.any(1)]
     languages = sorted(set(lang))
     if not languages:
@@ -126,14 +136,35 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = PER_
     parts = [spherical_kmeans(x[lang == name], CENTROIDS) for name in languages]
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     model = Model(idf, languages, np.vstack(parts).astype(np.float32), owner, np.zeros(16, np.float32))
-    found, cos, _ = model.predict(counts)
-    classes, right = length_class(counts), np.array(languages, object)[found] == lang
-    for k in range(16):
-        mine = cos[(classes == k) & right]
-        model.least[k] = SLACK * mine.min() if len(mine) >= 20 else 0
+    model.least[:] = _limits(model, lang, counts, first)
     return model
 
 
+def _limits(model: Model, lang: np.ndarray, counts: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+    """The least accepted cosine of each length class, from the learnt texts that are predicted rightly."""
+
+    def right(lang, counts):
+        found, cos, _ = model.predict(counts)
+        ok = np.array(model.languages, object)[found] == lang
+        return cos[ok], length_class(counts)[ok]
+
+    cos, classes = right(lang, counts)
+    of = [cos[classes == k] for k in range(16)]
+    for k in range(int(np.log2(BEGINNING + 1))):
+        n = 3 * 2**k // 2 - 1 or 1  # about the middle of the class
+        longer = np.array([len(f) >= n for f in first], bool)
+        if len(of[k]) < LEAST_ROWS and longer.any():
+            begun = np.vstack([np.bincount(f[:n], minlength=SIZE) for f, long in zip(first, longer, strict=True) if long])
+            of[k] = np.concatenate([of[k], right(lang[longer], begun)[0]])
+    least = []
+    for k in range(16):
+        pool = np.empty(0)
+        for j in [*range(k, -1, -1), *range(k + 1, 16)]:
+            pool = np.concatenate([pool, of[j]]) if len(pool) < LEAST_ROWS else pool
+        least.append(SLACK * np.quantile(pool, LOW) if len(pool) else 0)
+    return np.array(least, np.float32)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of `docs` and lang_pred, score and rejected (older columns of these names are replaced)."""
     ship_package(docs.sparkSession)

@@ -64,3 +64,19 @@ def test_language_odd_rows(spark, docs):
     assert got[4].lang_pred == "de" and got[4].lang == "de"
     assert {r.lang_pred for r in langid.identify(odd.filter("lang is null")).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_foreign_texts_of_every_length_are_rejected(spark, docs):
+    model = langid.fit(docs)
+    assert (model.least > 0).all()
+    rng, rows = np.random.default_rng(5), []
+    for low, high in ((0x4E00, 0x9FA5), (0x430, 0x450), (0x3B1, 0x3CA)):
+        for words in (4, 6, 30, 300, 1000, 5000, 20000):
+            rows += [(words, " ".join("".join(map(chr, rng.integers(low, high, rng.integers(2, 8)))) for _ in range(words))) for _ in range(5)]
+    got = langid.predict(spark.createDataFrame(rows, "words int, text string"), model).collect()
+    assert all(r.rejected for r in got if r.words >= 30)
+    assert np.mean([r.rejected for r in got if r.words < 30]) > 0.9
+    short = docs.filter("length(text) > 100").select("doc_id", F.substring("text", 1, 25).alias("text"))
+    long = docs.filter("length(text) > 100").groupBy("lang", F.expr("doc_id % 20").alias("doc_id")).agg(F.repeat(F.concat_ws(" ", F.array_sort(F.collect_list("text"))), 3).alias("text"))
+    for genuine in (short, long):
+        assert langid.predict(genuine, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.02
