@@ -92,7 +92,7 @@ def greedy_dedupe(spark, sf):
 @query()
 def sequence_align(spark, sf):
     """Needleman-Wunsch of a conversation's user turns against its other turns: gap -0.65, match 3 * similarity + 0.2."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.slice(F.array_distinct(F.split(F.lower("text"), "[^a-z]+")), 1, 400).alias("words"))
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("words"))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("turn", "ascending")])

@@ -108,3 +108,13 @@ def test_snapshot_stream(spark, tmp_path):
         snapshots.stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     r = spark.read.parquet(str(tmp_path / "out" / "v=1")).first()
     assert (r.price, r.seen, r.first_seen_at.day, r.last_seen_at.day) == (12.0, 2, 1, 2)
+
+
+def test_sequence_align_uses_all_words_of_a_turn(spark, tmp_path):
+    from marlstone.plans import identities
+
+    words = ["".join(chr(97 + k // 26**p % 26) for p in range(3)) for k in range(1100)]
+    rows = [(1, 0, "user", " ".join(words[:400] + words[800:])), (1, 1, "assistant", " ".join(words[400:]))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = identities.sequence_align(spark, str(tmp_path)).first()
+    assert got.score == round(3 * 300 / 1100 + 0.2, 6)
