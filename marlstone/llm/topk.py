@@ -1,15 +1,17 @@
 """Exact top-k by inner product: KD-trees per shard, searched best-first, with the kth score passed on between shards.
 
-Vectors become integers floor(scale * x) and are dealt by hash into shards of bounded expected size.  Each shard builds
-a KD-tree: median splits on the widest side, with tight bounding boxes.  A query's best score in a box is at most the
-sum of max(q * low, q * high) over the sides; nodes are opened in order of that bound until the bound falls under the
-kth score so far (equal bounds are opened: ties go to smaller ids).  Every query first visits one shard, and the kth
-score that it finds there prunes its search in all others.  Queries go to the shards in blocks of bounded size.
+Vectors become integers floor(scale * x).  The top of one KD-tree, median splits of a bounded sample, cuts space into
+cells; every vector goes to its cell, and a cell of more than SHARD vectors is dealt by hash into shards with the cell's
+box, so that a vector which many rows share fills several.  Each shard builds its own KD-tree: median splits on the
+widest side, with tight bounding boxes.  A query's best score in a box is at most the sum of max(q * low, q * high) over
+the sides; nodes are opened in order of that bound until the bound falls under the kth score so far (equal bounds are
+opened: ties go to smaller ids).  Shards are visited in the same order: every query first visits its shard of greatest
+bound, then the next NEXT ones, then the others, each time only those whose bound reaches the kth score found so far.
 
 Cases: vectors that are null, or hold a null or a component that isn't finite, take no part; vectors of a length other
 than the most common one of the table (the larger, if tied) neither; a query with fewer than k candidates gets them
 all; repeated ids are separate candidates, but no row with the query's own id is its candidate; rows with a null id
-take no part.
+take no part.  Query rows of one id and different vectors are separate queries, each with ranks from 1; equal ones are one.
 """
 
 from __future__ import annotations
@@ -22,15 +24,16 @@ from pyspark.sql.window import Window
 
 from marlstone.llm.runtime import ship_package, through_table
 
-#: Expected vectors in a shard, vectors in a leaf at most, expected queries in a block.
-SHARD, LEAF, BLOCK = 1024, 32, 2048
+#: Vectors in a shard and in a leaf at most (a shard: expected), cells at most, vectors that the cells are cut by,
+#: queries that one call holds (expected) and that are searched together, shards in the second round.
+SHARD, LEAF, CELLS, SAMPLE, CALL, BLOCK, NEXT = 4096, 32, 1024, 32_768, 16_384, 1024, 4
 
 
 class Tree:
     """Arrays of a KD-tree over the rows of x: a box for each node, children, and the rows of each leaf."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
-        self.low, self.high, self.kids, self.rows = [], [], [], []
+        self.low, self.high, self.kids, self.rows, self.cuts = [], [], [], [], []
         self.x = x
         self._grow(np.arange(len(x)), leaf)
         self.low, self.high = np.array(self.low, np.float64), np.array(self.high, np.float64)
@@ -42,17 +45,32 @@ class Tree:
         self.high.append(high)
         self.kids.append(None)
         self.rows.append(rows)
+        self.cuts.append(None)
         side = int((high - low).argmax())
         if len(rows) > leaf and high[side] > low[side]:
             order = rows[np.argsort(part[:, side], kind="stable")]
             half = len(order) // 2
             self.rows[me] = None
+            self.cuts[me] = (side, self.x[order[half], side])
             self.kids[me] = (self._grow(order[:half], leaf), self._grow(order[half:], leaf))
         return me
 
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """For each row of x the leaf whose side of every cut it lies on (at or over a cut: the upper one)."""
+        at = np.zeros(len(x), np.int64)
+        for node, cut in enumerate(self.cuts):  # parents come before their children
+            if cut:
+                here = np.flatnonzero(at == node)
+                at[here] = np.where(x[here, cut[0]] < cut[1], *self.kids[node])
+        return at
+
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """For each query and node, what no row in the node's box can exceed."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return box_bounds(queries, self.low, self.high)
+
+
+def box_bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
 
 
 def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -89,21 +107,30 @@ def search(tree: Tree, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, fl
     return [(q, int(best_i[q, j]), int(best_s[q, j])) for q in range(n) for j in range(k) if best_s[q, j] > -np.inf]
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.int64())
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = pa.concat_arrays([c.flatten() for c in chunks]) if chunks else pa.array([], pa.int64())
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+_FOUND = "query_id long, query long, vec_id long, score long"
+
+
 def _searched(width: int, k: int):
-    """Of one (shard, block): candidates and queries to (query_id, vec_id, score)."""
+    """Of one (shard, part): its vectors, whose tree is built once, and all its queries, in blocks."""
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        ids, own = vectors.column("vec_id").to_numpy(), queries.column("query_id").to_numpy()
-        floor = queries.column("floor").to_pandas().fillna(-np.inf).to_numpy(np.float64)
-        found = search(Tree(_matrix(vectors.column("x"), width)), ids, _matrix(queries.column("q"), width), own, floor, k)
-        return pa.table({"query_id": pa.array([int(own[q]) for q, _, _ in found], pa.int64()), "vec_id": pa.array([i for _, i, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
+        out: list[list] = [[], [], [], []]
+        if vectors.num_rows and queries.num_rows:
+            tree, ids = Tree(_matrix(vectors.column("x"), width)), vectors.column("vec_id").to_numpy()
+            for at in range(0, queries.num_rows, BLOCK):
+                some = queries.slice(at, BLOCK)
+                own, query = some.column("query_id").to_numpy(), some.column("query").to_numpy()
+                floor = some.column("floor").to_pandas().fillna(-np.inf).to_numpy(np.float64)
+                for q, i, s in search(tree, ids, _matrix(some.column("q"), width), own, floor, k):
+                    for column, value in zip(out, (int(own[q]), int(query[q]), i, s), strict=True):
+                        column.append(value)
+        return pa.table({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(_FOUND.split(", "), out, strict=True)})
 
     return run
 
@@ -116,24 +143,86 @@ def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
     return x.filter(F.size("x") == (width[0] if width else 0))
 
 
+def _cells(x: DataFrame, n: int, width: int) -> DataFrame:
+    """vec_id, x and shard: the cell, cut by a bounded sample, and a part of it by hash where a cell is large."""
+    sample = x.select("x", F.xxhash64(F.lit(3), "vec_id", "x").alias("h")).orderBy("h").limit(SAMPLE).toArrow()  # SAMPLE rows at most
+    cells = min(CELLS, max(1, n // SHARD))
+    top = Tree(_matrix(sample.column("x"), width), max(1, sample.num_rows // cells))
+    top.x = top.rows = None
+    shared = x.sparkSession.sparkContext.broadcast(top)  # CELLS nodes, twice, at most
+
+    def placed(batches):
+        for batch in batches:
+            cell = shared.value.cell(_matrix(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64())], names=["vec_id", "x", "cell"])
+
+    celled = through_table(x.mapInArrow(placed, "vec_id long, x array<long>, cell long"), "cells")
+    parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).alias("parts"))  # CELLS rows at most
+    return celled.join(F.broadcast(parts), "cell").select("vec_id", "x", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64(F.lit(9), "vec_id", "x"), "parts")).alias("shard"))
+
+
+def _boxes(shards: DataFrame, width: int) -> DataFrame:
+    """shard, low and high: the tight box of each shard's vectors, partly made where the vectors lie."""
+
+    def partly(batches):
+        for batch in batches:
+            x, shard = _matrix(batch.column(0), width), batch.column(1).to_numpy()
+            for s in np.unique(shard):
+                here = x[shard == s]
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([here.min(0).tolist()], pa.list_(pa.float64())), pa.array([here.max(0).tolist()], pa.list_(pa.float64()))], names=["shard", "low", "high"])
+
+    some = shards.select("x", "shard").mapInArrow(partly, "shard long, low array<double>, high array<double>")
+    side = lambda c, f: F.array(*(f(F.get(c, F.lit(k))) for k in range(width))).alias(c)
+    return some.groupBy("shard").agg(side("low", F.min), side("high", F.max))
+
+
+def _ranked(queries: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
+    """query_id, query, q and the shards in order of falling bound, with the bounds.  Boxes: a row for each shard."""
+    got = boxes.orderBy("shard").toArrow()
+    names = got.column("shard").to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast((names, _matrix(got.column("low"), width), _matrix(got.column("high"), width)))
+
+    def run(batches):
+        names, low, high = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                bound = box_bounds(_matrix(batch.column(2), width), low, high)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[order].tolist(), pa.list_(pa.int64())), pa.array(np.take_along_axis(bound, order, 1).tolist(), pa.list_(pa.float64()))], names=["query_id", "query", "q", "shards", "bounds"])
+
+    return queries.mapInArrow(run, "query_id long, query long, q array<long>, shards array<long>, bounds array<double>")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best rows of `vectors` (vec_id, embedding) for each query row."""
+    """query_id, rank (from 1), vec_id and score of the k best rows of `vectors` (vec_id, embedding) for each query row.
+
+    query tells apart the query rows of one id."""
     ship_package(vectors.sparkSession)
     x = through_table(whole_numbers(vectors, scale), "vectors")
     n, first = x.count(), x.select(F.size("x")).first()
     if not n:
-        return x.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    width, shards = first[0], -(-n // SHARD)
-    queries = x.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")).dropDuplicates()
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("home", F.pmod(F.xxhash64(F.lit(5), "query_id"), F.lit(shards)).cast("int"))
-    shard = F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(shards)).cast("int")
-    # A shard meets every block of queries, each in a call of its own.
-    dealt = x.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scan = lambda asked: dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_searched(width, k), "query_id long, vec_id long, score long")
-    seeds = through_table(scan(queries.select("query_id", "q", "block", F.col("home").alias("shard"), F.lit(None).cast("long").alias("floor"))), "seeds")
-    floor = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    others = queries.join(floor, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    found = seeds.unionByName(scan(others.select("query_id", "q", "block", "shard", "floor")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return x.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"), F.col("vec_id").alias("query"))
+    width = first[0]
+    shards = through_table(_cells(x, n, width), "shards")
+    queries = x.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("query"), F.col("x").alias("q")).dropDuplicates()
+    ranked = through_table(_ranked(queries, _boxes(shards, width), width), "ranked-shards")
+    found = None
+    for low, high in ((0, 1), (1, 1 + NEXT), (1 + NEXT, None)):
+        asked = ranked
+        if found is not None:
+            kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))  # k rows of each visited shard at most
+            asked = ranked.join(found.groupBy("query_id", "query").agg(kth.alias("floor")), ["query_id", "query"], "left")
+        else:
+            asked = ranked.withColumn("floor", F.lit(None).cast("long"))
+        size = F.size("shards") - low if high is None else F.lit(high - low)
+        visit = F.filter(F.arrays_zip(F.slice("shards", low + 1, F.greatest(size, F.lit(0))).alias("shard"), F.slice("bounds", low + 1, F.greatest(size, F.lit(0))).alias("bound")), lambda z: F.col("floor").isNull() | (z["bound"] >= F.col("floor")))
+        asked = through_table(asked.select("query_id", "query", "q", "floor", F.explode(visit).alias("z")).select("query_id", "query", "q", "floor", "z.shard"), "asked")
+        parts = asked.groupBy("shard").agg(F.ceil(F.count("*") / CALL).alias("parts"))  # a row for each shard
+        asked = asked.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "query"), "parts"))
+        held = shards.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        got = held.select("shard", "part", "vec_id", "x").groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(width, k), _FOUND)
+        got = through_table(got, "found")
+        found = got if found is None else found.unionByName(got)
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query")

@@ -38,6 +38,21 @@ def test_odd_rows(spark):
     assert run(docs.filter("vec_id = 0"), 50) == []
 
 
+def test_two_queries_of_one_id_and_a_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 20)
+    monkeypatch.setattr(topk, "CALL", 2)
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), *((k, [k / 100, 1 - k / 90]) for k in range(1, 60)), *((k, [0.5, 0.5]) for k in range(60, 130))]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(docs, F.col("vec_id") % 50 == 0, 5).collect()
+    assert len({(r.query_id, r["query"]) for r in got}) == 4 and len(got) == 20
+    x = [(i, [math.floor(256 * v) for v in e]) for i, e in rows]
+    want = []
+    for q, a in [(0, [256, 0]), (0, [0, 256]), *(r for r in x if r[0] in (50, 100))]:
+        best = sorted((-sum(u * v for u, v in zip(a, b, strict=True)), i) for i, b in x if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_embeddings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in docs.collect()]
