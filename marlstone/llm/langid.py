@@ -73,7 +73,7 @@ def _document_frequency(batches):
 
 def _sampled(batches):
     for batch in batches:
-        for at, data, offsets in batches_of(utf8(batch.column(1))):
+        for at, data, offsets in batches_of(utf8(batch.column(1)), rows=512):
             got = [np.minimum(c, 65535).astype("<u2").tobytes() for c in trigram_counts(data, offsets)]
             first = [h[h < SIZE][:BEGINNING].astype("<u2").tobytes() for h in trigrams(data, offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(got)), pa.array(got, pa.binary()), pa.array(first, pa.binary())], names=["lang", "counts", "first"])
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         at = kept.index("text")
         for batch in batches:
-            for first, data, offsets in batches_of(utf8(batch.column(at)), 2 << 20):
+            for first, data, offsets in batches_of(utf8(batch.column(at)), rows=512):
                 n = len(offsets) - 1
                 part = batch.slice(first, n)
                 letter = np.array([bool(t and _LETTER.search(t)) for t in part.column(at).to_pylist()], bool)

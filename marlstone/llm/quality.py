@@ -105,7 +105,7 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 
 def _features(batches):
     for batch in batches:
-        for _, data, offsets in batches_of(utf8(batch.column(0)), 2 << 20):
+        for _, data, offsets in batches_of(utf8(batch.column(0)), rows=512):
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(data, offsets)], pa.binary())], names=["x"])
 
 
@@ -138,7 +138,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, data, offsets in batches_of(utf8(batch.column(kept.index("text"))), 2 << 20):
+            for first, data, offsets in batches_of(utf8(batch.column(kept.index("text"))), rows=512):
                 score = shared.value.score(features(data, offsets))
                 part = batch.slice(first, len(score))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])

@@ -43,7 +43,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     n = len(column)
     _, off, data = column.buffers()
     if n == 0 or data is None:
@@ -86,12 +87,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 3 << 20):
-    """Cuts (data, offsets) into pieces of about `most` bytes of whole texts: (first text, data, offsets)."""
+def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 1 << 20, rows: int = 1 << 14):
+    """Cuts (data, offsets) into pieces of about `most` bytes of whole texts, `rows` texts at most: (first text, data, offsets)."""
     data, offsets = arrays
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + rows)
         yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
