@@ -252,11 +252,15 @@ def _met(placed: DataFrame, per_cent: int) -> DataFrame:
     overlap = F.ceil((F.col("lo1") + F.col("lo2")) * per_cent / F.lit(100 + per_cent) - 1e-9)
     behind = F.least(F.col("hi1") - F.col("at1"), F.col("hi2") - F.col("at2"))
     sides = [f"{c}{k}" for c in names[:-1] for k in (1, 2)]
-    both = x.join(y, "token").filter("g1 < g2 AND label1 <> label2").filter(_sizes_fit(F.col("lo1"), F.col("lo2"), F.col("hi1"), F.col("hi2"), per_cent))
-    both = both.select(*sides, (behind >= overlap).alias("early")).groupBy(*sides).agg(F.count("*").alias("both"), F.max("early").alias("early")).filter("early")
+    fits = _sizes_fit(F.col("lo1"), F.col("lo2"), F.col("hi1"), F.col("hi2"), per_cent) & (behind >= overlap)
+    both = x.join(y, "token").filter("g1 < g2 AND label1 <> label2").filter(fits).select(*sides).distinct()
     # Those beyond both prefixes are at most ceil(t n) - 1, the others are in both prefixes.
     need = overlap - F.ceil(F.greatest("hi1", "hi2") * per_cent / F.lit(100) - 1e-9) + 1
-    return both.filter(F.col("both") >= need).select(F.col("g1").alias("a"), F.col("g2").alias("b"), "label1", "label2", (F.col("many1") | F.col("many2")).alias("many"), (F.col("tokens1") + F.col("tokens2")).alias("tokens"), overlap.alias("need"))
+    held = shared.groupBy("g").agg(F.collect_list("token").alias("held"))  # of one group's prefixes
+    for k in (1, 2):
+        both = both.join(held.select(F.col("g").alias(f"g{k}"), F.col("held").alias(f"held{k}")), f"g{k}")
+    both = both.filter(F.size(F.array_intersect("held1", "held2")) >= need)
+    return both.select(F.col("g1").alias("a"), F.col("g2").alias("b"), "label1", "label2", (F.col("many1") | F.col("many2")).alias("many"), (F.col("tokens1") + F.col("tokens2")).alias("tokens"), overlap.alias("need"))
 
 
 def join(docs: DataFrame, width: int = 5, per_cent: int = 80) -> DataFrame:
