@@ -19,12 +19,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from marlstone.llm.runtime import bounded_sample, held_out, ship_package
+from marlstone.llm.runtime import bounded_sample, held_out, ship_package, with_fields
 from marlstone.llm.textbatch import batches_of, utf8
 
 #: Hashed trigrams; rows of each language that centroids are fitted on; centroids of each language.
 SIZE, PER_LANGUAGE, CENTROIDS = 4096, 700, 4
+#: Rows at most in the whole sample: with more languages than this allows, each has fewer.
+SAMPLE = 35_000
 #: A text is rejected under SLACK of the LOW quantile of the cosines of learnt texts of its length class, for
 #: which LEAST_ROWS are gathered where there are as many; classes up to that of BEGINNING trigrams can be filled with beginnings.
 SLACK, LOW, LEAST_ROWS, BEGINNING = 0.6, 0.01, 100, 255
@@ -122,7 +125,8 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = PER_
         return None
     by = dict(zip(df["gram"], df["df"], strict=True))
     idf = np.log((1 + by[-1]) / (1 + np.array([by.get(k, 0) for k in range(SIZE)], np.float32))).astype(np.float32) + 0.1
-    sample = bounded_sample(rows, ["lang"], [F.col("doc_id"), F.col("text")], per_language)
+    many = rows.select("lang").distinct().count()
+    sample = bounded_sample(rows, ["lang"], [F.col("doc_id"), F.col("text")], max(1, min(per_language, SAMPLE // many)))
     got = sample.select("lang", "text").mapInArrow(_sampled, "lang string, counts binary, first binary").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "counts", "first")), strict=True))
     lang = np.array([name for name, _, _ in rows], object)
@@ -165,13 +169,12 @@ def _limits(model: Model, lang: np.ndarray, counts: np.ndarray, first: list[np.n
     return np.array(least, np.float32)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of `docs` and lang_pred, score and rejected (older columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """All columns of `docs` and lang_pred, score and rejected, called as `names` says; older columns of these names are replaced."""
     ship_package(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*names)
     kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema.simpleString()[7:-1]
 
     def run(batches):
         m = shared.value
@@ -186,10 +189,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 else:
                     who, score, far = m.predict(np.vstack(list(trigram_counts(data, offsets))))
                 known = letter & (m is not None)
-                names = [m.languages[w] if k else UNKNOWN for w, k in zip(who, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(far | ~known)], names=[*kept, "lang_pred", "score", "rejected"])
+                found = [m.languages[w] if k else UNKNOWN for w, k in zip(who, known, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(far | ~known)], names=[*kept, *names])
 
-    return docs.mapInArrow(run, f"{schema},lang_pred:string,score:double,rejected:boolean" if schema else "lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(run, with_fields(docs, **dict(zip(names, (StringType(), DoubleType(), BooleanType()), strict=True))))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -4,10 +4,13 @@ A linear scorer over the shape of a whole text: square roots of the frequencies
 of words and lines (repeats, lengths, distinctness).  It minimises, by full-batch Adam with the logistic loss l,
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
 with trusted positives P (labels.quality 1) and unlabelled rows U, each a bounded hash sample of learnable rows; where
-the second part is negative its gradient is reversed.  The prior is the share of positives among learnable labels.
+the second part is negative its gradient is reversed.  No negative label is ever read: the prior is estimated from P and
+U alone, by best-bin estimation.  A scorer of P against U is fitted on half of each; on the other halves, the prior is
+the least ratio of the shares of U and P over a score, at the score where that ratio's upper confidence bound is least.
+The fit runs in one task on the bounded sample; the driver holds only its weights.
 
-Cases: a null text scores as an empty one; an id with contradictory labels teaches nothing; with no positives or no
-rows to learn from, every score is the prior (0.5 without labels).  Repeated rows score alike.
+Cases: a null text scores as an empty one; an id that is also labelled other than 1 isn't a trusted positive; with no
+positives or no rows to learn from, every score is 0.5.  Repeated rows score alike, and count once in a sample.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
-from marlstone.llm.runtime import bounded_sample, held_out, ship_package
+from marlstone.llm.runtime import bounded_sample, held_out, ship_package, with_fields
 from marlstone.llm.textbatch import batches_of, span_hashes, spans, utf8
 
-#: Rows at most (expected number of a hash sample) that the classifier is fitted on.
+#: Rows at most that the classifier is fitted on.
 POSITIVES, UNLABELLED = 2000, 4000
+#: Confidence of the prior's bounds, and how much of them the least ratio is charged.
+DELTA, CHARGE = 0.1, 1.01
 STEPS, RATE, DECAY = 250, 0.03, 1e-3
 
 #: Byte classes: lower case, upper case, digit, space, line end, full stop, comma, ! and ?, other ASCII marks in prose,
@@ -79,61 +85,98 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ self.weights + self.bias, -30, 30)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Minimises the non-negative risk. Features are scaled by their spread over the unlabelled rows."""
-    centre, spread = unlabelled.mean(0), unlabelled.std(0)
-    scale = np.where(spread > 1e-6, 1 / (spread + 0.01), 0).astype(np.float32)
-    p, u = (positive - centre) * scale, (unlabelled - centre) * scale
-    w, b = np.zeros(p.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
+def nn_pu(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = STEPS) -> Model:
+    """Minimises the non-negative risk of scaled rows; without a prior the plain logistic risk of P against U."""
+    start = 0.5 if prior is None else prior
+    w, b = np.zeros(p.shape[1], np.float32), np.float32(np.log(start / (1 - start)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         gp, gu = p @ w + b, u @ w + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        from_p = -prior * sigmoid(-gp) / len(p)  # of prior * E_P[l(g)]
-        rest_p, rest_u = -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)  # of E_U[l(-g)] - prior * E_P[l(-g)]
-        if negative < 0:
-            from_p, rest_p, rest_u = 0 * from_p, -rest_p, -rest_u
+        if prior is None:
+            from_p, rest_p, rest_u = -0.5 * sigmoid(-gp) / len(p), 0, 0.5 * sigmoid(gu) / len(u)
+        else:
+            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            from_p = -prior * sigmoid(-gp) / len(p)  # of prior * E_P[l(g)]
+            rest_p, rest_u = -prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)  # of E_U[l(-g)] - prior * E_P[l(-g)]
+            if negative < 0:
+                from_p, rest_p, rest_u = 0 * from_p, -rest_p, -rest_u
         grad, grad_b = p.T @ (from_p + rest_p) + u.T @ rest_u + DECAY * w, (from_p + rest_p).sum() + rest_u.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2, 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b**2
         rate = RATE * min(1.0, 2 * (1 - t / (steps + 1))) / (1 - 0.9**t)
         w = w - (rate * m / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
         b = np.float32(b - rate * mb / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8))
-    weights = (w * scale).astype(np.float64)
-    return Model(weights, float(b - centre @ weights), prior)
+    return Model(w.astype(np.float64), float(b), start)
+
+
+def best_bin(p: np.ndarray, u: np.ndarray) -> float:
+    """The share of positives in u from scores of positives and of unlabelled rows that no scorer was fitted on."""
+    cuts = np.sort(p)[::-1]
+    of_p = np.arange(1, len(p) + 1) / len(p)
+    of_u = (len(u) - np.searchsorted(np.sort(u), cuts)) / len(u)
+    doubt = np.sqrt(np.log(4 / DELTA) / (2 * len(p))) + np.sqrt(np.log(4 / DELTA) / (2 * len(u)))
+    best = int((of_u / of_p + CHARGE * doubt / of_p).argmin())
+    return float(np.clip(of_u[best] / of_p[best], 0.02, 0.98))
+
+
+def learn(p: np.ndarray, u: np.ndarray) -> Model:
+    """The prior, then the classifier, from features of positive and unlabelled rows (which are changed)."""
+    if not len(p) or not len(u):
+        return Model(np.zeros(WIDTH), 0.0, 0.5)
+    centre = u.mean(0)
+    u -= centre
+    p -= centre
+    spread = np.sqrt(np.einsum("ij,ij->j", u, u) / len(u))
+    scale = np.where(spread > 1e-6, 1 / (spread + 0.01), 0).astype(np.float32)
+    u *= scale
+    p *= scale
+    prior = 0.5
+    if len(p) > 1 and len(u) > 1:
+        halves = nn_pu(p[::2], u[::2], None)
+        prior = best_bin(halves.score(p[1::2]), halves.score(u[1::2]))
+    model = nn_pu(p, u, prior)
+    weights = model.weights * scale
+    return Model(weights, float(model.bias - centre @ weights), prior)
 
 
 def _features(batches):
     for batch in batches:
-        for _, data, offsets in batches_of(utf8(batch.column(0)), rows=512):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(data, offsets)], pa.binary())], names=["x"])
+        for at, data, offsets in batches_of(utf8(batch.column(1)), rows=512):
+            x = features(data, offsets)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
 
 
-def _collect(rows: DataFrame) -> np.ndarray:
-    got = rows.select(F.col("text").cast("string")).mapInArrow(_features, "x binary").toArrow().column("x").to_pylist()
-    return np.frombuffer(b"".join(sorted(got)), np.float32).reshape(-1, WIDTH)
+def _learnt(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("x")
+    kinds = rows.column("positive").to_numpy()
+    data = rows.column("x").combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    x = np.frombuffer(data.buffers()[2], np.float32, len(kinds) * WIDTH).reshape(-1, WIDTH)
+    model = learn(x[kinds], x[~kinds])
+    return pa.table({"weights": [model.weights.tolist()], "bias": [model.bias], "prior": [model.prior]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Learns from documents and labels whose ids aren't held out."""
+    """Learns from documents whose ids aren't held out, and from which of them are labelled 1."""
     ship_package(docs.sparkSession)
-    by_id = labels.filter(~held_out() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi")
-    n, good = by_id.agg(F.count("*"), F.coalesce(F.sum("lo"), F.lit(0))).first()
-    prior = float(np.clip((good + 1) / (n + 2), 0.02, 0.98))
-    chosen = bounded_sample(by_id.filter("lo = 1").select("doc_id"), [], [F.col("doc_id")], positives)
-    learnable = docs.filter(~held_out()).select("doc_id", "text")
-    p = _collect(learnable.join(F.broadcast(chosen), "doc_id", "left_semi")) if good else np.zeros((0, WIDTH), np.float32)
-    u = _collect(bounded_sample(learnable, [], [F.col("doc_id"), F.col("text")], unlabelled))
-    if not len(p) or not len(u):
-        return Model(np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
-    return nn_pu(p, u, prior)
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs`, score (0 to 1, higher is better) and predicted (1 from 0.5 on); older columns of these names are replaced."""
+    by_id = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
+    chosen = bounded_sample(by_id.filter("lo = 1 AND hi = 1").select("doc_id"), [], [F.col("doc_id")], positives)  # positives rows at most
+    learnable = docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
+    # An id may have many rows; of those one text is taken.
+    p = bounded_sample(learnable.join(F.broadcast(chosen), "doc_id", "left_semi"), [], [F.col("doc_id")], positives)
+    u = bounded_sample(learnable, [], [F.col("doc_id"), F.col("text")], unlabelled)
+    rows = p.select(F.lit(True).alias("positive"), "text").unionByName(u.select(F.lit(False).alias("positive"), "text"))
+    sample = rows.mapInArrow(_features, "positive boolean, x binary")
+    got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_learnt, "weights array<double>, bias double, prior double").first()
+    return Model(np.array(got.weights), got.bias, got.prior) if got else Model(np.zeros(WIDTH), 0.0, 0.5)
+
+
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of `docs`, score (0 to 1, higher is better) and predicted (1 from 0.5 on), called as `names` says;
+    older columns of these names are replaced."""
     ship_package(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
-    kept, schema = docs.columns, docs.schema.simpleString()[7:-1]
+    docs = docs.drop(*names)
+    kept = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -141,9 +184,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             for first, data, offsets in batches_of(utf8(batch.column(kept.index("text"))), rows=512):
                 score = shared.value.score(features(data, offsets))
                 part = batch.slice(first, len(score))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*kept, *names])
 
-    return docs.mapInArrow(run, f"{schema},score:double,predicted:int")
+    return docs.mapInArrow(run, with_fields(docs, **dict(zip(names, (DoubleType(), IntegerType()), strict=True))))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

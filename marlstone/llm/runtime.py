@@ -9,11 +9,13 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.window import Window
 
 from marlstone.sources.shared import shared_dir, through_table
 from marlstone.sources.tables import table
 
-__all__ = ["bounded_sample", "held_out", "shared_dir", "ship_package", "table", "through_table"]
+__all__ = ["bounded_sample", "free_names", "held_out", "shared_dir", "ship_package", "table", "through_table", "with_fields"]
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -31,15 +33,40 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def bounded_sample(df: DataFrame, strata: list[str], key: list[Column], bound: int) -> DataFrame:
-    """About `bound` rows of each stratum (all, if fewer), chosen by a hash of `key`, so equal on every run.
+    """At most `bound` rows of each stratum: those of least hash of `key`, of rows with equal keys one, equal on every run.
 
-    The expected number is `bound`; the hash decides row by row, without sorting or collecting anything.
+    Rows of a hash far over the expected limit are passed over where they lie, so little is shuffled.
     Used for fitting only; every corpus statistic is computed over all rows."""
-    share = F.pmod(F.xxhash64(F.lit(20240229), *key), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    hashed = F.pmod(F.xxhash64(F.lit(20240229), *key), F.lit(1 << 52))
+    told = df.withColumn("_h", hashed)
+    near = lambda n: F.col("_h") < F.lit(float(1 << 52)) * (4.0 * bound + 64) / n
+    if strata:
+        sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
+        told = told.join(F.broadcast(sizes), strata).filter(near(F.col("_n"))).drop("_n")
+    else:
+        told = told.filter(near(F.lit(float(max(1, df.count())))))
+    kept = [c for c in told.columns if c not in (*strata, "_h")]
+    one = told.groupBy(*strata, "_h").agg(*(F.min(c).alias(c) for c in kept))
     if not strata:
-        return df.filter(share < float(bound) / max(1, df.count()))
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    return df.join(F.broadcast(sizes), strata).filter(share < F.lit(float(bound)) / F.col("_n")).drop("_n")
+        return one.orderBy("_h").limit(bound).drop("_h")
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h"))
+    return one.withColumn("_r", rank).filter(F.col("_r") <= bound).drop("_h", "_r")
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put behind those that `docs` has, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_fields(docs: DataFrame, **added: DataType) -> StructType:
+    """The schema of `docs` with more fields (name: type)."""
+    return StructType([*docs.schema.fields, *(StructField(name, kind) for name, kind in added.items())])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
