@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join: of equal or nearly equal lines only the earliest stays.
 
-A line's words are its lower-cased parts between white space.  Lines of at least MIN_WORDS words are judged; two are
-equal if their words are, and near if both have at least NEAR_WORDS words and one word changed, added or left out turns
-one into the other (edit distance 1 over words).  A line goes if an earlier line (by doc_id, then place) equals it or
-is near it.
+A line's words are its lower-cased parts between white space.  Lines of at least `min_words` words are judged (by default
+all that have a word); two are equal if their words are, and near if both have at least `near_words` words and one word
+changed, added or left out turns one into the other (edit distance 1 over words; by default of five words or more, so
+four fifths agree).  A line goes if an earlier line (by doc_id, then place) equals it or is near it.
 
 The join: every line that can have a near line emits the hash of each variant with one word deleted, with the place of
 the deletion, and of itself.  Lines of equal length are near exactly if they share a variant with the deletion at the
@@ -12,9 +12,10 @@ need only be compared with the key's earliest (or with the single whole line): w
 distance is then verified on the words themselves.  Which lines can have a near line is told by a pigeonhole: near lines
 agree in their first or last half, so lines whose halves are met nowhere else emit nothing.
 
-Native: DataFrame functions only.  Cases: a null text stays null; lines with fewer words than MIN_WORDS, empty ones
-too, always stay; a null doc_id comes last; rows that share an id count as one document, so a line that they repeat at
-the same place is one line; a text that loses all its lines is empty.
+Native: DataFrame functions only.  Cases: a null text stays null; empty lines, and those with fewer words than
+min_words, always stay; rows with a null doc_id have no place in the order, so they stay as they are and make no line go;
+rows that share an id count as one document, so a line that they repeat at the same place is one line; a text that loses
+all its lines is empty; columns of any other names are returned as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from marlstone.llm.runtime import through_table
 
-MIN_WORDS, NEAR_WORDS = 5, 10
+MIN_WORDS, NEAR_WORDS = 1, 5
 #: Halves and documents that matter are told by this many hashes at most, before rows are shuffled. Speed only.
 BUCKETS = 1 << 19
 _MASK = (1 << 40) - 1
@@ -42,11 +43,11 @@ def _once(c: Column) -> Column:
     return F.explode(F.array(c))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, line, raw (a hash of the line as it stands) and words of each line that is judged."""
-    at = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    at = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     at = at.select("doc_id", "line", F.xxhash64("raw").alias("raw"), _once(line_words(F.col("raw"))).alias("words"))
-    return at.filter(F.size("words") >= MIN_WORDS)
+    return at.filter(F.size("words") >= min_words)
 
 
 def _hashes(words: Column) -> list[Column]:
@@ -54,17 +55,17 @@ def _hashes(words: Column) -> list[Column]:
 
 
 def _first(doc_id: Column, line: Column) -> Column:
-    """Orders lines: a null id after all others."""
-    return F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), line.alias("line"))
+    """Orders lines."""
+    return F.struct(doc_id.alias("doc_id"), line.alias("line"))
 
 
-def _halves() -> Column:
+def _halves(near_words: int) -> Column:
     """Keys of a line's halves, for lines of its own length and of one word less: first and last halves alternate."""
     w, n = F.col("words"), F.size("words")
     def key(c):
         return F.array(F.xxhash64(F.lit(1), c, F.slice(w, 1, c)), F.xxhash64(F.lit(2), c, F.slice(w, -c, c)))
     whole, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.when(n >= NEAR_WORDS, F.when(whole == less, key(whole)).otherwise(F.concat(key(whole), key(less))))
+    return F.when(n >= near_words, F.when(whole == less, key(whole)).otherwise(F.concat(key(whole), key(less))))
 
 
 def _buckets(keys: DataFrame, of: Column, n: int) -> DataFrame:
@@ -90,7 +91,7 @@ def _variants(lines: DataFrame) -> DataFrame:
     return sums.select("first", F.explode(F.when(F.col("k") == 0, F.array(same, short, itself)).otherwise(F.array(same, short))).alias("v")).select("first", "v.key", "v.whole")
 
 
-def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
+def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     """The first places of the lines that go because an earlier line is near."""
     # Pigeonhole: lines that share a half with another line.
     halves = distinct.filter("halves IS NOT NULL").select("first", F.explode("halves").alias("half"))
@@ -99,7 +100,7 @@ def _near(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     at = through_table(maybe.join(shared, "half", "left_semi").select("first").distinct(), "line-candidates")
     # Their words, from the documents that hold their first places.
     holders = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).join(_buckets(at, F.col("first.doc_id"), BUCKETS), F.col("_k") == F.col("_b"), "left_semi")
-    words = _lines(holders.select("doc_id", "text")).select(_first(F.col("doc_id"), F.col("line")).alias("first"), "words")
+    words = _lines(holders.select("doc_id", "text"), min_words).select(_first(F.col("doc_id"), F.col("line")).alias("first"), "words")
     lines = through_table(words.join(at, "first", "left_semi").dropDuplicates(["first"]), "line-words")
 
     v = through_table(_variants(lines), "variants")
@@ -125,41 +126,46 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(n == m, rest(a, 1) == rest(b, 1)).when(n == m + 1, rest(a, 1) == rest(b, 0)).when(m == n + 1, rest(a, 0) == rest(b, 1)).otherwise(False)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """All columns of `docs`, the text without the lines that go, and n_lines, n_exact and n_near (lines that went)."""
-    docs = docs.drop("n_lines", "n_exact", "n_near")
-    judged = _lines(docs.select("doc_id", "text"))
-    lines = through_table(judged.select("doc_id", "line", "raw", *_hashes(F.col("words")), _halves().alias("halves")), "lines")
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, names: tuple[str, str, str] = ("n_lines", "n_exact", "n_near")) -> DataFrame:
+    """All columns of `docs`, the text without the lines that go, and n_lines, n_exact and n_near (lines that went),
+    called as `names` says; older columns of these names are replaced."""
+    docs = docs.drop(*names)
+    texts = docs.select("doc_id", "text")
+    judged = _lines(texts, min_words)
+    lines = through_table(judged.select("doc_id", "line", "raw", *_hashes(F.col("words")), _halves(near_words).alias("halves")), "lines")
     here = _first(F.col("doc_id"), F.col("line"))
     distinct = lines.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count("*").alias("n"), F.min_by("halves", here).alias("halves"))
     distinct = through_table(distinct, "distinct-lines")
-    near = _near(distinct.select("first", "halves"), docs.select("doc_id", "text")).withColumn("near", F.lit(True))
+    near = _near(distinct.select("first", "halves"), texts, min_words).withColumn("near", F.lit(True))
     bad = distinct.select("h1", "h2", "first", "n").join(near, "first", "left").filter("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("doc_id", "line", "raw", "h1", "h2").join(bad, ["h1", "h2"])
     gone = gone.filter(F.col("near") | (F.col("first") != here)).withColumn("exact", F.col("first") != here)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "raw", "exact")).alias("gone"))  # lines of one document
-    per_doc = through_table(per_doc.withColumnRenamed("doc_id", "_id"), "lines-gone")
+    per_doc = through_table(per_doc.withColumnRenamed("doc_id", "of"), "lines-gone")
 
-    # Documents that lose nothing need not be shuffled.  The old text is renamed: within a lambda its name would mean
-    # the new column of the same select.
-    told = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
-    touched = _buckets(per_doc, F.col("_id"), BUCKETS)
+    # Documents that lose nothing need not be shuffled.  The caller's columns lie in a struct, where no name can clash.
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    told = held.withColumn("bucket", F.pmod(F.xxhash64("row.doc_id"), F.lit(BUCKETS)))
+    touched = _buckets(per_doc, F.col("of"), BUCKETS)
     none = F.lit(0).cast("long")
-    n_lines = F.when(F.col("text").isNull(), none).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    plain = told.join(touched, F.col("_k") == F.col("_b"), "left_anti").select(*docs.columns, n_lines.alias("n_lines"), none.alias("n_exact"), none.alias("n_near"))
-    some = told.join(touched, F.col("_k") == F.col("_b"), "left_semi").drop("_k").withColumnRenamed("text", "_text")
-    joined = some.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return _rebuilt(joined, docs.columns).unionByName(plain)
-
-
-def _rebuilt(joined: DataFrame, columns: list[str]) -> DataFrame:
-    """From _text and gone: the text kept and the counts."""
-    split = joined.select("*", _once(F.split("_text", "\n")).alias("_parts"))
+    text = F.col("row.text")
+    n_lines = F.when(text.isNull(), none).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    plain = told.join(touched, F.col("bucket") == F.col("_b"), "left_anti").select(*kept, *(c.alias(name) for c, name in zip((n_lines, none, none), names, strict=True)))
+    some = told.join(touched, F.col("bucket") == F.col("_b"), "left_semi")
+    joined = some.join(per_doc, F.col("row.doc_id") == F.col("of"), "left")
+    return _rebuilt(joined, docs.columns, names).unionByName(plain)
+
+
+def _rebuilt(joined: DataFrame, columns: list[str], names: tuple[str, str, str]) -> DataFrame:
+    """From row and gone: the row with the text kept, and the counts."""
+    split = joined.select("row", "gone", _once(F.split("row.text", "\n")).alias("parts"))
     # Rows that share an id may differ: a line goes only where it is the line that was judged.
-    mine = F.filter(F.coalesce("gone", F.array().cast(joined.schema["gone"].dataType)), lambda g: F.xxhash64(F.get(F.col("_parts"), g["line"])) == g["raw"])
-    told = split.select("*", _once(mine).alias("_mine"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.transform("_mine", lambda g: g["line"]))
-    text = F.when(F.size("_mine") == 0, F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_parts"), i)), "\n"))
-    exact = F.size(F.filter("_mine", lambda g: g["exact"])).cast("long")
-    lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_parts")).cast("long")
-    return told.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), lines.alias("n_lines"), exact.alias("n_exact"), (F.size("_mine").cast("long") - exact).alias("n_near"))
+    mine = F.filter(F.coalesce("gone", F.array().cast(joined.schema["gone"].dataType)), lambda g: F.xxhash64(F.get(F.col("parts"), g["line"])) == g["raw"])
+    told = split.select("row", "parts", _once(mine).alias("mine"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.transform("mine", lambda g: g["line"]))
+    text = F.when(F.size("mine") == 0, F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("parts"), i)), "\n"))
+    exact = F.size(F.filter("mine", lambda g: g["exact"])).cast("long")
+    lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("parts")).cast("long")
+    counts = (lines, exact, F.size("mine").cast("long") - exact)
+    return told.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in columns), *(c.alias(name) for c, name in zip(counts, names, strict=True)))

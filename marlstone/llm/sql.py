@@ -52,16 +52,16 @@ SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, c.c AS component_id FROM
 """
 
 OP4 = r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(lower(raw), '[\t-\r ]+'), lambda x: x <> '') AS ws, {'none': doc_id IS NULL, 'doc_id': doc_id, 'line': line} AS here FROM l),
-d AS (SELECT ws, min(here) AS first FROM w WHERE len(ws) >= 5 GROUP BY 1),
-v AS (SELECT first, len(ws) AS n, k, list_concat(ws[:k - 1], ws[k + 1:]) AS less FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM d WHERE len(ws) >= 10)),
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE doc_id IS NOT NULL),
+w AS (SELECT *, list_filter(string_split_regex(lower(raw), '[\t-\r ]+'), lambda x: x <> '') AS ws, {'doc_id': doc_id, 'line': line} AS here FROM l),
+d AS (SELECT ws, min(here) AS first FROM w WHERE len(ws) >= 1 GROUP BY 1),
+v AS (SELECT first, len(ws) AS n, k, list_concat(ws[:k - 1], ws[k + 1:]) AS less FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM d WHERE len(ws) >= 5)),
 g AS (SELECT n, k, less, min(first) AS earliest FROM v GROUP BY ALL HAVING count(*) > 1),
-o AS (SELECT v.first AS more, d.first AS fewer FROM v JOIN d ON v.less = d.ws AND len(d.ws) >= 10),
+o AS (SELECT v.first AS more, d.first AS fewer FROM v JOIN d ON v.less = d.ws AND len(d.ws) >= 5),
 near AS (SELECT v.first FROM v JOIN g USING (n, k, less) WHERE earliest < v.first UNION SELECT more FROM o WHERE fewer < more UNION SELECT fewer FROM o WHERE more < fewer),
 j AS (SELECT w.doc_id, w.raw, w.line, d.first IS NOT NULL AND d.first <> w.here AS exact, d.first IS NOT NULL AND d.first = w.here AND near.first IS NOT NULL AS close FROM w LEFT JOIN d ON w.ws = d.ws LEFT JOIN near ON d.first = near.first),
-a AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) FILTER (NOT exact AND NOT close) AS text, count(*) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (close) AS n_near FROM j GROUP BY 1)
-SELECT x.doc_id, CASE WHEN x.text IS NOT NULL THEN coalesce(a.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near FROM documents x LEFT JOIN a ON x.doc_id IS NOT DISTINCT FROM a.doc_id
+a AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY line) FILTER (NOT exact AND NOT close) AS text, count(*) FILTER (exact) AS n_exact, count(*) FILTER (close) AS n_near FROM j GROUP BY 1)
+SELECT x.doc_id, CASE WHEN a.doc_id IS NULL THEN x.text WHEN x.text IS NOT NULL THEN coalesce(a.text, '') END AS text, coalesce(len(string_split(x.text, chr(10))), 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near FROM documents x LEFT JOIN a ON x.doc_id = a.doc_id
 """
 
 

@@ -20,8 +20,8 @@ def brute(rows):
     """(doc_id, text) with distinct ids: the text kept, and how many lines went for being equal and for being near."""
     seen, out = [], {}
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        if text is None:
-            out[doc_id] = (None, 0, 0)
+        if text is None or doc_id is None:
+            out[doc_id] = (text, 0, 0)
             continue
         kept, exact, near = [], 0, 0
         for line in text.split("\n"):
@@ -48,7 +48,7 @@ def check(docs, rows):
 
 def test_random_lines(spark):
     rng = random.Random(5)
-    base = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([4, 5, 9, 10, 11, 12, 13]))] for _ in range(25)]
+    base = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 10, 11]))] for _ in range(25)]
     rows = []
     for d in range(120):
         lines = []
@@ -72,6 +72,21 @@ def test_odd_rows(spark):
     assert linededup.dedup(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns_come_back_unchanged(spark):
+    names = ["gone", "_text", "_k", "_b", "_id", "of", "parts", "mine", "row", "bucket", "line", "raw", "words", "first", "near", "h1"]
+    rows = [(d, "a line that stands twice here\nanother line of text " + str(d) * d, *(f"{n}{d}" for n in names)) for d in range(1, 5)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = {r.doc_id: r for r in linededup.dedup(docs).collect()}
+    assert all(got[d][n] == f"{n}{d}" for d in range(1, 5) for n in names)
+    assert {d: got[d].text for d in got} == {d: t for d, (t, _, _) in brute([r[:2] for r in rows]).items()}
+
+
+def test_limits_are_parameters(spark):
+    docs = spark.createDataFrame([(1, "ok\none two three four five six"), (2, "ok\none two three four five 6")], "doc_id long, text string")
+    got = lambda **k: {r.doc_id: r.text for r in linededup.dedup(docs, **k).collect()}
+    assert got()[2] == "" and got(min_words=2)[2] == "ok" and got(near_words=7)[2] == "one two three four five 6"
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -64,3 +65,15 @@ def test_pipeline_odd_rows(spark):
             out = stage(spark, docs, SF)
             assert name == "best-fit packing" or out.columns == docs.columns
             out.count()
+
+
+def test_pipeline_returns_clashing_columns_unchanged(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 400")
+    names = ["score", "Predicted", "lang_pred", "rejected", "n_lines", "n_exact", "gone", "_text", "_b", "_kept", "c", "id"]
+    wide = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, wide, SF), stage(spark, docs, SF)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect()), name
