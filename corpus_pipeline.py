@@ -12,29 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import langid, linededup, ngramjoin, packing, quality
-from marlstone.llm.runtime import held_out, table, through_table
+from marlstone.llm.runtime import free_names, held_out, table, through_table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts as of quality 1."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.predict(docs, model).filter("predicted = 1").select(docs.columns)
+    score, predicted = free_names(docs, "score", "predicted")
+    return quality.predict(docs, model, (score, predicted)).filter(F.col(predicted) == 1).drop(score, predicted)
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learnt languages; those far from all centroids, or without a letter, go."""
-    return langid.predict(docs, langid.fit(docs, ~held_out())).filter("NOT rejected").select(docs.columns)
+    names = free_names(docs, "lang_pred", "score", "rejected")
+    return langid.predict(docs, langid.fit(docs, ~held_out()), tuple(names)).filter(~F.col(names[-1])).drop(*names)
 
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one has; a document left without text goes. n_chars follows the text."""
-    cleaned = linededup.dedup(docs).filter("text <> '' OR n_lines = 0 OR n_exact + n_near = 0")
-    return cleaned.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes))
+    lines, exact, near = names = free_names(docs, "n_lines", "n_exact", "n_near")
+    cleaned = linededup.dedup(docs, names=tuple(names)).filter((F.col("text") != "") | (F.col(lines) == 0) | (F.col(exact) + F.col(near) == 0))
+    return cleaned.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, Jaccard of 0.8 or more."""
-    return ngramjoin.keep_one(docs, width=5, per_cent=80).select(docs.columns)
+    return ngramjoin.keep_one(docs, width=5, per_cent=80)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
