@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (local runs)."""
+    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset and the master is local.
+
+    On a cluster without that setting there is no folder that all share, so this raises ValueError."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='marlstone-checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", at)
