@@ -5,8 +5,11 @@ rows in DuckDB, which a recursive query joins to the merge table, contracting ea
 until none is left.  An ordered aggregation over the ids gives the decoded bytes.  A text's ids are those of its pieces
 in order.  Equal to the tiktoken library's ordinary encoding.
 
-Cases: a null or empty text has no ids (and decodes to nothing); pieces over LONG bytes contract all occurrences of
-their least pair in one round, which gives the same ids, as in a trained table a merge's outcome outranks its parts.
+A piece over LONG bytes contracts all occurrences of its least pair in one round, which gives the same ids, as a merge's
+outcome outranks its parts; and its query ends after so many rounds that they hold ROWS rows at most (or one round), the
+last round's tokens being the next query's first, so memory doesn't grow with the rounds.
+
+Cases: a null or empty text has no ids (and decodes to nothing); a piece may be as long as the text.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from marlstone.llm.runtime import ship_package
 
 #: Pieces longer than this contract every occurrence of the least pair in a round.
 LONG = 200
+#: Rows that one recursive query of a long piece may gather (expected).
+ROWS = 1_500_000
 #: Pieces that one worker keeps encoded; when full it starts anew. A matter of speed only.
 CACHE = 700_000
 #: Pieces that one DuckDB statement encodes, and bytes of text that are looked at together.
@@ -44,24 +49,19 @@ SELECT w, arg_max(ids, step) AS ids FROM pieces GROUP BY w
 """
 
 _ENCODE_LONG = """
-WITH RECURSIVE tok(step, w, pos, id) AS (
-    SELECT 0, w, pos, id FROM piece_bytes
+WITH RECURSIVE tok(step, pos, id) AS (
+    SELECT 0, pos, id FROM piece_bytes
   UNION ALL (
-    WITH seen AS (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM tok),
+    WITH seen AS (SELECT *, lead(id) OVER (ORDER BY pos) AS nxt, row_number() OVER (ORDER BY pos) AS rn FROM tok WHERE step < {rounds}),
     ranked AS (SELECT seen.*, m.id AS made FROM seen LEFT JOIN merges m ON m.a = seen.id AND m.b = seen.nxt),
-    least AS (SELECT w, min(made) AS made FROM ranked GROUP BY w HAVING min(made) IS NOT NULL),
-    marked AS (
-        SELECT step, w, pos, id, ranked.made IS NOT DISTINCT FROM least.made AS hit, least.made,
-               row_number() OVER (PARTITION BY w ORDER BY pos) AS rn
-        FROM ranked JOIN least USING (w)
-    ),
-    runs AS (SELECT *, rn - coalesce(max(CASE WHEN NOT hit THEN rn END) OVER (PARTITION BY w ORDER BY pos), 0) AS k FROM marked),
-    chosen AS (SELECT *, hit AND k % 2 = 1 AS take FROM runs),
-    kept AS (SELECT *, coalesce(lag(take) OVER (PARTITION BY w ORDER BY pos), FALSE) AS gone FROM chosen)
-    SELECT step + 1, w, pos, CASE WHEN take THEN made ELSE id END FROM kept WHERE NOT gone
+    least AS (SELECT min(made) AS made FROM ranked HAVING min(made) IS NOT NULL),
+    hits AS (SELECT rn, rn - row_number() OVER (ORDER BY rn) AS run FROM ranked JOIN least USING (made)),
+    taken AS (SELECT rn FROM (SELECT rn, row_number() OVER (PARTITION BY run ORDER BY rn) AS k FROM hits) WHERE k % 2 = 1)
+    SELECT step + 1, pos, CASE WHEN t.rn IS NOT NULL THEN least.made ELSE id END
+    FROM ranked r CROSS JOIN least LEFT JOIN taken t ON r.rn = t.rn WHERE r.rn - 1 NOT IN (SELECT rn FROM taken)
   )
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM tok JOIN (SELECT w, max(step) AS step FROM tok GROUP BY w) USING (w, step) GROUP BY w
+SELECT step, pos, id FROM tok WHERE step = (SELECT max(step) FROM tok)
 """
 
 _DECODE = """
@@ -94,16 +94,33 @@ class Codec:
     def pieces(self, pieces: list[bytes]):
         """For each piece of at least one byte, which isn't cut any further, its ids as decimals and their decoding."""
         short = [k for k, x in enumerate(pieces) if len(x) <= LONG]
-        groups = [(_ENCODE, short[i : i + CHUNK]) for i in range(0, len(short), CHUNK)] + [(_ENCODE_LONG, [k]) for k, x in enumerate(pieces) if len(x) > LONG]
-        for sql, chosen in groups:
-            sizes = np.array([len(pieces[k]) for k in chosen])
-            w = np.repeat(np.arange(len(chosen), dtype=np.int32), sizes)
-            pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
-            ids = self.byte_id[np.frombuffer(b"".join(pieces[k] for k in chosen), np.uint8)]
-            self._table("piece_bytes", pa.table({"w": w, "pos": pos, "id": ids}))
-            self.con.execute(f"CREATE OR REPLACE TABLE id_lists AS {sql}")
-            for w, decimals, hexed in self.con.execute(_DECODE).fetchall():
-                yield chosen[w], decimals, bytes.fromhex(hexed)
+        for i in range(0, len(short), CHUNK):
+            chosen = short[i : i + CHUNK]
+            self._bytes([pieces[k] for k in chosen])
+            self.con.execute(f"CREATE OR REPLACE TABLE id_lists AS {_ENCODE}")
+            yield from self._decoded(chosen)
+        for k, x in enumerate(pieces):
+            if len(x) > LONG:
+                self._bytes([x])
+                step = rounds = 1
+                while step == rounds:  # the query ended for its rounds, not for want of pairs
+                    n = self.con.execute("SELECT count(*) FROM piece_bytes").fetchone()[0]
+                    rounds = max(1, ROWS // n)
+                    self.con.execute(f"CREATE OR REPLACE TABLE tokens AS {_ENCODE_LONG.format(rounds=rounds)}")
+                    step = self.con.execute("SELECT any_value(step) FROM tokens").fetchone()[0]
+                    self.con.execute("CREATE OR REPLACE TABLE piece_bytes AS SELECT 0 AS w, pos, id FROM tokens")
+                self.con.execute("CREATE OR REPLACE TABLE id_lists AS SELECT 0 AS w, list(id ORDER BY pos) AS ids FROM tokens")
+                yield from self._decoded([k])
+
+    def _bytes(self, pieces: list[bytes]) -> None:
+        sizes = np.array([len(x) for x in pieces])
+        w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        pos = np.arange(len(w), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+        self._table("piece_bytes", pa.table({"w": w, "pos": pos, "id": self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]}))
+
+    def _decoded(self, chosen: list[int]):
+        for w, decimals, hexed in self.con.execute(_DECODE).fetchall():
+            yield chosen[w], decimals, bytes.fromhex(hexed)
 
     def learn(self, pieces: set[str]) -> None:
         new = sorted(pieces - self.known.keys())

@@ -1,12 +1,14 @@
 """Best-fit packing of token sequences into fixed windows, with several capacities (vector bin packing).
 
-Documents are tokenised where they lie; the pieces (lengths only, no ids) are dealt by hash into shards of bounded
-expected size, and each shard is packed on its own in order of falling length.  A sequence has three capacities:
-tokens, documents, and attention cost (the sum of squared piece lengths).  A piece goes to the open sequence where all
-three hold and the weighted norm of what would remain is least; where none fits it opens a new one.
+Documents are tokenised where they lie; the pieces (lengths only, no ids) are dealt into shards of bounded expected
+size, and each shard is packed on its own in order of falling length.  A sequence has three capacities: tokens, pieces,
+and attention cost (a piece of b blocks of `block` tokens costs b * b, as block-wise attention within documents does).
+A piece goes to the open sequence where all three hold and the weighted norm of what would remain is least, of equal
+ones to that opened first; where none fits it opens a new one.
 
 Cases: a null or empty text is one piece holding the end token; a document of no more than `window` tokens is never cut;
-of a longer one the first piece may be shorter and the others are full; repeated rows are packed like any others.
+of a longer one the first piece may be shorter and the others are full; repeated rows are packed like any others, and
+dealt to different shards.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.runtime import ship_package
+from marlstone.llm.runtime import ship_package, through_table
 
-#: Documents that one shard is meant to hold.
-SHARD_DOCS = 8192
+#: Pieces that one shard is meant to hold; pieces that one sequence holds at most; tokens in a block of attention.
+SHARD, MOST, BLOCK = 4096, 64, 128
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -109,48 +111,49 @@ def pieces(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: in
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECE + ", ids array<int>" * keep_ids)
 
 
-def fit(lengths: np.ndarray, window: int, most_docs: int, most_cost: int, weights: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each length, lengths falling."""
-    capacity = np.array([window, most_docs, most_cost], np.float64)
-    scale = np.asarray(weights, np.float64) / capacity**2
+def fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights: tuple[float, float, float], block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each length, lengths falling; capacity: tokens, pieces and blocks' cost."""
+    full = np.array(capacity, np.float64)
+    scale = np.asarray(weights, np.float64) / full**2
     n = len(lengths)
     where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
     residual, name, opened = np.zeros((n, 3)), np.zeros(n, np.int64), 0  # open sequences come first, in order of opening
     made = 0
     for k in range(n):
         length = int(lengths[k])
-        size = np.array([length, 1, length * length], np.float64)
+        size = np.array([length, 1, (-(-length // block)) ** 2], np.float64)
         left = residual[:opened] - size
         fits = (left >= 0).all(1)
         if fits.any():
-            norm = np.where(fits, (left * left) @ scale, np.inf)
-            b = int(norm.argmin())
+            b = int(np.where(fits, (left * left) @ scale, np.inf).argmin())
         else:
             b, opened = opened, opened + 1
-            residual[b], name[b], made = capacity, made, made + 1
-        where[k], offset[k] = name[b], window - int(residual[b, 0])
+            residual[b], name[b], made = full, made, made + 1
+        where[k], offset[k] = name[b], capacity[0] - int(residual[b, 0])
         residual[b] -= size
         if k % 256 == 255:  # sequences that can't take the shortest piece any more are closed
-            live = np.flatnonzero(residual[:opened, 0] >= lengths[-1])
+            live = np.flatnonzero((residual[:opened, 0] >= lengths[-1]) & (residual[:opened, 1:] > 0).all(1))
             residual[: len(live)], name[: len(live)], opened = residual[live], name[live], len(live)
     return where, offset
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, most_docs: int | None = None, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.05), added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: int = 2, most: int = MOST, most_cost: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.05), block: int = BLOCK, added_tokens: bool = False) -> DataFrame:
     """Every piece with its sequence_id and offset (added_tokens: see `pieces`).
 
-    most_docs and most_cost default to what `window` tokens can hold at most, so that sequences are as few as can be;
-    smaller values are kept as hard limits (a piece that alone exceeds most_cost raises)."""
-    n_docs = docs.count()
-    shards = max(1, -(-n_docs // SHARD_DOCS))
-    most_docs, most_cost = most_docs or window, most_cost or window * window
-    if most_cost < window * window:
-        raise ValueError("a full piece would exceed the attention cost of a sequence")
+    A sequence holds `most` pieces and blocks of `most_cost` at most; the latter is by default what one full piece costs,
+    the least that can be (less raises ValueError)."""
+    least = (-(-window // block)) ** 2
+    most_cost = least if most_cost is None else most_cost
+    if most_cost < least or most < 1:
+        raise ValueError("a full piece would exceed the capacity of a sequence")
+    cut = through_table(pieces(docs, path, pattern, window, end, added_tokens=added_tokens), "pieces")
+    shards = max(1, -(-cut.count() // SHARD))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.drop_columns(["shard"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
-        where, offset = fit(rows.column("length").to_numpy(), window, most_docs, most_cost, weights)
+        where, offset = fit(rows.column("length").to_numpy(), (window, most, most_cost), weights, block)
         return rows.append_column("sequence_id", pa.array(where + (key[0].as_py() << 32))).append_column("offset", pa.array(offset))
 
-    dealt = pieces(docs, path, pattern, window, end, added_tokens=added_tokens).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    # The place in the written table tells repeated rows apart.
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(run, _PIECE + ", sequence_id long, offset long")

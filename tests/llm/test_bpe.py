@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -33,6 +34,14 @@ def test_long_pieces(library, text):
     assert ids == ",".join(map(str, library.encode_ordinary(text))) and raw == text.encode()
 
 
+@pytest.mark.parametrize("n", [3000, 100_000])
+def test_one_long_piece_of_random_letters(library, n):
+    rng = random.Random(n)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    ((ids, raw),) = bpe.codec(PATH, P.PATTERN).texts([text])
+    assert ids == ",".join(map(str, library.encode_ordinary(text))) and raw == text.encode()
+
+
 def test_operator(spark, library):
     rows = [(1, "Hello there, world", 9), (2, None, 1), (3, "", 2), (3, "", 2), (None, "déjà vu " * 5000, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")

@@ -1,7 +1,10 @@
+import math
 import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marlstone.llm import packing
@@ -10,15 +13,13 @@ PATH = P.path("byte_bpe_50k.json")
 
 
 def truth(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return [*Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def test_pack(spark):
     rows = [(1, "Hello there", 1), (2, None, 2), (3, "", 3), (4, "the cat's hat \n\n é " * 700, 4), (5, "<|endoftext|>", 5), (1, "Hello there", 1), (None, "x y " * 40, 6)]
     docs = spark.createDataFrame(rows * 2, "doc_id long, text string, piece int")
-    got = packing.pack(docs, PATH, P.PATTERN).collect()
+    got = packing.pack(docs, PATH, P.PATTERN, added_tokens=True).collect()
     want = {d: truth(t) for d, t, _ in rows}
     by_doc: dict = {}
     for r in got:
@@ -46,15 +47,45 @@ def test_pack(spark):
     assert ids == want[1]
 
 
-def test_every_capacity_holds():
-    lengths = np.sort(np.random.default_rng(0).integers(1, 60, 500))[::-1]
-    where, offset = packing.fit(lengths, 100, 4, 10_000, (1.0, 0.1, 0.1))
-    for b in np.unique(where):
-        mine = lengths[where == b]
-        assert mine.sum() <= 100 and len(mine) <= 4 and (mine**2).sum() <= 10_000
-        order = np.argsort(offset[where == b])
-        assert (offset[where == b][order] == np.cumsum(mine[order]) - mine[order]).all()
-    assert where.max() + 1 <= 1.3 * max(lengths.sum() / 100, len(lengths) / 4)
+def brute_best_fit(lengths, capacity, weights, block):
+    """One piece after the other, every sequence looked at."""
+    sequences, out = [], []
+    for n in lengths:
+        size = (n, 1, math.ceil(n / block) ** 2)
+        best = None
+        for k, used in enumerate(sequences):
+            left = [c - u - s for c, u, s in zip(capacity, used, size)]
+            if min(left) >= 0:
+                norm = sum(w * (x / c) ** 2 for w, x, c in zip(weights, left, capacity))
+                if best is None or norm < best[0] - 1e-15:
+                    best = (norm, k)
+        if best is None:
+            sequences.append([0, 0, 0])
+            best = (0, len(sequences) - 1)
+        k = best[1]
+        out.append((k, sequences[k][0]))
+        sequences[k] = [u + s for u, s in zip(sequences[k], size)]
+    return out, sequences
+
+
+@pytest.mark.parametrize("capacity,weights,block", [((100, 4, 60), (1.0, 0.3, 0.2), 10), ((1024, 64, 64), (1.0, 0.01, 0.05), 128), ((64, 64, 4), (1.0, 0.5, 0.5), 32)])
+def test_equals_brute_force_best_fit(capacity, weights, block):
+    rng = np.random.default_rng(5)
+    lengths = np.sort(np.concatenate([rng.integers(1, capacity[0] + 1, 300), rng.integers(1, max(2, capacity[0] // 50), 900)]))[::-1]
+    where, offset = packing.fit(lengths, capacity, weights, block)
+    want, sequences = brute_best_fit(lengths.tolist(), capacity, weights, block)
+    assert list(zip(where.tolist(), offset.tolist(), strict=True)) == want
+    assert any(s[1] == capacity[1] or s[2] == capacity[2] for s in sequences if s[0] < capacity[0])  # another bound than tokens binds
+
+
+def test_repeated_rows_fill_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    docs = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same words " * 30).alias("text")).repartition(4)
+    got = packing.pack(docs, PATH, P.PATTERN).collect()
+    shards = {}
+    for r in got:
+        shards[r.sequence_id >> 32] = shards.get(r.sequence_id >> 32, 0) + 1
+    assert len(got) == 1000 and len(shards) >= 15 and max(shards.values()) < 200
 
 
 def test_queries_give_added_tokens_their_ids(spark, tmp_path):
