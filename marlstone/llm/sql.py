@@ -71,7 +71,7 @@ def op8() -> str:
 
     text = lambda x: "'" + x.replace("'", "''") + "'"
     vocabulary, postings = L.index()
-    words = ", ".join(f"({text(w)}, {str(w not in L.COMMON).upper()})" for w in vocabulary)
+    words = ", ".join(f"({text(w)})" for w in vocabulary)
     posts = ", ".join(f"({text(w)}, {t}, {q}, {str(key).upper()}, {text(label)})" for w, t, q, key, label in postings)
     starts = ", ".join(
         f"list_filter(range(len(ws)), lambda i: {' AND '.join(f'ws[i + {k}] = {text(w)}' for k, w in enumerate(phrase.split(), 1))}) AS s{n}" for n, (phrase, _) in enumerate(L.BASE)
@@ -79,18 +79,17 @@ def op8() -> str:
     every = "list_concat(" + ", ".join(f"s{n}" for n in range(len(L.BASE))) + ")"
     base = "list_filter([" + ", ".join(f"CASE WHEN len(s{n}) > 0 THEN {text(label)} END" for n, (_, label) in enumerate(L.BASE)) + "], lambda x: x IS NOT NULL)"
     return rf"""
-WITH vocab(w, rare) AS (VALUES {words}), post(w, t, q, key, label) AS (VALUES {posts}),
+WITH vocab(w) AS (VALUES {words}), post(w, t, q, key, label) AS (VALUES {posts}),
 d AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
 tok AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d),
-hits AS (SELECT rid, w, i, rare FROM tok JOIN vocab USING (w)),
+hits AS (SELECT rid, w, i FROM tok JOIN vocab USING (w)),
 df AS (SELECT w, count(DISTINCT rid) AS c FROM hits GROUP BY 1),
 idf AS (SELECT w, round(ln(((SELECT count(*) FROM documents) + 1) / (coalesce(c, 0) + 1)) + 1, 9) AS idf FROM vocab LEFT JOIN df USING (w)),
-opened AS (SELECT DISTINCT rid FROM hits WHERE rare),
-top AS (SELECT rid, w FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY idf DESC, w) AS r FROM (SELECT DISTINCT rid, w FROM hits JOIN opened USING (rid)) JOIN idf USING (w)) WHERE r <= {L.RARE}),
-votes AS (SELECT h.rid, t, i - q AS place, key, CASE WHEN top.w IS NOT NULL THEN idf ELSE 0 END AS vote FROM hits h JOIN opened USING (rid) JOIN post USING (w) JOIN idf USING (w) LEFT JOIN top ON top.rid = h.rid AND top.w = h.w),
+top AS (SELECT rid, t, w FROM (SELECT rid, t, w, row_number() OVER (PARTITION BY rid, t ORDER BY idf DESC, w) AS r FROM (SELECT DISTINCT rid, t, w FROM hits JOIN post USING (w)) JOIN idf USING (w)) WHERE r <= {L.RARE}),
+votes AS (SELECT h.rid, post.t, i - q AS place, key, CASE WHEN top.w IS NOT NULL THEN idf ELSE 0 END AS vote FROM hits h JOIN post USING (w) JOIN idf USING (w) LEFT JOIN top ON top.rid = h.rid AND top.t = post.t AND top.w = h.w),
 gathered AS (SELECT rid, t, place, sum(vote) AS got, count(*) FILTER (key) AS keys FROM votes GROUP BY ALL),
 needed AS (SELECT t, any_value(label) AS label, count(*) FILTER (key) AS keys FROM post GROUP BY 1),
-could AS (SELECT rid, t, sum(idf) AS could FROM top JOIN post USING (w) JOIN idf USING (w) GROUP BY ALL),
+could AS (SELECT rid, t, sum(idf) AS could FROM top JOIN post USING (t, w) JOIN idf USING (w) GROUP BY ALL),
 found AS (SELECT rid, label, least(1.0, max(got) / could) AS score FROM gathered JOIN needed USING (t, keys) JOIN could USING (rid, t) WHERE got > 0 GROUP BY rid, t, label, could HAVING least(1.0, max(got) / could) >= {L.THRESHOLD}),
 f AS (SELECT rid, list(DISTINCT label) AS labels, max(score) AS score FROM found GROUP BY 1),
 b AS (SELECT rid, doc_id, len(ws) AS n_words, {starts} FROM d),

@@ -51,6 +51,14 @@ def test_several_notices_in_one_file(spark):
     assert got[3] == ("gpl,gpl-3.0", 1) and got[4] == ("", 0)
 
 
+def test_every_notice_is_found_alone_and_beside_all_others(spark):
+    texts = [x[1] for x in licenses.TEMPLATES]
+    rows = [*enumerate(texts), (1000, ". ".join(texts)), (1001, " filler words of prose ".join(reversed(texts)))]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(licenses.TEMPLATES[k][0] in got[k] for k in range(len(texts)))
+    assert all({x[0] for x in licenses.TEMPLATES} <= got[k] for k in (1000, 1001))
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
