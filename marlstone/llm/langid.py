@@ -1,7 +1,7 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed letter trigrams against several centroids per language.
 
 Document frequencies are counted over all rows that may be learnt from.  The centroids come from a bounded sample of
-them (PER_LANGUAGE rows each, chosen by hash): spherical k-means within each language.  A text gets the language of the
+them (PER_LANGUAGE rows each, chosen by hash), in one task: spherical k-means within each language.  A text gets the language of the
 centroid of greatest cosine.  Rejection is by distance: a cosine under what learnt texts of about that many trigrams
 reach, or no letter at all.  Every length has a limit: where few learnt texts are that short, the beginnings of longer ones
 stand in for them, and elsewhere those of the nearest lengths, shorter ones first (their cosines are smaller).
@@ -127,30 +127,45 @@ def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = PER_
     idf = np.log((1 + by[-1]) / (1 + np.array([by.get(k, 0) for k in range(SIZE)], np.float32))).astype(np.float32) + 0.1
     many = rows.select("lang").distinct().count()
     sample = bounded_sample(rows, ["lang"], [F.col("doc_id"), F.col("text")], max(1, min(per_language, SAMPLE // many)))
-    got = sample.select("lang", "text").mapInArrow(_sampled, "lang string, counts binary, first binary").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("lang", "counts", "first")), strict=True))
-    lang = np.array([name for name, _, _ in rows], object)
-    counts = np.frombuffer(b"".join(c for _, c, _ in rows), "<u2").reshape(-1, SIZE)
-    first = [np.frombuffer(f, "<u2") for (_, _, f), some in zip(rows, counts.any(1), strict=True) if some]
-    lang, counts = lang[counts.any(1)], counts[counts.any(1)]
-    languages = sorted(set(lang))
-    if not languages:
+    got = sample.select("lang", "text").mapInArrow(_sampled, "lang string, counts binary, first binary").withColumn("all", F.lit(1))
+    found = got.groupBy("all").applyInArrow(_learnt(idf), "languages array<string>, centroids binary, owner array<long>, least array<float>").first()
+    if not found or not found.languages:
         return None
-    x = vectors(counts, idf)
-    parts = [spherical_kmeans(x[lang == name], CENTROIDS) for name in languages]
-    owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    model = Model(idf, languages, np.vstack(parts).astype(np.float32), owner, np.zeros(16, np.float32))
-    model.least[:] = _limits(model, lang, counts, first)
-    return model
+    return Model(idf, found.languages, np.frombuffer(found.centroids, np.float32).reshape(-1, SIZE), np.array(found.owner), np.array(found.least, np.float32))
 
 
-def _limits(model: Model, lang: np.ndarray, counts: np.ndarray, first: list[np.ndarray]) -> np.ndarray:
+def _learnt(idf: np.ndarray):
+    """From the sample (SAMPLE rows at most, so one task) the model's languages, centroids and limits."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("lang", "ascending"), ("counts", "ascending"), ("first", "ascending")])
+        counts = [np.frombuffer(c, "<u2") for c in rows.column("counts").to_pylist()]
+        some = [k for k, c in enumerate(counts) if c.any()]
+        lang, first = np.array(rows.column("lang").to_pylist(), object), rows.column("first").to_pylist()
+        lang, counts, first = lang[some], [counts[k] for k in some], [np.frombuffer(first[k], "<u2") for k in some]
+        languages = sorted(set(lang))
+        parts = [spherical_kmeans(vectors(np.vstack([c for c, x in zip(counts, lang, strict=True) if x == name]), idf), CENTROIDS) for name in languages]
+        owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
+        model = Model(idf, languages, np.vstack([*parts, np.zeros((0, SIZE))]).astype(np.float32), owner, np.zeros(16, np.float32))
+        least = _limits(model, lang, counts, first) if languages else model.least
+        return pa.table({"languages": [languages], "centroids": [model.centroids.tobytes()], "owner": pa.array([owner.tolist()], pa.list_(pa.int64())), "least": pa.array([least.tolist()], pa.list_(pa.float32()))})
+
+    return run
+
+
+def _limits(model: Model, lang: np.ndarray, counts: list[np.ndarray], first: list[np.ndarray]) -> np.ndarray:
     """The least accepted cosine of each length class, from the learnt texts that are predicted rightly."""
+    names = np.array(model.languages, object)
 
     def right(lang, counts):
-        found, cos, _ = model.predict(counts)
-        ok = np.array(model.languages, object)[found] == lang
-        return cos[ok], length_class(counts)[ok]
+        cos, classes = [np.empty(0)], [np.empty(0, int)]
+        for at in range(0, len(lang), 256):
+            some = np.vstack(counts[at : at + 256])
+            found, c, _ = model.predict(some)
+            ok = names[found] == lang[at : at + 256]
+            cos.append(c[ok])
+            classes.append(length_class(some)[ok])
+        return np.concatenate(cos), np.concatenate(classes)
 
     cos, classes = right(lang, counts)
     of = [cos[classes == k] for k in range(16)]
@@ -158,7 +173,7 @@ def _limits(model: Model, lang: np.ndarray, counts: np.ndarray, first: list[np.n
         n = 3 * 2**k // 2 - 1 or 1  # about the middle of the class
         longer = np.array([len(f) >= n for f in first], bool)
         if len(of[k]) < LEAST_ROWS and longer.any():
-            begun = np.vstack([np.bincount(f[:n], minlength=SIZE) for f, long in zip(first, longer, strict=True) if long])
+            begun = [np.bincount(f[:n], minlength=SIZE).astype(np.uint8) for f, long in zip(first, longer, strict=True) if long]  # BEGINNING at most
             of[k] = np.concatenate([of[k], right(lang[longer], begun)[0]])
     least = []
     for k in range(16):
