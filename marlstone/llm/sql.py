@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries here that SQL can express."""
 
+from marlstone.llm.urlfilter import SECOND_LEVEL
+
 OP3 = """
 WITH r AS (SELECT page_id, url, CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*', 0) AS raw, rest FROM r),
@@ -10,8 +12,9 @@ ruled AS (
   FROM (SELECT DISTINCT * FROM p) p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
 known AS (SELECT doc_id AS item, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 hosts AS (
-  SELECT host, count(k.bad) AS n, coalesce(sum(k.bad), 0) AS bad, split_part(host, '.', -1) AS suffix,
-         CASE WHEN contains(host, '.') THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
+  SELECT host, count(k.bad) AS n, coalesce(sum(k.bad), 0) AS bad,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SECOND_LEVEL) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE split_part(host, '.', -1) END AS suffix,
+         array_to_string(string_split(host, '.')[CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SECOND_LEVEL) THEN -3 ELSE -2 END:], '.') AS domain
   FROM p LEFT JOIN known k ON k.item = try_cast(nullif(regexp_extract(path, '^/[a-z]+/([0-9]{1,18})', 1), '') AS BIGINT) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
@@ -27,7 +30,7 @@ ab AS (SELECT host, bad + kh * pd.p AS a, n - bad + kh * (1 - pd.p) AS b FROM ho
 bound AS (SELECT host, a / (a + b) - 1.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab)
 SELECT p.page_id, p.host, p.path, rule, coalesce(rv, CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, round(low, 6) AS bad_bound
 FROM p JOIN ruled r ON p.page_id IS NOT DISTINCT FROM r.page_id AND p.host = r.host AND p.path = r.path LEFT JOIN bound ON p.host = bound.host
-"""
+""".replace("(SECOND_LEVEL)", repr(SECOND_LEVEL))
 
 OP1 = """
 WITH v AS (

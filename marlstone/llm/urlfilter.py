@@ -1,6 +1,7 @@
 """URL filtering by rules and, where no rule fits, by an empirical-Bayes reputation of the host.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (last two labels) and suffix (last label).
+Labelled page outcomes (bad or not) are counted by host, registered domain (a label more than the suffix) and suffix (the
+last label, or the last two where they are one of `second_level`, under which anyone may register).
 Each level's beta prior has the mean of the level above and a strength fitted by moments over that level's entities:
 the suffix shrinks to the whole table, the domain to its suffix, the host to its domain.  A page without a rule is
 blocked where the lower posterior bound of its host's bad share (mean - z * sd) is over a limit.
@@ -18,10 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.runtime import through_table
+
 #: (verdict, host, path): fixed by the query's contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Least share of bad pages, in the posterior's lower bound at Z deviations, that blocks a host.
 LIMIT, Z = 0.3, 1.0
+#: Suffixes of two labels, fixed values; a parameter where other registries matter.
+SECOND_LEVEL = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.tr", "co.in", "co.kr", "co.za", "com.mx", "com.ar", "com.tw", "com.hk", "com.sg")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,9 +62,11 @@ def _strength(level: DataFrame) -> float:
     return 1000.0 if between <= 0 else min(1000.0, max(0.5, within / between - 1))
 
 
-def reputation(counts: DataFrame) -> DataFrame:
-    """From (host, n, bad), one row for each host: the posterior's alpha and beta."""
-    counts = counts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+def reputation(counts: DataFrame, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
+    """From (host, n, bad), one row for each host: the posterior's alpha and beta. `counts` is read several times."""
+    two = F.substring_index("host", ".", -2)
+    wide = two.isin(*second_level) if second_level else F.lit(False)
+    counts = counts.withColumn("suffix", F.when(wide, two).otherwise(F.substring_index("host", ".", -1))).withColumn("domain", F.when(wide, F.substring_index("host", ".", -3)).otherwise(two))
     suffix, domain = _level(counts, "suffix", None), _level(counts, "domain", "suffix")
     total, bad = suffix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     p0 = (bad + 0.5) / (total + 10)
@@ -74,7 +81,7 @@ def lower_bound(alpha: Column, beta: Column, z: float = Z) -> Column:
     return alpha / total - F.lit(z) * F.sqrt(alpha * beta / (total * total * (total + 1)))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """page_id, host, path, rule, verdict and bad_bound of every row of `pages` (page_id, url).
 
     `outcomes` (item long, bad int) labels the pages that show item N, whose path is /<section>/N...; several outcomes
@@ -86,7 +93,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     known = outcomes.filter(F.col("item").isNotNull() & F.col("bad").isNotNull()).groupBy("item").agg(F.max("bad").alias("bad"))
     per_item = labelled.join(known, "item", "left")
     spread = per_item.select("host", F.when(F.col("bad").isNotNull(), F.col("times")).otherwise(0).alias("n"), (F.coalesce("bad", F.lit(0)) * F.col("times")).alias("bad"))
-    rep = reputation(spread.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
+    # A row for each host, written once: the fits and the posterior read it, not the pages.
+    counts = through_table(spread.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "host-counts")
+    rep = reputation(counts, second_level)
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     bound = lower_bound(F.col("alpha"), F.col("beta"), z)
     return parsed.join(rep, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(bound > limit, F.lit("block")).otherwise("allow")).alias("verdict"), F.round(bound, 6).alias("bad_bound"))

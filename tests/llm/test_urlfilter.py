@@ -34,3 +34,11 @@ def test_many_bad_pages_block_a_host(spark):
     pages = spark.createDataFrame([(k, f"http://{'bad' if k % 2 else 'good'}.org/fr/{k}") for k in range(200)], "page_id long, url string")
     outcomes = spark.createDataFrame([(k, k % 2) for k in range(0, 200)], "item long, bad int")
     assert {(r.host, r.verdict) for r in urlfilter.judge(pages, outcomes).collect()} == {("bad.org", "block"), ("good.org", "allow")}
+
+
+def test_registries_with_two_labels(spark):
+    hosts = [("shop.co.uk", 4, 4), ("www.shop.co.uk", 2, 2), ("clean.co.uk", 900, 0), ("a.com", 50, 0), ("b.com", 10, 1), ("co.uk", 0, 0), ("localhost", 1, 0)]
+    counts = spark.createDataFrame(hosts, "host string, n long, bad long")
+    share = lambda **k: {r.host: r.alpha / (r.alpha + r.beta) for r in urlfilter.reputation(counts, **k).collect()}
+    own, one = share(), share(second_level=())
+    assert own["www.shop.co.uk"] > one["www.shop.co.uk"] and len(own) == 7
