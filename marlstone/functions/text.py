@@ -43,10 +43,16 @@ def ordinal(n: Column) -> Column:
     return F.concat(n.cast("string"), tail)
 
 
+#: Names that Windows reserves, whatever follows the first point; what an empty and what a reserved name gets. Fixed values.
+RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{x}{k}" for x in ("COM", "LPT") for k in range(1, 10)))
+UNNAMED, ACCOUNT = "未命名", "-帳號"
+
+
 def safe_name(text: Column) -> Column:
-    """A file name: illegal characters become _, trailing dots and blanks go, reserved and empty names get a prefix."""
-    out = F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|]', "_"), "[. ]+$", "")
-    return F.when(F.upper(out).isin("CON", "PRN", "AUX", "NUL") | (out == ""), F.concat(F.lit("file_"), out)).otherwise(out)
+    """A portable file name: control and illegal characters become -, outer blanks and trailing points go."""
+    out = F.regexp_replace(F.trim(F.regexp_replace(text, r'[\x00-\x1F\x7F\\/:*?"<>|]', "-")), "[. ]+$", "")
+    base = F.upper(F.substring_index(out, ".", 1))
+    return F.when(out == "", UNNAMED).when(base.isin(*RESERVED), F.concat(out, F.lit(ACCOUNT))).otherwise(out)
 
 
 def bigram_dice(a: Column, b: Column) -> Column:

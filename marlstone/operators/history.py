@@ -7,23 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def snapshot_merge(df: DataFrame, key: list[str], at: str, tie: str, snapshot: Column, value: str) -> DataFrame:
-    """One row for each key: first and last seen, distinct snapshots, observations, latest non-null value."""
+def snapshot_merge(df: DataFrame, key: list[str], at: str, tie: str, snapshot: Column, complete: Column, values: list[str], carried: list[str]) -> DataFrame:
+    """One row for each key: first and last seen, the number of snapshots, whether any or the latest is complete.
+
+    `values` are those of the newest row, nulls too: what it says not to know is not known.  `carried` are fields that
+    a row may lack: their latest value that isn't null."""
     newest = F.struct(F.col(at), F.col(tie))
-    return df.groupBy(*key).agg(
+    last = F.max(F.struct(newest.alias("o"), F.struct(complete.alias("_complete"), *values).alias("v")))
+    found = df.groupBy(*key).agg(
         F.min(at).alias("first_seen_at"),
         F.max(at).alias("last_seen_at"),
-        F.count_distinct(snapshot).alias("snapshots"),
-        F.count("*").alias("observation_count"),
-        F.max_by(value, F.when(F.col(value).isNotNull(), newest)).alias("latest_value"),
+        F.count_distinct(snapshot).alias("observation_count"),
+        F.coalesce(F.max(complete), F.lit(False)).alias("seen_in_complete_snapshot"),
+        last.alias("_last"),
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in carried),
     )
+    kept = ("first_seen_at", "last_seen_at", "observation_count", "seen_in_complete_snapshot")
+    return found.select(*key, *kept, F.coalesce("_last.v._complete", F.lit(False)).alias("latest_snapshot_complete"), *(F.col("_last.v").getField(c).alias(c) for c in values), *carried)
 
 
-def change_history(df: DataFrame, key: list[str], at: str, tie: str, value: str) -> DataFrame:
-    """Observations whose value differs from the previous one, only for keys with more than one such."""
+def change_history(df: DataFrame, key: list[str], at: str, tie: str, values: list[str]) -> DataFrame:
+    """Observations with all `values` known of which one differs from the previous observation; only for keys with more
+    than one such."""
     w = Window.partitionBy(*key).orderBy(at, tie)
-    valid = df.filter(F.col(value).isNotNull()).withColumn("_prev", F.lag(value).over(w)).withColumn("_rn", F.row_number().over(w))
-    kept = valid.filter((F.col("_rn") == 1) | (F.col(value) != F.col("_prev"))).drop("_prev", "_rn")
+    known = df.dropna(subset=values).withColumn("_v", F.struct(*values))
+    valid = known.withColumn("_prev", F.lag("_v").over(w))
+    kept = valid.filter(F.col("_prev").isNull() | (F.col("_v") != F.col("_prev"))).drop("_prev", "_v")
     return kept.withColumn("_n", F.count("*").over(Window.partitionBy(*key))).filter("_n > 1").drop("_n")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,20 +35,22 @@ def quarantine(df: DataFrame, blocked: Column, component: str = "component") ->
     return df.join(bad, component)
 
 
-def root_chain(df: DataFrame, key: str, parent: str, most: int) -> DataFrame:
+def root_chain(df: DataFrame, key: str, parent: str) -> DataFrame:
     """Adds root, depth and cycle: where the chain of parents ends. By pointer doubling, so a few joins whatever the depth.
 
-    A chain of more than `most` steps counts as a cycle and has neither root nor depth; a parent that is no row ends it."""
+    A chain that never ends is a cycle and has neither root nor depth; a parent that is no row ends it."""
     known = df.select(F.col(key).alias("_p")).distinct()
     up = df.join(known, F.col(parent) == F.col("_p"), "left").select(F.col(key).alias("_k"), F.coalesce("_p", key).alias("_up"), F.col("_p").isNotNull().cast("long").alias("_n"))
+    up = through_table(up, "chains")
+    ends = up.filter("_n = 0").select(F.col("_k").alias("_end"))
     step = up
-    for _ in range(max(1, most.bit_length())):
+    for _ in range(max(1, int(up.count()).bit_length())):  # no chain without a cycle is longer than the table
         further = step.select(F.col("_k").alias("_f"), F.col("_up").alias("_to"), F.col("_n").alias("_more"))
-        step = step.join(further, F.col("_up") == F.col("_f")).select("_k", F.col("_to").alias("_up"), (F.col("_n") + F.col("_more")).alias("_n"))
-        step = through_table(step, "chains")
-    ends = up.filter("_n = 0").select(F.col("_k").alias("_end"))
+        step = through_table(step.join(further, F.col("_up") == F.col("_f")).select("_k", F.col("_to").alias("_up"), (F.col("_n") + F.col("_more")).alias("_n")), "chains")
+        if step.join(ends, F.col("_up") == F.col("_end"), "left_anti").isEmpty():
+            break
     done = step.join(ends, F.col("_up") == F.col("_end"), "left")
-    ok = F.col("_end").isNotNull() & (F.col("_n") <= most)
+    ok = F.col("_end").isNotNull()
     return df.join(done.select("_k", F.when(ok, F.col("_n")).alias("depth"), F.when(ok, F.col("_end")).alias("root"), (~ok).alias("cycle")), F.col(key) == F.col("_k")).drop("_k")
 
 
@@ -65,16 +66,24 @@ def best_of_identity(df: DataFrame, identity: list[str], order: list[Column], pe
 def greedy_dedupe(df: DataFrame, component: str, order: list[str], keys: list[str]) -> DataFrame:
     """Adds `kept`: in order, a row is kept if none of its keys was held by an earlier kept row of its component.
 
-    Sequential by nature; a component is the unit that one task holds, so components should be small."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in order])
-        seen, kept = set(), []
-        for values in zip(*(rows.column(k).to_pylist() for k in keys), strict=True):
-            marks = {(k, v) for k, v in zip(keys, values, strict=True) if v is not None}
-            kept.append(not marks & seen)
-            if kept[-1]:
-                seen |= marks
-        return rows.append_column("kept", pa.array(kept, pa.bool_()))
-
-    return df.groupBy(component).applyInArrow(run, f"{df.schema.simpleString()[7:-1]},kept:boolean")
+    `order` tells the rows of a component apart.  Of rows equal in all keys only the first can be kept, so the others
+    leave at once.  Then in rounds: a row that is the first of the undecided for each of its keys is kept, rows that
+    share a key with a kept one go, until none is undecided.  No task holds a component; a round is a few joins."""
+    row = F.struct(*order)
+    first = df.groupBy(component, *keys).agg(F.min(row).alias("o"))
+    marks = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
+    open_ = through_table(first.select(F.col(component).alias("c"), "o", F.explode(marks).alias("m")), "undecided")
+    kept = None
+    while not open_.isEmpty():
+        low = open_.groupBy("c", "m").agg(F.min("o").alias("low"))
+        told = open_.join(low, ["c", "m"])
+        won = through_table(told.groupBy("c", "o").agg(F.min(F.col("o") == F.col("low")).alias("wins")).filter("wins").select("c", "o"), "kept")
+        kept = won if kept is None else kept.unionByName(won)
+        taken = open_.join(won, ["c", "o"], "left_semi").select("c", "m").distinct()
+        gone = open_.join(taken, ["c", "m"], "left_semi").select("c", "o").distinct()
+        open_ = through_table(open_.join(gone, ["c", "o"], "left_anti"), "undecided")
+    keyless = F.coalesce(*(F.col(k).cast("string") for k in keys)).isNull()
+    if kept is None:
+        return df.withColumn("kept", keyless)
+    found = kept.select(F.col("c").alias("_c"), F.col("o").alias("_o"))
+    return df.join(found, (F.col(component) == F.col("_c")) & (row == F.col("_o")), "left").withColumn("kept", keyless | F.col("_o").isNotNull()).drop("_c", "_o")

@@ -1,7 +1,7 @@
 """A small price model: season intercepts shrunk to a trend, tier effects that never fall, break effects that never rise.
 
-Rows reduce to cells (season, tier, break class) of counts and sums in Spark; there are at most SEASONS x 4 x 4 of them
-whatever the input, so the coordinate descent runs on the driver.  Prediction is a column expression."""
+Rows reduce to cells (season, tier, break class) of counts and sums in Spark; there are 16 for each quarter between the
+first and the last date, whatever the number of rows, so the coordinate descent runs on the driver.  Prediction is a column expression."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.filters import tier
 
-SEASONS = 30
 TIERS, BREAKS = ("few", "medium", "many", "hundred"), ("none", "slight", "medium", "large")
 
 
@@ -22,9 +21,11 @@ def _index(c: str, names: tuple[str, ...]) -> Column:
 
 
 def priced_rows(lineitem: DataFrame) -> DataFrame:
-    """Line items with a season (ordinal quarter), a tier, a break class and y = ln(price)."""
-    season = F.least(F.lit(SEASONS - 1), (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1)
-    named = lineitem.filter("l_extendedprice > 0").withColumn("season", season).withColumn("tier", tier(F.col("l_quantity") * 2, [(90, "hundred"), (60, "many"), (30, "medium")], "few"))
+    """Line items with a price and a date, with a season (quarters since the first), a tier, a break class and y = ln(price)."""
+    quarter = F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1
+    usable = lineitem.filter("l_extendedprice > 0 AND l_shipdate IS NOT NULL")
+    season = quarter - F.lit(usable.agg(F.coalesce(F.min(quarter), F.lit(0))).first()[0])
+    named = usable.withColumn("season", season).withColumn("tier", tier(F.col("l_quantity") * 2, [(90, "hundred"), (60, "many"), (30, "medium")], "few"))
     return named.withColumn("break_class", tier(F.col("l_discount"), [(0.08, "large"), (0.05, "medium"), (0.02, "slight")], "none")).withColumn("y", F.ln("l_extendedprice"))
 
 
@@ -44,17 +45,18 @@ class Model:
         return pick(self.season, F.col("season")) + pick(np.r_[0, self.tiers.cumsum()], _index("tier", TIERS)) + pick(np.r_[0, self.breaks.cumsum()], _index("break_class", BREAKS))
 
 
-def _solve(season: np.ndarray, t: np.ndarray, b: np.ndarray, n: np.ndarray, sy: np.ndarray, ridge: float, rounds: int = 5000, tolerance: float = 1e-8) -> Model:
+def _solve(season: np.ndarray, t: np.ndarray, b: np.ndarray, n: np.ndarray, sy: np.ndarray, ridge: float, rounds: int = 5000, tolerance: float = 1e-8, seasons: int = 0) -> Model:
     """Coordinate descent: steps between tiers are 0 or more, steps between break classes 0 or less."""
-    at = np.zeros(SEASONS)
+    seasons = seasons or int(season.max()) + 1
+    at = np.zeros(seasons)
     steps_t, steps_b = np.zeros(len(TIERS) - 1), np.zeros(len(BREAKS) - 1)
-    seen = np.bincount(season, n, SEASONS) > 0
-    x = np.arange(SEASONS, dtype=float)
+    seen = np.bincount(season, n, seasons) > 0
+    x = np.arange(seasons, dtype=float)
     for k in range(1, rounds + 1):
         old = np.r_[at, steps_t, steps_b]
         effect = np.r_[0, steps_t.cumsum()][t] + np.r_[0, steps_b.cumsum()][b]
-        w, target = np.bincount(season, n, SEASONS), np.bincount(season, sy - n * effect, SEASONS)
-        mean = np.divide(target, w, out=np.zeros(SEASONS), where=w > 0)
+        w, target = np.bincount(season, n, seasons), np.bincount(season, sy - n * effect, seasons)
+        mean = np.divide(target, w, out=np.zeros(seasons), where=w > 0)
         slope, level = np.polyfit(x[seen], mean[seen], 1, w=np.sqrt(w[seen])) if seen.sum() > 1 else (0.0, mean[seen].mean())
         at = (target + ridge * (level + slope * x)) / (w + ridge)
         for steps, code, sign in ((steps_t, t, 1), (steps_b, b, -1)):
@@ -76,7 +78,7 @@ def _columns(got: dict) -> tuple[np.ndarray, ...]:
 
 
 def fit_cells(cell_table: DataFrame, ridge: float = 1.0) -> Model:
-    """Fits from the cell table (at most SEASONS * 16 rows)."""
+    """Fits from the cell table (16 rows a season)."""
     return _solve(*_columns(cell_table.toArrow().to_pydict()), ridge)
 
 
@@ -87,7 +89,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
 def project(grid: DataFrame, sweeps: int = 30) -> DataFrame:
     """Sweeps over the grid until values don't fall along tiers nor rise along break classes, nor rise along seasons."""
     got = grid.toArrow().to_pydict()
-    v = np.full((SEASONS, len(TIERS), len(BREAKS)), np.nan)
+    v = np.full((max(got["season"], default=0) + 1, len(TIERS), len(BREAKS)), np.nan)
     for s, t, b, m in zip(got["season"], got["tier"], got["break_class"], got["m"], strict=True):
         v[s, TIERS.index(t), BREAKS.index(b)] = m
     for _ in range(sweeps):
@@ -108,7 +110,7 @@ def tune(cell_sums: DataFrame, ridges: tuple[float, ...] = (0.1, 1.0, 10.0, 100.
     parts = _columns(got)
 
     def error(train: np.ndarray, test: np.ndarray, ridge: float) -> float:
-        m = _solve(*(c[train] for c in parts), ridge, rounds=200)
+        m = _solve(*(c[train] for c in parts), ridge, rounds=200, seasons=int(parts[0].max()) + 1)
         s, t, b, n, sy = (c[test] for c in parts)
         p = m.season[s] + np.r_[0, m.tiers.cumsum()][t] + np.r_[0, m.breaks.cumsum()][b]
         return float((syy[test] - 2 * p * sy + n * p * p).sum())

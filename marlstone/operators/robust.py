@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.ranking import quantiles
+
 
 def mad_outliers(df: DataFrame, group: list[str], price: str, candidate: Column | None = None, z_limit: float = 5.0, least: int = 5) -> DataFrame:
     """Adds log_price, n_group, robust_z, is_outlier and quality_flags.
@@ -15,8 +17,9 @@ def mad_outliers(df: DataFrame, group: list[str], price: str, candidate: Column
     candidate = F.lit(True) if candidate is None else candidate
     logged = df.withColumn("log_price", F.when(F.col(price) > 0, F.ln(price))).withColumn("_c", F.coalesce(candidate, F.lit(False)))
     usable = logged.filter(F.col("_c") & F.col("log_price").isNotNull())
-    centre = usable.groupBy(*group).agg(F.expr("percentile(log_price, 0.5)").alias("_m"), F.count("*").alias("_n"))
-    spread = usable.join(centre, group).groupBy(*group).agg(F.first("_m").alias("_m"), F.first("_n").alias("_n"), F.expr("percentile(abs(log_price - _m), 0.5)").alias("_mad"))
+    centre = quantiles(usable, group, "log_price", [0.5]).select(*group, F.col("q0").alias("_m"), F.col("n").alias("_n"))
+    far = usable.join(centre, group).select(*group, F.abs(F.col("log_price") - F.col("_m")).alias("_d"))
+    spread = centre.join(quantiles(far, group, "_d", [0.5]).select(*group, F.col("q0").alias("_mad")), group)
     off = F.abs(F.col("log_price") - F.col("_m"))
     z = F.when(F.col("_mad") > 0, F.lit(0.6745) * off / F.col("_mad"))
     enough = F.coalesce(F.col("_n"), F.lit(0)) >= least

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.metrics import shrunk, weighted_trend
+from marlstone.operators.ranking import quantiles
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -84,13 +85,14 @@ def supporter_gate(spark, sf):
 
 @query("SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.5), 4) AS median_price FROM lineitem GROUP BY ALL")
 def group_median(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.expr("percentile(l_extendedprice, 0.5)"), 4).alias("median_price"))
+    q = quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.5])
+    return q.select("l_returnflag", "l_linestatus", F.round("q0", 4).alias("median_price"))
 
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(quantile_cont(l_extendedprice, 0.9), 4) AS q90 FROM lineitem GROUP BY 1")
 def group_quantiles(spark, sf):
-    a = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile(l_extendedprice, array(0.25, 0.5, 0.75, 0.9))").alias("q"))
-    return a.select("l_returnflag", *(F.round(F.col("q")[k], 4).alias(c) for k, c in enumerate(("q25", "q50", "q75", "q90"))))
+    a = quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75, 0.9])
+    return a.select("l_returnflag", *(F.round(f"q{k}", 4).alias(c) for k, c in enumerate(("q25", "q50", "q75", "q90"))))
 
 
 _RES = "WITH g AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenumber AS line, ln(l_extendedprice) AS y FROM lineitem WHERE l_extendedprice > 0), c AS (SELECT flag, quantile_cont(y, 0.5) AS m FROM g GROUP BY 1), r AS (SELECT g.flag, status, line, y - m AS res FROM g JOIN c USING (flag)) "
@@ -98,25 +100,24 @@ _RES = "WITH g AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_linenu
 
 def _residuals(spark, sf):
     g = table(spark, sf, "lineitem").filter("l_extendedprice > 0").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_linenumber").alias("line"), F.ln("l_extendedprice").alias("y"))
-    c = g.groupBy("flag").agg(F.expr("percentile(y, 0.5)").alias("m"))
+    c = quantiles(g, ["flag"], "y", [0.5]).select("flag", F.col("q0").alias("m"))
     return g.join(c, "flag").select("flag", "status", "line", (F.col("y") - F.col("m")).alias("res"))
 
 
 @query(_RES + "SELECT flag, round(greatest(abs(quantile_cont(res, 0.25)), abs(quantile_cont(res, 0.75))), 6) AS spread FROM r GROUP BY 1")
 def central_spread(spark, sf):
-    a = _residuals(spark, sf).groupBy("flag").agg(F.expr("percentile(res, array(0.25, 0.75))").alias("q"))
-    return a.select("flag", F.round(F.greatest(F.abs(F.col("q")[0]), F.abs(F.col("q")[1])), 6).alias("spread"))
+    a = quantiles(_residuals(spark, sf), ["flag"], "res", [0.25, 0.75])
+    return a.select("flag", F.round(F.greatest(F.abs("q0"), F.abs("q1")), 6).alias("spread"))
 
 
 @query(_RES + ", a AS (SELECT flag, status, line, count(*) AS n, greatest(abs(quantile_cont(res, 0.25)), abs(quantile_cont(res, 0.75))) AS s FROM r WHERE line <= 3 GROUP BY ALL), t AS (SELECT greatest(abs(quantile_cont(res, 0.25)), abs(quantile_cont(res, 0.75))) AS s FROM r) SELECT flag, status, line, n, round(CASE WHEN n < 2 THEN t.s ELSE (n * a.s + 5 * t.s) / (n + 5) END, 6) AS spread FROM a, t")
 def shrunk_spread(spark, sf):
     r = _residuals(spark, sf)
-    spread = lambda q: F.greatest(F.abs(q[0]), F.abs(q[1]))
-    q = F.expr("percentile(res, array(0.25, 0.75))")
-    a = r.filter("line <= 3").groupBy("flag", "status", "line").agg(F.count("*").alias("n"), q.alias("q")).withColumn("one", F.lit(1))
-    t = r.groupBy(F.lit(1).alias("one")).agg(q.alias("t"))
+    spread = F.greatest(F.abs("q0"), F.abs("q1"))
+    a = quantiles(r.filter("line <= 3"), ["flag", "status", "line"], "res", [0.25, 0.75]).select("flag", "status", "line", "n", spread.alias("s"), F.lit(1).alias("one"))
+    t = quantiles(r, [], "res", [0.25, 0.75]).select(spread.alias("t"), F.lit(1).alias("one"))
     j = a.join(F.broadcast(t), "one")  # one row
-    return j.select("flag", "status", "line", "n", F.round(F.when(F.col("n") < 2, spread(F.col("t"))).otherwise(shrunk(spread(F.col("q")), F.col("n"), spread(F.col("t")), 5.0)), 6).alias("spread"))
+    return j.select("flag", "status", "line", "n", F.round(F.when(F.col("n") < 2, F.col("t")).otherwise(shrunk(F.col("s"), F.col("n"), F.col("t"), 5.0)), 6).alias("spread"))
 
 
 @query("WITH m AS (SELECT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS x, avg(ln(o_totalprice)) AS y, CAST(count(*) AS DOUBLE) AS w FROM orders WHERE o_totalprice > 0 GROUP BY 1), s AS (SELECT sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * y) AS wxy, sum(w * x * x) AS wxx FROM m) SELECT round((wxy - wx * wy / w) / (wxx - wx * wx / w), 6) AS slope, round((wy - (wxy - wx * wy / w) / (wxx - wx * wx / w) * wx) / w, 6) AS intercept FROM s", "weighted_trend")
@@ -129,16 +130,16 @@ def q_weighted_trend(spark, sf):
 
 @query(_RES + "SELECT flag, status, count(*) AS n, round(quantile_cont(res, 0.5) * count(*) / (count(*) + 3), 6) AS residual FROM r GROUP BY ALL")
 def cell_residual(spark, sf):
-    a = _residuals(spark, sf).groupBy("flag", "status").agg(F.count("*").alias("n"), F.expr("percentile(res, 0.5)").alias("m"))
-    return a.select("flag", "status", "n", F.round(F.col("m") * F.col("n") / (F.col("n") + 3), 6).alias("residual"))
+    a = quantiles(_residuals(spark, sf), ["flag", "status"], "res", [0.5])
+    return a.select("flag", "status", "n", F.round(F.col("q0") * F.col("n") / (F.col("n") + 3), 6).alias("residual"))
 
 
 @query(_RES + ", f AS (SELECT quantile_cont(res, 0.5) AS f FROM r WHERE line > 2) SELECT line, count(*) AS n, round((quantile_cont(res, 0.5) * count(*) + any_value(f) * 8) / (count(*) + 8), 6) AS residual FROM r, f GROUP BY 1")
 def pooled_residual(spark, sf):
     r = _residuals(spark, sf)
-    fallback = r.filter("line > 2").groupBy(F.lit(1).alias("one")).agg(F.expr("percentile(res, 0.5)").alias("f"))
-    a = r.groupBy("line").agg(F.count("*").alias("n"), F.expr("percentile(res, 0.5)").alias("m")).withColumn("one", F.lit(1)).join(F.broadcast(fallback), "one")  # one row
-    return a.select("line", "n", F.round(shrunk(F.col("m"), F.col("n"), F.col("f"), 8.0), 6).alias("residual"))
+    fallback = quantiles(r.filter("line > 2"), [], "res", [0.5]).select(F.col("q0").alias("f"), F.lit(1).alias("one"))
+    a = quantiles(r, ["line"], "res", [0.5]).withColumn("one", F.lit(1)).join(F.broadcast(fallback), "one")  # one row
+    return a.select("line", "n", F.round(shrunk(F.col("q0"), F.col("n"), F.col("f"), 8.0), 6).alias("residual"))
 
 
 @query("WITH k AS (SELECT event_type || ':' || CAST(user_id % 20 AS VARCHAR) AS key FROM events WHERE value IS NOT NULL) SELECT key, n FROM (SELECT key, count(*) AS n FROM k GROUP BY 1 HAVING count(*) >= 5) ORDER BY n DESC, key LIMIT 40")
@@ -192,6 +193,6 @@ def null_counts(spark, sf):
 
 @query("WITH g AS (SELECT CAST(p_size // 10 AS BIGINT) AS s, p_type, quantile_cont(p_retailprice, 0.5) AS m FROM part GROUP BY ALL), a AS (SELECT *, lag(m) OVER (PARTITION BY p_type ORDER BY s) AS by_size, lag(m) OVER (PARTITION BY s ORDER BY p_type) AS by_type FROM g) SELECT count(*) AS cells, count(*) FILTER (m < by_size) AS size_reversals, count(*) FILTER (m < by_type) AS type_reversals FROM a")
 def monotone_violations(spark, sf):
-    g = table(spark, sf, "part").groupBy(F.floor(F.col("p_size") / 10).alias("s"), "p_type").agg(F.expr("percentile(p_retailprice, 0.5)").alias("m"))
+    g = quantiles(table(spark, sf, "part").withColumn("s", F.floor(F.col("p_size") / 10)), ["s", "p_type"], "p_retailprice", [0.5]).select("s", "p_type", F.col("q0").alias("m"))
     a = g.withColumn("by_size", F.lag("m").over(Window.partitionBy("p_type").orderBy("s"))).withColumn("by_type", F.lag("m").over(Window.partitionBy("s").orderBy("p_type")))
     return a.agg(F.count("*").alias("cells"), F.count_if(F.col("m") < F.col("by_size")).alias("size_reversals"), F.count_if(F.col("m") < F.col("by_type")).alias("type_reversals"))

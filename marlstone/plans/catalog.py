@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators.filters import all_of, bounded_int, reason_cascade, rejection_counts, tier
+from marlstone.operators.ranking import numbered
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -154,16 +155,16 @@ def adapt_projection(spark, sf):
 
 @query(f"SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY {_RANK_SQL}, p_size, p_name, p_partkey) AS BIGINT) AS position FROM part")
 def custom_order(spark, sf):
-    w = Window.partitionBy("p_brand").orderBy(type_rank(), "p_size", "p_name", "p_partkey")
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("position"))
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", type_rank().alias("r"), "p_size", "p_name")
+    return numbered(p, ["p_brand"], [F.col(c) for c in ("r", "p_size", "p_name", "p_partkey")], "position").select("p_partkey", "position")
 
 
 @query(f"SELECT p_partkey, grp, CAST(cluster AS BIGINT) AS cluster, CAST(row_number() OVER (PARTITION BY grp, cluster ORDER BY {_RANK_SQL}, p_size, p_partkey) AS BIGINT) AS position FROM (SELECT *, CASE WHEN p_type = 'PROMO' THEN 'featured' WHEN p_size >= 40 THEN 'highlight' ELSE 'rest' END AS grp, CASE WHEN p_brand = 'Brand#1' THEN 1000 WHEN p_type = 'LARGE' THEN 2000 ELSE 8000 + CAST(substr(p_brand, 7) AS INTEGER) END AS cluster FROM part)")
 def showcase_order(spark, sf):
     group = F.when(F.col("p_type") == "PROMO", "featured").when(F.col("p_size") >= 40, "highlight").otherwise("rest")
     cluster = F.when(F.col("p_brand") == "Brand#1", 1000).when(F.col("p_type") == "LARGE", 2000).otherwise(8000 + F.substr("p_brand", F.lit(7)).cast("int"))
-    w = Window.partitionBy("grp", "cluster").orderBy(type_rank(), "p_size", "p_partkey")
-    return table(spark, sf, "part").withColumn("grp", group).withColumn("cluster", cluster.cast("long")).select("p_partkey", "grp", "cluster", F.row_number().over(w).cast("long").alias("position"))
+    p = table(spark, sf, "part").select("p_partkey", group.alias("grp"), cluster.cast("long").alias("cluster"), type_rank().alias("r"), "p_size")
+    return numbered(p, ["grp", "cluster"], [F.col(c) for c in ("r", "p_size", "p_partkey")], "position").select("p_partkey", "grp", "cluster", "position")
 
 
 @query(f"SELECT p_partkey, p_name FROM part ORDER BY {_RANK_SQL}, p_size, p_name, p_partkey LIMIT 32 OFFSET 32")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import metrics as M
 from marlstone.operators import models
+from marlstone.operators.ranking import numbered, quantiles
+from marlstone.sources.shared import through_table
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -26,21 +30,21 @@ _PRED = "WITH g AS (SELECT o_orderpriority AS p, o_orderstatus AS s, quantile_co
 def _predicted(spark, sf):
     """A quarter of the orders, predicted by their cell's median over the others; one cell has no prediction."""
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("actual"))
-    g = o.filter("o_orderkey % 4 <> 0 AND NOT (p = '5-LOW' AND s = 'P')").groupBy("p", "s").agg(F.expr("percentile(actual, 0.5)").alias("predicted"))
+    g = quantiles(o.filter("o_orderkey % 4 <> 0 AND NOT (p = '5-LOW' AND s = 'P')"), ["p", "s"], "actual", [0.5]).select("p", "s", F.col("q0").alias("predicted"))
     return o.filter("o_orderkey % 4 = 0").join(g, ["p", "s"], "left").withColumn("ape", M.ape(F.col("actual"), F.col("predicted")))
 
 
 def _metric_sql(keys: str, source: str) -> str:
-    return f"""SELECT {keys} n, failed, round(h, 6) AS hit10,
+    return f"""SELECT {keys} n, failed, round(h, 6) AS hit10, round(h20, 6) AS hit20,
       round((h + 3.8414588206941236 / (2 * n) - 1.959963984540054 * sqrt(h * (1 - h) / n + 3.8414588206941236 / (4 * n * n))) / (1 + 3.8414588206941236 / n), 6) AS wilson_low,
       round((h + 3.8414588206941236 / (2 * n) + 1.959963984540054 * sqrt(h * (1 - h) / n + 3.8414588206941236 / (4 * n * n))) / (1 + 3.8414588206941236 / n), 6) AS wilson_high,
       round(CASE WHEN failed = 0 THEN q50 END, 6) AS median_ape, round(CASE WHEN failed = 0 THEN q90 END, 6) AS p90_ape
-      FROM (SELECT {keys} count(*) AS n, count(*) FILTER (predicted IS NULL) AS failed, count(*) FILTER (ape <= 0.1 + 1e-12) / count(*) AS h, quantile_cont(ape, 0.5) AS q50, quantile_cont(ape, 0.9) AS q90 FROM {source})"""
+      FROM (SELECT {keys} count(*) AS n, count(*) FILTER (predicted IS NULL) AS failed, count(*) FILTER (ape <= 0.1 + 1e-12) / count(*) AS h, count(*) FILTER (ape <= 0.2 + 1e-12) / count(*) AS h20, quantile_cont(ape, 0.5) AS q50, quantile_cont(ape, 0.9) AS q90 FROM {source})"""
 
 
 @query(_PRED + _metric_sql("s,", "e GROUP BY s"))
 def accuracy_metrics(spark, sf):
-    return _predicted(spark, sf).groupBy("s").agg(*M.accuracy())
+    return M.accuracy(_predicted(spark, sf), ["s"])
 
 
 @query(_PRED + "SELECT p, round(count(*) FILTER (ape <= 0.1 + 1e-12) / count(*), 6) AS hit10, round(count(*) FILTER (ape <= 0.2 + 1e-12) / count(*), 6) AS hit20, round(count(*) FILTER (ape <= 0.3 + 1e-12) / count(*), 6) AS hit30, count(*) FILTER (predicted > actual * 1.2) AS over20, count(*) FILTER (predicted < actual * 0.8) AS under20 FROM e GROUP BY 1")
@@ -51,23 +55,28 @@ def hit_rates(spark, sf):
 
 @query(_PRED + ", t AS (SELECT CASE WHEN p IS NOT NULL THEN 'priority' WHEN s IS NOT NULL THEN 'status' ELSE 'overall' END AS stratum, coalesce(p, s, 'all') AS stratum_value, count(*) AS n, count(*) FILTER (predicted IS NULL) AS failed, round(count(*) FILTER (ape <= 0.2 + 1e-12) / count(*), 6) AS hit20 FROM e GROUP BY GROUPING SETS ((), (p), (s))) SELECT * FROM t")
 def stratified_metrics(spark, sf):
-    _predicted(spark, sf).createOrReplaceTempView("marlstone_predicted")
-    return spark.sql("""
-        SELECT CASE WHEN p IS NOT NULL THEN 'priority' WHEN s IS NOT NULL THEN 'status' ELSE 'overall' END AS stratum, coalesce(p, s, 'all') AS stratum_value, n, failed, hit20
-        FROM (SELECT p, s, count(*) AS n, count_if(predicted IS NULL) AS failed, round(count_if(ape <= 0.2D + 1e-12D) / count(*), 6) AS hit20
-              FROM marlstone_predicted GROUP BY GROUPING SETS ((), (p), (s)))""")
+    hit = F.round(F.count_if(F.col("ape") <= 0.2 + 1e-12) / F.count("*"), 6)
+    e = _predicted(spark, sf).groupingSets([[], ["p"], ["s"]], "p", "s").agg(F.count("*").alias("n"), F.count_if(F.col("predicted").isNull()).alias("failed"), hit.alias("hit20"))
+    stratum = F.when(F.col("p").isNotNull(), "priority").when(F.col("s").isNotNull(), "status").otherwise("overall")
+    return e.select(stratum.alias("stratum"), F.coalesce("p", "s", F.lit("all")).alias("stratum_value"), "n", "failed", "hit20")
 
 
 @query(_PRED + ", c AS (SELECT p, count(*) FILTER (predicted IS NULL) AS failed, quantile_cont(ape, 0.5) AS median_ape, count(*) FILTER (ape <= 0.2) / count(*) AS hit20 FROM e GROUP BY 1) SELECT arg_min(p, median_ape) AS best_median, arg_max(p, hit20) AS best_hit, count(*) AS complete FROM c WHERE failed = 0")
 def rank_models(spark, sf):
-    c = _predicted(spark, sf).groupBy("p").agg(F.count_if(F.col("predicted").isNull()).alias("failed"), F.expr("percentile(ape, 0.5)").alias("median_ape"), (F.count_if(F.col("ape") <= 0.2) / F.count("*")).alias("hit20"))
+    e = _predicted(spark, sf)
+    c = e.groupBy("p").agg(F.count_if(F.col("predicted").isNull()).alias("failed"), (F.count_if(F.col("ape") <= 0.2) / F.count("*")).alias("hit20"))
+    c = c.join(quantiles(e, ["p"], "ape", [0.5]).select("p", F.col("q0").alias("median_ape")), "p", "left")
     return c.filter("failed = 0").agg(F.min_by("p", "median_ape").alias("best_median"), F.max_by("p", "hit20").alias("best_hit"), F.count("*").alias("complete"))
 
 
-@query(_PRED + f", m AS ({_metric_sql('s,', 'e GROUP BY s')}), o AS (SELECT * FROM m WHERE s = 'O'), w AS (SELECT * FROM m WHERE s = 'F') SELECT w.median_ape <= o.median_ape - 0.01 AS median_better, w.hit10 >= o.hit10 AS hit_not_lower, w.p90_ape <= o.p90_ape AS p90_not_worse, w.failed = 0 AS none_failed, w.median_ape <= o.median_ape - 0.01 AND w.hit10 >= o.hit10 AND w.p90_ape <= o.p90_ape AND w.failed = 0 AS passed FROM o, w")
+_GATE = f", a AS ({_metric_sql('', 'e WHERE s = ' + chr(39) + 'O' + chr(39))}), b AS ({_metric_sql('', 'e WHERE s = ' + chr(39) + 'F' + chr(39))}), c AS ({_metric_sql('', 'e WHERE s = ' + chr(39) + 'F' + chr(39) + ' AND o_orderkey % 3 = 0')}) "
+
+
+@query(_PRED + _GATE + ", checks AS (SELECT coalesce(b.median_ape <= a.median_ape - 0.01, FALSE) AS median_better, coalesce(b.hit20 >= a.hit20, FALSE) AS hit_not_lower, coalesce(b.p90_ape <= a.p90_ape, FALSE) AS p90_not_worse, coalesce(c.median_ape <= a.median_ape + 0.03, FALSE) AS frozen_not_much_worse, b.failed = 0 AS none_failed FROM a, b, c) SELECT *, CASE WHEN median_better AND hit_not_lower AND p90_not_worse AND frozen_not_much_worse AND none_failed THEN 'publish' ELSE 'retain_current' END AS release FROM checks")
 def release_gate(spark, sf):
+    """Open orders stand for the serving model, finished ones for the candidate, a third of these for the frozen rows."""
     e = _predicted(spark, sf)
-    return M.release_gate(e.filter("s = 'O'").agg(*M.accuracy()), e.filter("s = 'F'").agg(*M.accuracy()))
+    return M.release_gate(M.accuracy(e.filter("s = 'O'"), []), M.accuracy(e.filter("s = 'F'"), []), M.accuracy(e.filter("s = 'F' AND o_orderkey % 3 = 0"), []))
 
 
 @query()
@@ -82,7 +91,7 @@ def price_model_predict(spark, sf):
 def monotone_projection(spark, sf):
     """Cell medians of the season, tier and break grid, made monotone along the three axes."""
     rows = models.priced_rows(table(spark, sf, "lineitem"))
-    grid = rows.groupBy("season", "tier", "break_class").agg(F.expr("percentile(y, 0.5)").alias("m"))
+    grid = quantiles(rows, ["season", "tier", "break_class"], "y", [0.5]).withColumnRenamed("q0", "m")
     return models.project(grid)
 
 
@@ -100,15 +109,48 @@ def chunk_rows(spark, sf):
     return a.select("user_id", "chunk", F.array_join(F.transform("l", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
 
 
+WIDTH, ROWS_A_PAGE, CHUNK = 60, 4, 4096
+
+
+def _flow(widths: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each state (units used of a row): each item's row after the entry row, the last row and what is used of it."""
+    rows, here = np.zeros((len(widths), len(used)), np.int32), np.zeros(len(used), np.int32)
+    for k, w in enumerate(widths):
+        fits = used + w <= WIDTH
+        here, used = np.where(fits, here, here + 1), np.where(fits, used + w, w)
+        rows[k] = here
+    return rows, here, used
+
+
 @query()
 def page_breaks(spark, sf):
-    """Row layout of part names by brand: items flow into rows of 60 units; a page breaks at the last row start within 4 rows."""
-    p = table(spark, sf, "part").select("p_brand", F.struct("p_size", "p_partkey", F.length("p_name").alias("w")).alias("x"))
-    items = p.groupBy("p_brand").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(0).alias("row"), F.lit(0).alias("used"), F.array().cast("array<struct<p_partkey:bigint,row:int>>").alias("out"))
-    def step(a, x):
-        fits = a["used"] + x["w"] <= 60
-        row = F.when(fits, a["row"]).otherwise(a["row"] + 1)
-        return F.struct(row.alias("row"), F.when(fits, a["used"] + x["w"]).otherwise(x["w"]).alias("used"), F.array_append(a["out"], F.struct(x["p_partkey"].alias("p_partkey"), row.alias("row"))).alias("out"))
-    flowed = items.select("p_brand", F.inline(F.aggregate("xs", start, step, lambda a: a["out"])))
-    return flowed.select("p_brand", "p_partkey", "row", F.floor(F.col("row") / 4).cast("int").alias("page"))
+    """Row layout of part names by brand: items flow into rows of WIDTH units, ROWS_A_PAGE rows a page.
+
+    A brand is cut into chunks; what a chunk does to each of the states in which it can be entered is found on its own,
+    chunk after chunk the states are followed (a row for each chunk of a brand), then each chunk is laid out."""
+    p = table(spark, sf, "part").select("p_brand", "p_partkey", "p_size", F.least(F.length("p_name"), F.lit(WIDTH)).alias("w"))
+    items = numbered(p, ["p_brand"], [F.col("p_size"), F.col("p_partkey"), F.col("w")], "k").withColumn("chunk", F.floor((F.col("k") - 1) / CHUNK))
+    items = through_table(items, "flow-items")
+
+    def through(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        _, more, used = _flow(rows.column("w").to_numpy(), np.arange(WIDTH + 1))
+        return pa.table({"p_brand": rows.column("p_brand")[:1], "chunk": rows.column("chunk")[:1], "more": pa.array([more.tolist()], pa.list_(pa.int32())), "used": pa.array([used.tolist()], pa.list_(pa.int32()))})
+
+    def follow(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        at, state, out = 0, 0, []
+        for more, used in zip(rows.column("more").to_pylist(), rows.column("used").to_pylist(), strict=True):
+            out.append((at, state))
+            at, state = at + more[state], used[state]
+        return pa.table({"p_brand": rows.column("p_brand"), "chunk": rows.column("chunk"), "row": pa.array([r for r, _ in out], pa.int64()), "state": pa.array([s for _, s in out], pa.int32())})
+
+    def lay(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("k")
+        placed, _, _ = _flow(rows.column("w").to_numpy(), rows.column("state").to_numpy()[:1])
+        return pa.table({"p_brand": rows.column("p_brand"), "p_partkey": rows.column("p_partkey"), "row": pa.array(placed[:, 0] + rows.column("row").to_numpy(), pa.int32())})
+
+    maps = items.groupBy("p_brand", "chunk").applyInArrow(through, "p_brand string, chunk long, more array<int>, used array<int>")
+    entered = maps.groupBy("p_brand").applyInArrow(follow, "p_brand string, chunk long, row long, state int")
+    placed = items.join(entered, ["p_brand", "chunk"]).groupBy("p_brand", "chunk").applyInArrow(lay, "p_brand string, p_partkey long, row int")
+    return placed.select("p_brand", "p_partkey", "row", F.floor(F.col("row") / ROWS_A_PAGE).cast("int").alias("page"))

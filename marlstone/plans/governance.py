@@ -33,7 +33,9 @@ def import_classify(spark, sf):
     user = F.col("user_id").cast("string")
     raw = F.when(F.col("event_id") % 11 == 0, "bad id").when(F.col("event_id") % 7 == 0, F.concat(F.lit("old-"), user)).otherwise(user)
     m = table(spark, sf, "events").select("event_id", raw.alias("raw")).withColumn("id", F.when(F.col("raw").startswith("old-"), F.substr("raw", F.lit(5))).otherwise(F.col("raw")))
-    r = m.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("event_id")))
+    # Only whether an earlier row has the id matters, so the first place is aggregated where the rows lie.
+    first = m.groupBy("id").agg(F.min("event_id").alias("first"))
+    r = m.join(first, "id").withColumn("rn", F.when(F.col("event_id") > F.col("first"), 2).otherwise(1))
     return r.select("event_id", F.when(~F.col("id").rlike("^[0-9]+$"), "invalid").when(F.col("id").try_cast("long") > 140, "unknown").when(F.col("rn") > 1, "duplicate").when(F.col("raw") != F.col("id"), "migrated").otherwise("imported").alias("import_class"))
 
 

@@ -68,7 +68,7 @@ def identical_within_component(spark, sf):
 def root_key_chain(spark, sf):
     k = F.col("s_suppkey")
     parent = F.when(k % 8 == 0, None).when((k % 8).isin(5, 6) & (k % 3 == 0), k).otherwise(k - 1)
-    return I.root_chain(table(spark, sf, "supplier").select(k.alias("k"), parent.alias("parent")), "k", "parent", 30).select("k", "depth", "root", "cycle")
+    return I.root_chain(table(spark, sf, "supplier").select(k.alias("k"), parent.alias("parent")), "k", "parent").select("k", "depth", "root", "cycle")
 
 
 _GRADE = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
@@ -84,7 +84,7 @@ def best_of_identity(spark, sf):
 
 @query()
 def greedy_dedupe(spark, sf):
-    """In order, a document stays unless a kept one of its component has its text or its account; components are small."""
+    """In order, a document stays unless a kept one of its component has its text or its account."""
     c = _components(spark, sf).select("doc_id", "component", "text_key", "account")
     return I.greedy_dedupe(c, "component", ["doc_id"], ["text_key", "account"]).select("doc_id", "component", "kept")
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from marlstone.operators.joins import asof_join as asof
 from marlstone.operators.joins import cascade_lookup as cascade
-from marlstone.operators.joins import cosine, longest_contained
+from marlstone.operators.joins import longest_contained, nearest
 from marlstone.operators.joins import field_diff as diff
 from marlstone.sources.tables import table
 
@@ -84,37 +84,30 @@ def asset_match_status(spark, sf):
     return j.select("p_partkey", F.when(F.col("brands").isNull(), "missing").when(F.col("brands") == 1, "matched").otherwise("ambiguous").alias("status"), F.coalesce("brands", F.lit(0)).alias("candidates"), F.when(F.col("brands") == 1, F.col("first_part")).alias("match"))
 
 
-@query("WITH h AS (SELECT doc_id, item_id, length(b.text) AS alias_length, rank() OVER (PARTITION BY doc_id ORDER BY length(b.text) DESC) AS r FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND len(string_split(b.text, ' ')) >= 6) SELECT doc_id, item_id, CAST(alias_length AS BIGINT) AS alias_length FROM h WHERE r = 1")
+@query("WITH h AS (SELECT doc_id, item_id, length(b.text) AS alias_length, rank() OVER (PARTITION BY doc_id ORDER BY length(b.text) DESC) AS r FROM documents d JOIN benchmark b ON contains(d.text, b.text) AND length(b.text) > 0) SELECT doc_id, item_id, CAST(alias_length AS BIGINT) AS alias_length FROM h WHERE r = 1")
 def contains_longest(spark, sf):
     out = longest_contained(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
     return out.withColumn("alias_length", F.col("alias_length").cast("long"))
 
 
-_KNN = "WITH r AS (SELECT vec_id AS ref_id, label AS ref_label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 97 = 0), q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE vec_id % 97 <> 0), s AS (SELECT vec_id, ref_id, ref_label, round(list_cosine_similarity(q.e, r.e), 9) AS score FROM q JOIN r ON true), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS rk, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS second FROM s) "
+_KNN = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT q.vec_id, r.vec_id AS ref_id, round(list_cosine_similarity(q.e, r.e), 9) AS score FROM v q JOIN v r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS rk, lead(score) OVER (PARTITION BY vec_id ORDER BY score DESC, ref_id) AS second FROM s) "
 
 
-def _scored(spark, sf):
-    """Every vector against the reference vectors, which are gathered into blocks of 32 that each query row meets."""
-    e = table(spark, sf, "embeddings")
-    ref = e.filter("vec_id % 97 = 0").select(F.struct(F.col("vec_id").alias("ref_id"), F.col("label").alias("ref_label"), F.col("embedding").alias("e")).alias("r"), F.floor(F.col("vec_id") / 97 / 32).alias("block"))
-    blocks = ref.groupBy("block").agg(F.collect_list("r").alias("rs"))  # at most 32 in a block
-    n = blocks.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
-    q = e.filter("vec_id % 97 <> 0").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 0)).cast("long"))).alias("block"))
-    pairs = q.join(blocks, "block").select("vec_id", "embedding", F.inline("rs"))
-    score = F.round(cosine(F.col("embedding"), F.col("e")), 9)
-    w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "ref_id")
-    return pairs.select("vec_id", "ref_id", "ref_label", score.alias("score")).withColumn("rk", F.row_number().over(w)).withColumn("second", F.lead("score").over(w))
+def _nearest(spark, sf, k):
+    """Vectors whose id is divisible by 20 against all others."""
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k).withColumnsRenamed({"query": "vec_id", "ref": "ref_id"})
 
 
 @query(_KNN + "SELECT vec_id, ref_id, round(score, 6) AS score, round(score - second, 6) AS margin, CASE WHEN score < 0.3 THEN 'weak' WHEN score - second < 0.03 THEN 'ambiguous' ELSE 'matched' END AS status FROM k WHERE rk = 1")
 def knn_margin(spark, sf):
+    two = _nearest(spark, sf, 2).withColumn("second", F.lead("score").over(Window.partitionBy("vec_id").orderBy("rank")))
     s, d = F.col("score"), F.col("score") - F.col("second")
-    return _scored(spark, sf).filter("rk = 1").select("vec_id", "ref_id", F.round(s, 6).alias("score"), F.round(d, 6).alias("margin"), F.when(s < 0.3, "weak").when(d < 0.03, "ambiguous").otherwise("matched").alias("status"))
+    return two.filter("rank = 1").select("vec_id", "ref_id", F.round(s, 6).alias("score"), F.round(d, 6).alias("margin"), F.when(s < 0.3, "weak").when(d < 0.03, "ambiguous").otherwise("matched").alias("status"))
 
 
 @query(_KNN + "SELECT vec_id, CAST(rk AS BIGINT) AS rank, ref_id, round(score, 6) AS score FROM k WHERE rk <= 3")
 def knn_topk(spark, sf):
-    return _scored(spark, sf).filter("rk <= 3").select("vec_id", F.col("rk").cast("long").alias("rank"), "ref_id", F.round("score", 6).alias("score"))
+    return _nearest(spark, sf, 3).select("vec_id", F.col("rank").cast("long").alias("rank"), "ref_id", F.round("score", 6).alias("score"))
 
 
 @query("WITH iv(name, lo, hi) AS (VALUES ('early', 0, 20), ('middle', 18, 45), ('late', 60, 70)), m AS (SELECT o_orderkey, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS mi FROM orders) SELECT o_orderkey, coalesce(name, 'late') AS page FROM m LEFT JOIN iv ON mi < hi AND mi + 1 > lo")

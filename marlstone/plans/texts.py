@@ -43,10 +43,10 @@ def unit_scaled_number(spark, sf):
     return table(spark, sf, "part").select("p_partkey", raw.alias("raw")).select("p_partkey", T.unit_scaled(F.col("raw")).alias("price"))
 
 
-@query("SELECT s_suppkey, CASE WHEN upper(n) IN ('CON', 'PRN', 'AUX', 'NUL') OR n = '' THEN 'file_' || n ELSE n END AS file_name FROM (SELECT s_suppkey, regexp_replace(regexp_replace(CASE s_suppkey % 4 WHEN 0 THEN 'con' WHEN 1 THEN '...' WHEN 2 THEN s_name || '/a:b?. ' ELSE s_name END, '[\\\\/:*?\"<>|]', '_', 'g'), '[. ]+$', '') AS n FROM supplier)")
+@query(f"""SELECT s_suppkey, CASE WHEN n = '' THEN '{T.UNNAMED}' WHEN upper(split_part(n, '.', 1)) IN {T.RESERVED!r} THEN n || '{T.ACCOUNT}' ELSE n END AS file_name FROM (SELECT s_suppkey, regexp_replace(trim(regexp_replace(CASE s_suppkey % 5 WHEN 0 THEN 'con' WHEN 1 THEN '...' WHEN 2 THEN ' ' || s_name || '/a:b?. ' WHEN 3 THEN 'Lpt' || (s_suppkey % 10) || '.txt' ELSE s_name || chr(9) END, '[\\x00-\\x1F\\x7F\\\\/:*?"<>|]', '-', 'g')), '[. ]+$', '') AS n FROM supplier)""")
 def safe_name(spark, sf):
-    k = F.col("s_suppkey") % 4
-    raw = F.when(k == 0, "con").when(k == 1, "...").when(k == 2, F.concat("s_name", F.lit("/a:b?. "))).otherwise(F.col("s_name"))
+    k = F.col("s_suppkey")
+    raw = F.when(k % 5 == 0, "con").when(k % 5 == 1, "...").when(k % 5 == 2, F.concat(F.lit(" "), "s_name", F.lit("/a:b?. "))).when(k % 5 == 3, F.concat(F.lit("Lpt"), (k % 10).cast("string"), F.lit(".txt"))).otherwise(F.concat("s_name", F.lit("\t")))
     return table(spark, sf, "supplier").select("s_suppkey", T.safe_name(raw).alias("file_name"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from marlstone.operators.history import change_history as changes
 from marlstone.operators.history import interpolate
 from marlstone.operators.history import snapshot_merge as merge
+from marlstone.operators.ranking import numbered
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -21,17 +22,20 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(DISTINCT CAST(ts AS DATE)) AS snapshots, count(*) AS observation_count, arg_max(value, (ts, event_id)) AS latest_value FROM events GROUP BY ALL")
+@query("WITH e AS (SELECT *, CAST(ts AS DATE) AS snap, event_id % 3 <> 0 AS complete, CASE WHEN event_id % 4 <> 0 THEN props END AS note, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen, count(DISTINCT snap) AS observation_count, bool_or(complete) AS seen_in_complete_snapshot, bool_or(complete) FILTER (rn = 1) AS latest_snapshot_complete, max(value) FILTER (rn = 1) AS value, arg_min(note, rn) FILTER (note IS NOT NULL) AS note FROM e GROUP BY ALL")
 def snapshot_merge(spark, sf):
-    m = merge(table(spark, sf, "events"), ["user_id", "event_type"], "ts", "event_id", F.col("ts").cast("date"), "value")
+    """Daily snapshots of (user, event type): the newest row's value, null or not; the latest note there is."""
+    e = table(spark, sf, "events").withColumn("note", F.when(F.col("event_id") % 4 != 0, F.col("props")))
+    m = merge(e, ["user_id", "event_type"], "ts", "event_id", F.col("ts").cast("date"), F.col("event_id") % 3 != 0, ["value"], ["note"])
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return m.select("user_id", "event_type", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "snapshots", "observation_count", "latest_value")
+    return m.select("user_id", "event_type", stamp("first_seen_at").alias("first_seen"), stamp("last_seen_at").alias("last_seen"), "observation_count", "seen_in_complete_snapshot", "latest_snapshot_complete", "value", "note")
 
 
-@query("WITH v AS (SELECT event_id, user_id, event_type, floor(value / 10) AS v, ts FROM events WHERE value IS NOT NULL), p AS (SELECT *, lag(v) OVER w AS prev, row_number() OVER w AS rn FROM v WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM p WHERE rn = 1 OR v <> prev) SELECT event_id, user_id, event_type, CAST(v AS BIGINT) AS level FROM k WHERE n > 1")
+@query("WITH v AS (SELECT event_id, user_id, event_type, floor(value / 10) AS v, CASE WHEN event_id % 7 = 0 THEN 'USD' WHEN event_id % 11 > 0 THEN 'TWD' END AS currency, ts FROM events), p AS (SELECT *, lag(v) OVER w AS prev, lag(currency) OVER w AS prev_currency, row_number() OVER w AS rn FROM v WHERE v IS NOT NULL AND currency IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)), k AS (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM p WHERE rn = 1 OR v <> prev OR currency <> prev_currency) SELECT event_id, user_id, event_type, CAST(v AS BIGINT) AS level, currency FROM k WHERE n > 1")
 def change_history(spark, sf):
-    e = table(spark, sf, "events").withColumn("v", F.floor(F.col("value") / 10))
-    return changes(e, ["user_id", "event_type"], "ts", "event_id", "v").select("event_id", "user_id", "event_type", F.col("v").alias("level"))
+    k = F.col("event_id")
+    e = table(spark, sf, "events").withColumn("v", F.floor(F.col("value") / 10)).withColumn("currency", F.when(k % 7 == 0, "USD").when(k % 11 > 0, "TWD"))
+    return changes(e, ["user_id", "event_type"], "ts", "event_id", ["v", "currency"]).select("event_id", "user_id", "event_type", F.col("v").alias("level"), "currency")
 
 
 _MONTHLY = "WITH m AS (SELECT o_orderpriority AS p, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS x, avg(o_totalprice) AS y FROM orders GROUP BY ALL), g AS (SELECT p, CAST(x AS BIGINT) AS x, CASE WHEN x % 4 IN (1, 2) AND x > 3 OR x > 70 OR x < 2 THEN NULL ELSE y END AS y FROM m) "
@@ -122,8 +126,8 @@ def hash_key(spark, sf):
 
 @query("SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY sha256(CAST(c_custkey AS VARCHAR)), c_custkey) - 1) % 5 AS BIGINT) AS fold FROM customer")
 def fixed_folds(spark, sf):
-    w = Window.partitionBy("c_mktsegment").orderBy(F.sha2(F.col("c_custkey").cast("string"), 256), "c_custkey")
-    return table(spark, sf, "customer").select("c_custkey", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", F.sha2(F.col("c_custkey").cast("string"), 256).alias("h"))
+    return numbered(c, ["c_mktsegment"], [F.col("h"), F.col("c_custkey")], "k").select("c_custkey", ((F.col("k") - 1) % 5).alias("fold"))
 
 
 @query(f"SELECT c_custkey, {_FOLD} AS fold FROM customer")
