@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column
@@ -76,3 +77,43 @@ def nfkc(text: Column) -> Column:
 def normalize(text: Column) -> Column:
     """NFKC, lower case, no white space."""
     return F.regexp_replace(F.lower(nfkc(text)), r"(?U)\s+", "")
+
+
+def luminance(red: Column, green: Column, blue: Column) -> Column:
+    """Relative luminance of 8-bit sRGB."""
+    def linear(c):
+        x = c / 255.0
+        return F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
+    return 0.2126 * linear(red) + 0.7152 * linear(green) + 0.0722 * linear(blue)
+
+
+def anniversary(text: Column, first_year: int = 2019) -> Column:
+    """The number of an ordinal, else the years that a year after the first one is away from it."""
+    nth = F.nullif(F.regexp_extract(text, "([0-9]+)(st|nd|rd|th)", 1), F.lit("")).try_cast("long")
+    year = F.nullif(F.regexp_extract(text, "(20[0-9]{2})", 1), F.lit("")).try_cast("long")
+    return F.coalesce(nth, F.when(year > first_year, year - first_year))
+
+
+#: Unicode's fractions, fixed values: (parts, of) to sign.
+FRACTIONS = {(1, 4): "¼", (1, 2): "½", (3, 4): "¾", (1, 3): "⅓", (2, 3): "⅔", (1, 5): "⅕", (2, 5): "⅖", (3, 5): "⅗", (4, 5): "⅘", (1, 6): "⅙", (5, 6): "⅚", (1, 8): "⅛", (3, 8): "⅜", (5, 8): "⅝", (7, 8): "⅞"}
+
+
+def fraction(parts: Column, of: int) -> Column:
+    """parts / of as a whole number and a fraction sign; a part without a sign is written out."""
+    whole, rest, label = F.floor(parts / of), parts % of, F.lit("")
+    for k in range(1, of):
+        g = gcd(k, of)
+        label = F.when(rest == k, FRACTIONS.get((k // g, of // g), f" {k // g}/{of // g}")).otherwise(label)
+    return F.when((whole == 0) & (rest > 0), F.trim(label)).otherwise(F.concat(whole.cast("string"), label))
+
+
+def lua_records(text: Column) -> Column:
+    """An array of maps, one for each innermost {...} of a Lua table: its quoted or bare fields."""
+    records = F.regexp_extract_all(text, F.lit(r"\{([^{}]*)\}"), F.lit(1))
+    field = r"""([A-Za-z_]\w*)\s*=\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)'|([^\s,;}"']+))"""
+    def fields(r: Column) -> Column:
+        names, a, b, c = (F.regexp_extract_all(r, F.lit(field), F.lit(k)) for k in (1, 2, 3, 4))
+        pairs = F.transform(F.arrays_zip(names.alias("k"), a.alias("a"), b.alias("b"), c.alias("c")), lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(F.concat(x["a"], x["b"], x["c"]), r"\\(.)", "$1").alias("v")))
+        last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(last)
+    return F.filter(F.transform(records, fields), lambda m: F.size(m) > 0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, catalog, evaluation, governance, identities, joins, prices, texts, windows
+from marlstone.plans import aggregates, catalog, evaluation, governance, identities, joins, market, prices, texts, windows
 
-_MODULES = (prices, catalog, joins, aggregates, windows, texts, identities, evaluation, governance)
+_MODULES = (prices, catalog, joins, aggregates, windows, texts, identities, evaluation, governance, market)
 
 
 def queries() -> dict:
