@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,10 @@ from marlstone.functions import evidence as E
 from marlstone.functions import text as T
 from marlstone.operators.alignment import anchored, resolved
 from marlstone.operators.hierarchy import fit_lookup, lookup_cells, lookup_price
+from marlstone.operators.models import priced_rows
+from marlstone.operators.percentage import explain, sums
+from marlstone.operators.percentage import fit as percentage_fit
+from marlstone.sources.shared import through_table
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -49,8 +55,9 @@ def market_bindings(spark, sf):
 
 @query()
 def market_resources(spark, sf):
-    r = _texts(spark, sf, "conversations", ["conv_id", "turn"], E.normalised).select("conv_id", "turn", F.inline(E.resources(F.col("t"))))
-    return r.select("conv_id", "turn", "resource", "kind", "low", "high")
+    r = _texts(spark, sf, "conversations", ["conv_id", "turn"], E.normalised).select("conv_id", "turn", E.resources(F.col("t")).alias("r"))
+    said = F.transform("r", lambda x: F.concat_ws(":", x["resource"], x["kind"], x["low"].cast("string"), F.coalesce(x["high"].cast("string"), F.lit("or more"))))
+    return r.select("conv_id", "turn", F.array_join(said, ",").alias("resources"), (F.size(F.filter("r", lambda x: x["kind"] == "exact")) == len(E.RESOURCES)).alias("complete"))
 
 
 _POS = "WITH r AS (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 5 <> 2), t AS (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS j FROM part WHERE p_partkey % 7 <> 3), a AS (SELECT r.b, i, j FROM r JOIN t ON r.b = t.b AND r.k = t.k WHERE r.k % 4 = 0), n AS (SELECT b, n_i, n_j FROM (SELECT b, count(*) AS n_i FROM r GROUP BY 1) JOIN (SELECT b, count(*) AS n_j FROM t GROUP BY 1) USING (b)), e AS (SELECT b, i, j, FALSE AS z FROM a UNION ALL SELECT b, 0, 0, TRUE FROM n UNION ALL SELECT b, n_i + 1, n_j + 1, TRUE FROM n), g AS (SELECT *, lag(i) OVER w AS i0, lag(j) OVER w AS j0, lag(z) OVER w AS z0 FROM e WINDOW w AS (PARTITION BY b ORDER BY i, j)), f AS (SELECT *, unnest(range(1, i - i0)) AS d FROM g WHERE i0 IS NOT NULL AND i - i0 = j - j0 AND i - i0 - 1 BETWEEN 1 AND CASE WHEN z OR z0 THEN 8 ELSE 16 END AND b NOT IN (SELECT b FROM g WHERE i0 IS NOT NULL AND (j <= j0 OR i <= i0))) "
@@ -150,3 +157,14 @@ def hierarchical_lookup(spark, sf):
     """Log prices by season, break class and tier, each season's steps pooled with the market's and its neighbours'."""
     rows, cells = lookup_cells(table(spark, sf, "lineitem"))
     return lookup_price(rows, fit_lookup(cells)).select("l_orderkey", "l_linenumber", "season", "tier", "break_class", F.round("predicted", 2).alias("predicted"))
+
+
+@query()
+def percentage_prices(spark, sf):
+    """A season's base times break, package and resource percentages; the first season's base is known within a tenth."""
+    rows = priced_rows(table(spark, sf, "lineitem")).withColumn("wax", F.col("l_tax") * 100)
+    cells = through_table(sums(rows, ("wax",)), "price-sums")
+    seasons, first = cells.agg(F.max("season") + 1, F.sum(F.when(F.col("season") == 0, F.col("sy"))) / F.sum(F.when(F.col("season") == 0, F.col("n")))).first()
+    model = percentage_fit(cells, seasons, {0: math.exp(first)}, ("wax",), within=0.1)
+    out = explain(rows.withColumn("packages", F.col("l_quantity").cast("long") * 3), model, "packages")
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(c) for c in ("base_price", "break_factor", "package_factor", "resource_factor", "predicted")))

@@ -15,11 +15,15 @@ def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Merges every new file of `source` into versions <target>/v=<batch>; a batch that is run again overwrites its own version."""
+    """Merges every new file of `source` into versions <target>/v=<batch>; a batch that is run again overwrites its own version.
+
+    The version before stays for readers and for a batch that is run again; older ones go."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         old = spark.read.parquet(f"{target}/v={epoch - 1}") if epoch else None
         merged(old, batch).write.mode("overwrite").parquet(f"{target}/v={epoch}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v={epoch - 2}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
     rows = spark.readStream.schema("source string, listing_id string, price double, observed_at timestamp").json(source)
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from marlstone.plans import catalogue
+from marlstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,17 +34,17 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[k]) for k in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, con, name):
-    got = catalogue.queries()[name](spark, SF)
-    want = con.sql(catalogue.oracle_sql()[name])
+    got = registry.queries()[name](spark, SF)
+    want = con.sql(registry.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_has_rows(spark, name):
-    assert catalogue.queries()[name](spark, SF).count() > 0
+    assert registry.queries()[name](spark, SF).count() > 0
 
 
 def test_entry(spark):

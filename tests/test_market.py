@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
-from marlstone.operators import alignment, hierarchy
+from marlstone.operators import alignment, hierarchy, percentage
 
 BY_CELL = "season int, tier string, break_class string, n double, sy double"
 
@@ -85,3 +85,54 @@ def test_lua_records_and_labels(spark):
     assert got == [[{"name": 'A "b"', "guid": "12", "zh": "c"}, {"name": "e"}], [], None]
     labels = spark.range(12).select(T.fraction(F.col("id"), 6).alias("f"), T.fraction(F.col("id"), 7).alias("s")).collect()
     assert [r.f for r in labels[:7]] == ["0", "⅙", "⅓", "½", "⅔", "⅚", "1"] and labels[9].s == "1 2/7" and labels[3].s == "3/7"
+
+
+def test_percentages_are_the_constrained_minimum_and_are_explained(spark):
+    rng = np.random.default_rng(11)
+    seasons, rows = 5, []
+    for _ in range(400):
+        s, t, b, w = int(rng.integers(-1, seasons)), int(rng.integers(-1, 4)), int(rng.integers(-1, 4)), float(rng.integers(0, 50))
+        y = 11 - 0.4 * max(s, 0) + 0.2 * t - 0.15 * b + 0.05 * np.log1p(w) + rng.normal(0, 0.4)
+        rows.append((s if s >= 0 else None, hierarchy.TIERS[t] if t >= 0 else None, hierarchy.BREAKS[b] if b >= 0 else None, float(y), w, int(rng.integers(0, 400))))
+    df = spark.createDataFrame(rows, "season int, tier string, break_class string, y double, wax double, packages int")
+    anchors = {0: float(np.exp(10.6)), 3: float(np.exp(9.0))}
+    m = percentage.fit(percentage.sums(df, ("wax",)), seasons, anchors, ("wax",), within=0.1)
+
+    def loss(base, breaks, packages, wax):
+        total = 0.0
+        for s, t, b, y, w, _ in rows:
+            x = base[seasons if s is None else s] + wax * np.log1p(w)
+            x += breaks[: hierarchy.BREAKS.index(b)].sum() if b else 0
+            x += ((hierarchy.TIERS.index(t) >= np.arange(1, 4)) - np.array([1, 0.5, 0])) @ packages if t else 0
+            total += (x - y) ** 2
+        return total + 10 * ((breaks**2).sum() + (packages**2).sum() + wax**2) + 0.5 * (np.diff(base[:-1]) ** 2).sum()
+
+    wax = m.resources["wax"]
+    assert (np.diff(m.base[:-1]) <= 1e-9).all() and (m.breaks <= 0).all() and (m.packages >= 0).all() and wax >= 0
+    assert all(abs(np.exp(m.base[s]) / p - 1) <= 0.1 + 1e-9 for s, p in anchors.items())
+    here = loss(m.base, m.breaks, m.packages, wax)
+    for _ in range(150):
+        base = m.base + rng.normal(0, 0.02, seasons + 1)
+        base[:-1] = percentage.falling(base[:-1])
+        if all(abs(np.exp(base[s]) / p - 1) <= 0.1 for s, p in anchors.items()):
+            assert here <= loss(base, np.minimum(m.breaks + rng.normal(0, 0.02, 3), 0), np.maximum(m.packages + rng.normal(0, 0.02, 3), 0), max(0, wax + rng.normal(0, 0.01))) + 1e-7
+
+    got = percentage.explain(df, m, "packages").collect()
+    scale = np.r_[m.elasticity(), 1.0]
+    for r in got:
+        s = seasons if r.season is None else r.season
+        want = m.base[s] + float(m.count_log(np.array(float(r.packages)))) * scale[s] + wax * np.log1p(r.wax) + (m.breaks[: hierarchy.BREAKS.index(r.break_class)].sum() if r.break_class else 0)
+        assert np.isclose(np.log(r.predicted), want) and np.isclose(r.predicted, r.base_price * r.break_factor * r.package_factor * r.resource_factor)
+    counts = np.arange(0, 600)
+    curve = m.count_log(counts)
+    assert (np.diff(curve) >= -1e-12).all() and np.allclose(curve[[30, 75, 95, 150]], m.controls())
+    prices = m.base[:-1, None] + scale[:-1, None] * curve[None, :351]
+    assert (np.diff(prices, axis=0) <= 1e-9).all()  # the order of seasons holds at every count
+    with pytest.raises(ValueError):
+        percentage.fit(percentage.sums(df.limit(0), ()), seasons, {})
+
+
+def test_cubic_keeps_to_its_points():
+    x, y = np.array([0.0, 1, 3, 4, 9]), np.array([0.0, 2, 2, 3, 1])
+    assert np.allclose(percentage.slopes(x, y), [3.3333333, 0, 0, 0, -1.0], atol=2.5) and percentage.slopes(x, y)[2] == 0
+    assert percentage.falling(np.array([1.0, 3, 2, 5, 0])).tolist() == [2.75, 2.75, 2.75, 2.75, 0]
