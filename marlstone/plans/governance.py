@@ -68,13 +68,18 @@ def shrink_guard(spark, sf):
     return j.select("old_count", "new_count", (F.col("new_count") >= F.col("old_count")).alias("may_write"))
 
 
-@query("WITH r AS (SELECT c_mktsegment AS seg, sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR))) AS h FROM customer) SELECT seg, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS digest FROM (SELECT seg, b, count(*) AS c, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM (SELECT seg, substr(h, 1, 2) AS b, h FROM r) GROUP BY ALL) GROUP BY 1")
+_TREE = ", ".join(f"l{k} AS (SELECT seg, substr(p, 1, {k}) AS p, sum(n) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS h FROM {'r' if k == 8 else f'l{k + 2}'} GROUP BY ALL)" for k in (8, 6, 4, 2, 0))
+
+
+@query(f"WITH r AS (SELECT seg, h, h AS p, 1 AS n FROM (SELECT c_mktsegment AS seg, sha256(concat_ws('|', CAST(c_custkey AS VARCHAR), c_name, CAST(c_nationkey AS VARCHAR))) AS h FROM customer)), {_TREE} SELECT seg, CAST(n AS BIGINT) AS n, h AS digest FROM l0")
 def dataset_digest(spark, sf):
-    """A digest of digests: row hashes by their first byte, then those in order, so that no list holds all rows."""
+    """A tree of digests: row hashes by their first eight digits, then two digits less a level, so that a node has 256
+    children at most and a leaf few rows at any size."""
     h = F.sha2(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", F.col("c_nationkey").cast("string")), 256)
-    r = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg"), h.alias("h"))
-    part = r.groupBy("seg", F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
-    return part.groupBy("seg").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("digest"))
+    level = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("seg"), h.alias("h"), h.alias("p"), F.lit(1).cast("long").alias("n"))
+    for digits in (8, 6, 4, 2, 0):
+        level = level.groupBy("seg", F.substring("p", 1, digits).alias("p")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("h"))
+    return level.select("seg", "n", F.col("h").alias("digest"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")

@@ -189,19 +189,13 @@ def unique_claim(spark, sf):
     return c.groupBy("doc_id").agg(F.when(F.count_distinct("claim") == 1, F.min("claim")).alias("claim"), F.count_distinct("claim").alias("claims"))
 
 
-_SPANS = ("not the", "the end", "the", "and the", "end")
+#: Dictionary spans, longest first, which is the order in which they are tried at each place.
+_SPANS = "not the|the end|and the|the|end"
 
 
-@query()
+@query(rf"SELECT doc_id, span, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), '\b({_SPANS})\b', 1)) AS span FROM documents) GROUP BY ALL")
 def span_scan(spark, sf):
     """All occurrences of a small dictionary, longest first at each place, greedily without overlap."""
-    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
-    pieces = F.split("low", "(?<=[^a-z])|(?=[^a-z])")
-    toks = d.select("doc_id", F.posexplode(F.filter(pieces, lambda x: x.rlike("[a-z]"))).alias("k", "w"))
-    w = Window.partitionBy("doc_id").orderBy("k")
-    two = toks.withColumn("next", F.lead("w").over(w))
-    hit = two.select("doc_id", "k", F.when(F.concat_ws(" ", "w", "next").isin(*[s for s in _SPANS if " " in s]), 2).when(F.col("w").isin(*[s for s in _SPANS if " " not in s]), 1).alias("len"), F.concat_ws(" ", "w", "next").alias("pair"), "w").filter("len IS NOT NULL")
-    rows = hit.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "len", F.when(F.col("len") == 2, F.col("pair")).otherwise(F.col("w")).alias("span")))).alias("h"))
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<string>").alias("out"))
-    picked = F.aggregate("h", start, lambda a, x: F.when(x["k"] > a["end"], F.struct((x["k"] + x["len"] - 1).alias("end"), F.array_append(a["out"], x["span"]).alias("out"))).otherwise(a), lambda a: a["out"])
-    return rows.select("doc_id", F.explode(picked).alias("span")).groupBy("doc_id", "span").agg(F.count("*").alias("n"))
+    words = F.regexp_replace(F.lower("text"), "[^a-z]+", " ")
+    found = F.regexp_extract_all(words, F.lit(rf"\b({_SPANS})\b"), F.lit(1))
+    return table(spark, sf, "documents").select("doc_id", F.explode(found).alias("span")).groupBy("doc_id", "span").agg(F.count("*").alias("n"))
