@@ -148,7 +148,7 @@ def _learnt(idf: np.ndarray):
         owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
         model = Model(idf, languages, np.vstack([*parts, np.zeros((0, SIZE))]).astype(np.float32), owner, np.zeros(16, np.float32))
         least = _limits(model, lang, counts, first) if languages else model.least
-        return pa.table({"languages": [languages], "centroids": [model.centroids.tobytes()], "owner": pa.array([owner.tolist()], pa.list_(pa.int64())), "least": pa.array([least.tolist()], pa.list_(pa.float32()))})
+        return pa.table({"languages": pa.array([languages], pa.list_(pa.string())), "centroids": [model.centroids.tobytes()], "owner": pa.array([owner.tolist()], pa.list_(pa.int64())), "least": pa.array([least.tolist()], pa.list_(pa.float32()))})
 
     return run
 
