@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import evidence
 from marlstone.functions import text as T
 from marlstone.operators import alignment, hierarchy, percentage
+from marlstone.sources import gifts
 
 BY_CELL = "season int, tier string, break_class string, n double, sy double"
 
@@ -136,3 +138,29 @@ def test_cubic_keeps_to_its_points():
     x, y = np.array([0.0, 1, 3, 4, 9]), np.array([0.0, 2, 2, 3, 1])
     assert np.allclose(percentage.slopes(x, y), [3.3333333, 0, 0, 0, -1.0], atol=2.5) and percentage.slopes(x, y)[2] == 0
     assert percentage.falling(np.array([1.0, 3, 2, 5, 0])).tolist() == [2.75, 2.75, 2.75, 2.75, 0]
+
+
+def test_gift_pages(spark):
+    def html(icons, name="雙件套", count=1):
+        pics = "".join(f'<img alt="{i}" src="x">' for i in icons)
+        return f'<div id="gc">{count}</div><div id="gl"><div class="g-item"><div class="nm">{name}</div><div class="pr">$20<span>¥148 / NT$690</span><span>₫599,000</span><br></div><div class="g-extras">蠟燭 ×75</div><div class="g-unlocks">{pics}</div></div></div>'
+
+    pages = [("both", html("AB")), ("one", html("A", "單件")), ("label", html("C", "超值禮包")), ("single", html("C", "單件")), ("unknown", html("Z")), ("none", html("")), ("wrong", html("A", count=2)), ("empty", '<div id="gc">0</div><div id="gl"></div>'), ("null", None)]
+    rows = gifts.gift_packages(spark.createDataFrame(pages, "page string, html string"))
+    assert {r.page for r in rows.filter("reason IS NOT NULL").collect()} == {"wrong", "empty", "null"}
+    shown = rows.filter("page = 'both'").select(gifts.displayed_prices(F.col("price_text")).alias("p"), "extras").first()
+    assert [(p.currency, p.amount) for p in shown.p] == [(None, 20.0), (None, 148.0), ("TWD", 690.0), ("VND", 599000.0)] and shown.extras == "蠟燭 ×75"
+    icons = spark.createDataFrame([("A", "a"), ("B", "b"), ("C", "c")], "icon string, guid string")
+    catalog = spark.createDataFrame([("a", True, "pair"), ("b", True, "pair"), ("c", True, "solo")], "guid string, paid boolean, package_key string")
+    got = {r.page: (r.status, r.package_key, r.name_item) for r in gifts.package_status(rows, icons, catalog).collect()}
+    assert got == {"both": ("exact-members", "pair", None), "one": ("review-package-members", None, None), "label": ("exact-members", "solo", None), "single": ("exact-members", "solo", "c"), "unknown": ("unknown-member", None, None), "none": ("unknown-member", None, None)}
+
+
+def test_graduation_lists(spark):
+    seasons = (("dreams", "夢想|梦想"), ("assembly", "集結|集结"), ("flight", "風行|风行"), ("abyss", "潛海"))
+    cases = {
+        "畢業季節：夢想、集結 3/4、未畢業風行 禮包：潛海": [("dreams", "full"), ("assembly", "partial")], "毕业季节: 半梦想 集结半毕业 风行季卡": [("dreams", "partial"), ("assembly", "partial")],
+        "畢業季節：夢想 0/4 集結 5/4 風行 4/4": [("flight", "full")], "夢想": [], "": [],
+    }
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", evidence.graduations(F.col("t"), seasons).alias("g")).collect()
+    assert {r.t: [tuple(x) for x in r.g] for r in got} == cases
