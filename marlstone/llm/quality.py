@@ -15,6 +15,7 @@ positives or no rows to learn from, every score is 0.5.  Repeated rows score ali
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,16 +144,16 @@ def _features(batches):
     for batch in batches:
         for at, data, offsets in batches_of(utf8(batch.column(1)), rows=512):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["positive", "x"])
 
 
 def _learnt(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("x")
-    kinds = rows.column("positive").to_numpy()
-    data = rows.column("x").combine_chunks()
+    kinds, data = rows.column("positive").to_numpy(), rows.column("x").combine_chunks()
     data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    x = np.frombuffer(data.buffers()[2], np.float32, len(kinds) * WIDTH).reshape(-1, WIDTH)
-    model = learn(x[kinds], x[~kinds])
+    x = np.frombuffer(data.buffers()[2], np.float16, len(kinds) * WIDTH).reshape(-1, WIDTH)
+    order = np.argsort([zlib.crc32(r) for r in x], kind="stable")  # the rows come in no order
+    p, u = (x[order[kinds[order] == k]].astype(np.float32) for k in (True, False))
+    model = learn(p, u)
     return pa.table({"weights": [model.weights.tolist()], "bias": [model.bias], "prior": [model.prior]})
 
 
