@@ -136,11 +136,11 @@ def sub_with_exceptions(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(exception, "exception").when(F.col("p_type").startswith("P") & (F.col("p_size") > 10), "match").otherwise("none").alias("sub"))
 
 
-@query("SELECT DISTINCT user_id AS page, regexp_extract(props, '([0-9]+)', 1) AS item FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND value > 0) > 0 AND count(DISTINCT event_type) <= 4) AND event_type = 'click'")
+@query("SELECT DISTINCT user_id AS page, regexp_extract(props, '([0-9]+)', 1) AS item FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'purchase' AND value > 0) * 5 >= count(*)) AND event_type = 'click'")
 def page_candidates(spark, sf):
-    """Items of pages that hold a price line and few kinds of lines, once for each page and item."""
+    """Items of pages of which a fifth of the lines or more are prices, once for each page and item."""
     e = table(spark, sf, "events")
-    fit = e.groupBy("user_id").agg(F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 0)).alias("prices"), F.count_distinct("event_type").alias("kinds")).filter("prices > 0 AND kinds <= 4")
+    fit = e.groupBy("user_id").agg(F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 0)).alias("prices"), F.count("*").alias("lines")).filter("prices * 5 >= lines")
     return e.filter("event_type = 'click'").join(fit, "user_id", "left_semi").select(F.col("user_id").alias("page"), F.regexp_extract("props", "([0-9]+)", 1).alias("item")).distinct()
 
 
