@@ -26,7 +26,7 @@ from marlstone.llm.runtime import ship_package, through_table
 
 #: Vectors in a shard and in a leaf at most (a shard: expected), cells at most, vectors that the cells are cut by,
 #: queries that one call holds (expected) and that are searched together, shards in the second round.
-SHARD, LEAF, CELLS, SAMPLE, CALL, BLOCK, NEXT = 4096, 32, 1024, 32_768, 16_384, 1024, 4
+SHARD, LEAF, CELLS, SAMPLE, CALL, BLOCK, NEXT = 4096, 256, 1024, 32_768, 16_384, 1024, 4
 
 
 class Tree:
@@ -116,13 +116,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 _FOUND = "query_id long, query long, vec_id long, score long"
 
 
-def _searched(width: int, k: int):
+def _searched(width: int, k: int, leaf: int):
     """Of one (shard, part): its vectors, whose tree is built once, and all its queries, in blocks."""
 
     def run(key: tuple, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
         if vectors.num_rows and queries.num_rows:
-            tree, ids = Tree(_matrix(vectors.column("x"), width)), vectors.column("vec_id").to_numpy()
+            tree, ids = Tree(_matrix(vectors.column("x"), width), leaf), vectors.column("vec_id").to_numpy()
             for at in range(0, queries.num_rows, BLOCK):
                 some = queries.slice(at, BLOCK)
                 own, query = some.column("query_id").to_numpy(), some.column("query").to_numpy()
@@ -221,7 +221,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         parts = asked.groupBy("shard").agg(F.ceil(F.count("*") / CALL).alias("parts"))  # a row for each shard
         asked = asked.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "query"), "parts"))
         held = shards.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        got = held.select("shard", "part", "vec_id", "x").groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(width, k), _FOUND)
+        got = held.select("shard", "part", "vec_id", "x").groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(width, k, LEAF), _FOUND)
         got = through_table(got, "found")
         found = got if found is None else found.unionByName(got)
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")

@@ -23,6 +23,7 @@ def run(docs, every, k=5):
 def test_random(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 60)
     monkeypatch.setattr(topk, "BLOCK", 10)
+    monkeypatch.setattr(topk, "LEAF", 8)
     rng = random.Random(4)
     rows = [(k, [rng.choice([0.0, 0.25, -0.5, 0.013 * rng.randint(-50, 50)]) for _ in range(6)]) for k in range(400)]
     rows += [(k, rows[0][1]) for k in range(400, 420)]
@@ -41,6 +42,7 @@ def test_odd_rows(spark):
 def test_two_queries_of_one_id_and_a_common_vector(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 20)
     monkeypatch.setattr(topk, "CALL", 2)
+    monkeypatch.setattr(topk, "LEAF", 4)
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), *((k, [k / 100, 1 - k / 90]) for k in range(1, 60)), *((k, [0.5, 0.5]) for k in range(60, 130))]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.top_k(docs, F.col("vec_id") % 50 == 0, 5).collect()
