@@ -68,6 +68,62 @@ SELECT x.doc_id, CASE WHEN a.doc_id IS NULL THEN x.text WHEN x.text IS NOT NULL
 """
 
 
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP12 = """
+WITH bits AS (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, WORDS AS ws FROM documents),
+dw AS (SELECT rid, w, count(*) AS c FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS c FROM (SELECT unnest(WORDS) AS w FROM benchmark) GROUP BY ALL),
+hashed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT w FROM dw UNION SELECT w FROM bw), bits),
+s AS (SELECT bucket, sum(c)::DOUBLE AS n FROM dw JOIN hashed USING (w) GROUP BY 1),
+t AS (SELECT bucket, sum(c)::DOUBLE AS n FROM bw JOIN hashed USING (w) GROUP BY 1),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT rid, sum(c)::BIGINT AS n, sum(c * gain)::BIGINT AS total FROM dw JOIN hashed USING (w) JOIN g USING (bucket) GROUP BY 1),
+y AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (rid)),
+z AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score, n_features >= 20 AND doc_id IS NOT NULL AS may FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id, n_features) AS place, count(*) OVER (PARTITION BY may) AS among FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 10 * among // 100 THEN place END AS rank FROM r
+""".replace("WORDS", WORDS)
+
+OP13 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+cut AS (SELECT rid, o, part * 1000 AS base, substr(h, 2000 * part + 1, 2198) AS h FROM (SELECT *, unnest(range(greatest(0, len(h) // 2 - 99 + 999) // 1000)) AS part FROM d)),
+w AS (SELECT rid, {'o': o, 's': base + i} AS here, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT *, unnest(range(len(h) // 2 - 99)) AS i FROM cut)),
+f AS (SELECT m, min(here) AS first FROM w GROUP BY m HAVING count(*) > 1),
+r AS (SELECT rid, here.s AS s FROM w JOIN f USING (m) WHERE here > first),
+n AS (SELECT rid, s, coalesce(s - lag(s) OVER (PARTITION BY rid ORDER BY s) > 100, true) AS new FROM r),
+p AS (SELECT rid, s, sum(new::INT) OVER (PARTITION BY rid ORDER BY s) AS k FROM n),
+z AS (SELECT rid, k, min(s) AS a, max(s) + 100 AS b FROM p GROUP BY ALL),
+l AS (SELECT rid, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS before FROM z),
+kept AS (SELECT rid, count(*) AS spans, sum(b - a) AS removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h FROM l JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
+def op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """The vector codes in SQL: every round a full scan of the codebooks."""
+    nearest = """a{r} AS (SELECT rid, part, min({{'d': d, 'e': entry}}) AS near FROM (
+      SELECT rid, p.part, entry, CAST(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN c{r} c ON p.part = c.part) GROUP BY rid, part)"""
+    moved = """m{r} AS (SELECT part, entry, list(m ORDER BY pos) AS x FROM (
+      SELECT p.part, near.e AS entry, pos, (sum(p.x[pos]) - ((sum(p.x[pos]) % count(*)) + count(*)) % count(*)) // count(*) AS m FROM p JOIN a{r} USING (rid, part), unnest(range(1, len(p.x) + 1)) u(pos) GROUP BY ALL) GROUP BY ALL),
+c{n} AS (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (part, entry))"""
+    steps = ",\n".join([s for r in range(rounds) for s in (nearest.format(r=r), moved.format(r=r, n=r + 1))] + [nearest.format(r=rounds)])
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({1024} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS rid, * FROM v WHERE len(x) = (SELECT len(x) FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)),
+p AS (SELECT rid, part, x[part * len(x) // {parts} + 1 : (part + 1) * len(x) // {parts}] AS x FROM k, range({parts}) t(part)),
+c0 AS (SELECT part, rid - 1 AS entry, CAST(x AS HUGEINT[]) AS x FROM p WHERE rid <= {entries}),
+{steps},
+e AS (SELECT rid, string_agg(lpad(lower(hex(near.e)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(near.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN e USING (rid), b
+"""
+
+
 def op8() -> str:
     """The licence scan in SQL, from the operator's own templates and limits."""
     from marlstone.llm import licenses as L
