@@ -66,12 +66,12 @@ def bigram_dice(a: Column, b: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility form, for which there is no built-in."""
+    """Unicode compatibility form, for which there is no built-in; plain ASCII texts never leave the JVM."""
 
     def run(batch: pd.Series) -> pd.Series:
         return batch.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
-    return F.pandas_udf(run, StringType())(text)
+    return F.coalesce(F.pandas_udf(run, StringType())(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def normalize(text: Column) -> Column:

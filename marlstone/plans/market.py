@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from marlstone.functions import evidence as E
 from marlstone.functions import text as T
+from marlstone.functions.titles import SEASONS, title_claims
 from marlstone.operators.alignment import anchored, resolved
 from marlstone.operators.hierarchy import fit_lookup, lookup_cells, lookup_price
 from marlstone.operators.models import priced_rows
@@ -28,36 +29,59 @@ def query(sql: str | None = None):
     return add
 
 
-def _texts(spark, sf, name, key, norm):
-    return table(spark, sf, name).select(*key, norm(F.col("text")).alias("t"))
+def _planted(k, forms):
+    """The kth of the forms, counted modulo their number: a claim that the row itself makes up."""
+    out = None
+    for n, form in enumerate(forms[:-1]):
+        out = F.when(k % len(forms) == n, form) if out is None else out.when(k % len(forms) == n, form)
+    return E.normalised(out.otherwise(forms[-1]))
 
 
-@query()
+@query("SELECT o_orderkey, CASE f WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n * 10 WHEN 5 THEN n END AS value, CASE f WHEN 0 THEN 'ask' WHEN 1 THEN 'quick' WHEN 2 THEN 'ask' WHEN 5 THEN 'ask' END AS kind, CASE f WHEN 3 THEN 'ambiguous_price' WHEN 4 THEN 'missing_price' END AS reason FROM (SELECT o_orderkey, o_orderkey % 6 AS f, 1000 + o_orderkey % 9000 AS n FROM orders)")
 def market_price(spark, sf):
-    """The price that each document's text asks, and why there is none."""
-    return _texts(spark, sf, "documents", ["doc_id"], E.normalised).select("doc_id", E.listing_price(F.col("t")).alias("p")).select("doc_id", "p.value", "p.kind", "p.reason")
+    """The price that a listing asks, and why there is none."""
+    k = F.col("o_orderkey")
+    n = (1000 + k % 9000).cast("string")
+    forms = [F.concat(F.lit("售 "), n), F.concat(n, F.lit("秒、"), (1001 + k % 9000).cast("string"), F.lit("直")), F.concat(F.lit("價格 "), ((1000 + k % 9000) / 1000).cast("decimal(9,3)").cast("string"), F.lit("萬台")), F.concat(F.lit("售"), n, F.lit("元 或 "), (10_001 + k % 9000).cast("string"), F.lit("元")), F.concat(F.lit("白蠟 "), n, F.lit("元")), F.concat(F.lit("#售\n小王子多禮號\n"), n)]
+    t = table(spark, sf, "orders").select("o_orderkey", _planted(k, forms).alias("t"))
+    return t.select("o_orderkey", E.listing_price(F.col("t")).alias("p")).select("o_orderkey", "p.value", "p.kind", "p.reason")
 
 
-@query()
+#: For each season the first of its names, and its slug.
+_SEASONS = [(words.split("|")[0].replace("?", ""), slug) for slug, words in SEASONS]
+
+
+@query(f"WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS f, {[s for _, s in _SEASONS]!r}[o_orderkey // 6 % {len(_SEASONS)} + 1] AS s, CAST(10 + o_orderkey % 80 AS INTEGER) AS n FROM orders) SELECT o_orderkey, CASE WHEN f IN (0, 1, 3) THEN s END AS start_season, CASE f WHEN 0 THEN 'slight' WHEN 1 THEN 'none' END AS break_class, CASE WHEN f = 1 THEN n END AS package_count, CASE f WHEN 3 THEN n WHEN 4 THEN 0 END AS packages_low, CASE f WHEN 4 THEN n END AS packages_high, CASE f WHEN 0 THEN 'few' WHEN 2 THEN 'many' END AS sale_tier, CASE f WHEN 5 THEN 'simple' END AS account_style, f = 5 AS wingless FROM o")
 def market_title(spark, sf):
-    """What the first line of each turn claims as a title."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", E.compact(F.substring_index("text", "\n", 1)).alias("t"))
-    c = t.select("conv_id", "turn", E.title_claims(F.col("t")).alias("c"))
-    return c.select("conv_id", "turn", "c.break_class", "c.package_count", F.col("c.package_range.low").alias("packages_low"), F.col("c.package_range.high").alias("packages_high"), "c.sale_tier", "c.account_style", "c.wingless")
+    """What a listing's title claims of the account."""
+    k = F.col("o_orderkey")
+    season = F.get(F.array(*(F.lit(name) for name, _ in _SEASONS)), F.expr(f"int((o_orderkey div 6) % {len(_SEASONS)})"))
+    n = (10 + k % 80).cast("string")
+    forms = [F.concat(season, F.lit("起微斷少禮號")), F.concat(season, F.lit("季起無斷"), n, F.lit("禮")), F.concat(season, F.lit("季斗篷多禮號")), F.concat(season, F.lit("已畢業"), n, F.lit("+ 個禮包")), F.concat(F.lit("不是"), season, F.lit("畢業｜最多"), n, F.lit("禮")), F.concat(season, F.lit("微斷中斷簡號 無翼"))]
+    t = table(spark, sf, "orders").select("o_orderkey", _planted(k, forms).alias("t"))
+    c = t.select("o_orderkey", title_claims(F.col("t")).alias("c"))
+    return c.select("o_orderkey", "c.start_season", "c.break_class", "c.package_count", F.col("c.package_range.low").alias("packages_low"), F.col("c.package_range.high").alias("packages_high"), "c.sale_tier", "c.account_style", "c.wingless")
 
 
-@query()
+@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'none' WHEN 1 THEN 'transfer' END AS complete, CASE c_custkey % 6 WHEN 2 THEN 'gameCenter=transfer,nintendo=keep' WHEN 3 THEN 'facebook=none' WHEN 4 THEN 'steam=issue' ELSE '' END AS by_platform, CASE WHEN c_custkey % 6 IN (2, 5) THEN 'google' ELSE '' END AS conflicts FROM customer")
 def market_bindings(spark, sf):
-    b = _texts(spark, sf, "conversations", ["conv_id", "turn"], E.normalised).select("conv_id", "turn", E.bindings(F.col("t")).alias("b"))
+    """What a listing says of the account's platform bindings: for all, for each, and where it contradicts itself."""
+    forms = ["帳號無綁｜可直接改密碼", "綁全出｜售後不退", "GG、NS不出｜GG,GC可出", "FB未綁｜PSN:出 不確定", "Apple ID、NS不出｜Steam 遺失", "GG可出/不可出"]
+    t = table(spark, sf, "customer").select("c_custkey", _planted(F.col("c_custkey"), [F.lit(f) for f in forms]).alias("t"))
+    b = t.select("c_custkey", E.bindings(F.col("t")).alias("b"))
     by = F.array_join(F.array_sort(F.transform(F.map_entries("b.by_platform"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return b.select("conv_id", "turn", F.col("b.complete").alias("complete"), by.alias("by_platform"), F.array_join("b.conflicts", ",").alias("conflicts"))
+    return b.select("c_custkey", F.col("b.complete").alias("complete"), by.alias("by_platform"), F.array_join("b.conflicts", ",").alias("conflicts"))
 
 
-@query()
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'candles:exact:' || n || ':' || n || ',hearts:exact:' || p_size || ':' || p_size || ',ascended:exact:9:9,passes:exact:2:2' WHEN 1 THEN 'candles:approximate:' || n || ':' || n || ',hearts:range:' || p_size || ':or more' WHEN 2 THEN 'candles:range:' || n * 10000 || ':' || (n + 1) * 10000 ELSE 'passes:exact:1:1' END AS resources, p_partkey % 4 = 0 AS complete FROM (SELECT p_partkey, p_size, p_partkey % 90 + 1 AS n FROM part)")
 def market_resources(spark, sf):
-    r = _texts(spark, sf, "conversations", ["conv_id", "turn"], E.normalised).select("conv_id", "turn", E.resources(F.col("t")).alias("r"))
+    """The resources that a listing counts, exactly, about, or within bounds."""
+    k = F.col("p_partkey")
+    n, m, size = (k % 90 + 1).cast("string"), (k % 90 + 2).cast("string"), F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("白蠟 "), n, F.lit("｜"), size, F.lit("愛心｜昇華蠟 9｜副卡 2")), F.concat(F.lit("約 "), n, F.lit(" 白蠟｜愛心 "), size, F.lit("+｜紅蠟 1｜紅蠟 2")), F.concat(F.lit("白蠟 "), n, F.lit("萬～"), m, F.lit("萬｜不到 "), size, F.lit("愛心")), F.concat(F.lit("愛心眼鏡｜副卡 1｜白蠟 "), n, F.lit(" 至 約200"))]
+    r = table(spark, sf, "part").select("p_partkey", "p_size", _planted(k, forms).alias("t")).select("p_partkey", E.resources(F.col("t")).alias("r"))
     said = F.transform("r", lambda x: F.concat_ws(":", x["resource"], x["kind"], x["low"].cast("string"), F.coalesce(x["high"].cast("string"), F.lit("or more"))))
-    return r.select("conv_id", "turn", F.array_join(said, ",").alias("resources"), (F.size(F.filter("r", lambda x: x["kind"] == "exact")) == len(E.RESOURCES)).alias("complete"))
+    return r.select("p_partkey", F.array_join(said, ",").alias("resources"), (F.size(F.filter("r", lambda x: x["kind"] == "exact")) == len(E.RESOURCES)).alias("complete"))
 
 
 _POS = "WITH r AS (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part WHERE p_partkey % 5 <> 2), t AS (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS j FROM part WHERE p_partkey % 7 <> 3), a AS (SELECT r.b, i, j FROM r JOIN t ON r.b = t.b AND r.k = t.k WHERE r.k % 4 = 0), n AS (SELECT b, n_i, n_j FROM (SELECT b, count(*) AS n_i FROM r GROUP BY 1) JOIN (SELECT b, count(*) AS n_j FROM t GROUP BY 1) USING (b)), e AS (SELECT b, i, j, FALSE AS z FROM a UNION ALL SELECT b, 0, 0, TRUE FROM n UNION ALL SELECT b, n_i + 1, n_j + 1, TRUE FROM n), g AS (SELECT *, lag(i) OVER w AS i0, lag(j) OVER w AS j0, lag(z) OVER w AS z0 FROM e WINDOW w AS (PARTITION BY b ORDER BY i, j)), f AS (SELECT *, unnest(range(1, i - i0)) AS d FROM g WHERE i0 IS NOT NULL AND i - i0 = j - j0 AND i - i0 - 1 BETWEEN 1 AND CASE WHEN z OR z0 THEN 8 ELSE 16 END AND b NOT IN (SELECT b FROM g WHERE i0 IS NOT NULL AND (j <= j0 OR i <= i0))) "
