@@ -28,7 +28,7 @@ def test_equals_sql(spark, name):
 
 def test_names():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
 
 
 def test_pipeline_stages(spark):
