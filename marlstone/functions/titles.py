@@ -202,7 +202,11 @@ def title_claims(title: Column) -> Column:
             (x["t"].rlike("無翼") & ~x["t"].rlike(f"(?:{NOT})無翼")).alias("wingless"),
         )
 
-    return let(folded(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"(?U)\s+", "")), read)
+    nothing = F.lit(None).cast("string")
+    bounds = F.lit(None).cast("struct<low:int,high:int>")
+    silent = F.struct(nothing.alias("start_season"), nothing.alias("break_class"), F.lit(None).cast("int").alias("package_count"), bounds.alias("package_range"), nothing.alias("sale_tier"), nothing.alias("account_style"), F.lit(False).alias("wingless"))
+    worth = title.rlike(r"[\u2E80-\u9FFF]|(?i:completed)|\ufffd")
+    return F.when(worth, let(folded(F.regexp_replace(F.lower(title), r"(?U)\s+", "")), read)).otherwise(silent)
 
 
 def headline(title: Column, listing_title: Column, text: Column) -> Column:
