@@ -119,7 +119,7 @@ def length_class(counts: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, learn: F.Column | None = None, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learns from rows of `docs` (text, lang) where `learn` holds; None where there are none."""
     ship_package(docs.sparkSession)
-    rows = docs.filter((F.lit(True) if learn is None else learn) & (F.length("lang") > 0) & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id"))
+    rows = docs.filter((F.lit(True) if learn is None else learn) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("string"), F.col("doc_id"))
     df = rows.select("text").mapInArrow(_document_frequency, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow().to_pydict()
     if not df["gram"]:
         return None
