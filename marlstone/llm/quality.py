@@ -3,14 +3,16 @@
 A linear scorer over the shape of a whole text: square roots of the frequencies of byte-class trigrams, and a few ratios
 of words and lines (repeats, lengths, distinctness).  It minimises, by full-batch Adam with the logistic loss l,
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
-with trusted positives P (labels.quality 1) and unlabelled rows U, each a bounded hash sample of learnable rows; where
-the second part is negative its gradient is reversed.  No negative label is ever read: the prior is estimated from P and
-U alone, by best-bin estimation.  A scorer of P against U is fitted on half of each; on the other halves, the prior is
+with trusted positives P (labels.quality 1), a bounded hash sample of the labelled rows, and all unlabelled rows U; where
+the second part is negative its gradient is reversed.  U is dealt by hash into groups of about UNLABELLED rows, each group
+is fitted against P in a task of its own, and the scorers and priors are averaged by the groups' sizes: every row
+counts, and no task holds more than a group.  No negative label is ever read: the prior is estimated from P and U alone,
+by best-bin estimation.  A scorer of P against U is fitted on half of each; on the other halves, the prior is
 the least ratio of the shares of U and P over a score, at the score where that ratio's upper confidence bound is least.
-The fit runs in one task on the bounded sample; the driver holds only its weights.
+The driver holds P's features and a scorer for each group, summed in Spark.
 
 Cases: a null text scores as an empty one; an id that is also labelled other than 1 isn't a trusted positive; with no
-positives or no rows to learn from, every score is 0.5.  Repeated rows score alike, and count once in a sample.
+positives or no rows to learn from, every score is 0.5.  Repeated rows score alike, and are learnt from once.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 from marlstone.llm.runtime import bounded_sample, held_out, ship_package, with_fields
 from marlstone.llm.textbatch import batches_of, span_hashes, spans, utf8
 
-#: Rows at most that the classifier is fitted on.
+#: Labelled rows at most that the classifier is fitted on, and unlabelled rows in a group (about).
 POSITIVES, UNLABELLED = 2000, 4000
 #: Confidence of the prior's bounds, and how much of them the least ratio is charged.
 DELTA, CHARGE = 0.1, 1.01
@@ -144,32 +146,45 @@ def _features(batches):
     for batch in batches:
         for at, data, offsets in batches_of(utf8(batch.column(1)), rows=512):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["positive", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["part", "x"])
 
 
-def _learnt(rows: pa.Table) -> pa.Table:
-    kinds, data = rows.column("positive").to_numpy(), rows.column("x").combine_chunks()
-    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-    x = np.frombuffer(data.buffers()[2], np.float16, len(kinds) * WIDTH).reshape(-1, WIDTH)
-    order = np.argsort([zlib.crc32(r) for r in x], kind="stable")  # the rows come in no order
-    p, u = (x[order[kinds[order] == k]].astype(np.float32) for k in (True, False))
-    model = learn(p, u)
-    return pa.table({"weights": [model.weights.tolist()], "bias": [model.bias], "prior": [model.prior]})
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = sorted(column.to_pylist(), key=lambda r: (zlib.crc32(r), r))  # the rows come in no order
+    return np.frombuffer(b"".join(rows), np.float16).reshape(-1, WIDTH).astype(np.float32)
+
+
+def _learnt(positives):
+    """Of one group of unlabelled rows: its scorer and prior against the positives, each times its rows."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        u = _matrix(rows.column("x"))
+        model, n = learn(positives.value.astype(np.float32), u), rows.num_rows
+        return pa.table({"n": [n], "weights": [(n * model.weights).tolist()], "bias": [n * model.bias], "prior": [n * model.prior]})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Learns from documents whose ids aren't held out, and from which of them are labelled 1."""
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     by_id = labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi"))
     chosen = bounded_sample(by_id.filter("lo = 1 AND hi = 1").select("doc_id"), [], [F.col("doc_id")], positives)  # positives rows at most
     learnable = docs.filter(~held_out()).select("doc_id", F.col("text").cast("string").alias("text"))
     # An id may have many rows; of those one text is taken.
     p = bounded_sample(learnable.join(F.broadcast(chosen), "doc_id", "left_semi"), [], [F.col("doc_id")], positives)
-    u = bounded_sample(learnable, [], [F.col("doc_id"), F.col("text")], unlabelled)
-    rows = p.select(F.lit(True).alias("positive"), "text").unionByName(u.select(F.lit(False).alias("positive"), "text"))
-    sample = rows.mapInArrow(_features, "positive boolean, x binary")
-    got = sample.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(_learnt, "weights array<double>, bias double, prior double").first()
-    return Model(np.array(got.weights), got.bias, got.prior) if got else Model(np.zeros(WIDTH), 0.0, 0.5)
+    known = p.select(F.lit(0).cast("long").alias("part"), "text").mapInArrow(_features, "part long, x binary").select("x").toArrow()  # positives rows at most
+    n = learnable.count()
+    if not known.num_rows or not n:
+        return Model(np.zeros(WIDTH), 0.0, 0.5)
+    shared = spark.sparkContext.broadcast(_matrix(known.column("x")).astype(np.float16))
+    once = learnable.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    dealt = once.select(F.pmod(F.xxhash64(F.lit(11), "doc_id", "h"), F.lit(-(-n // unlabelled))).alias("part"), "text").mapInArrow(_features, "part long, x binary")
+    each = dealt.groupBy("part").applyInArrow(_learnt(shared), "n long, weights array<double>, bias double, prior double")
+    whole = each.select("n", "bias", "prior", F.posexplode("weights").alias("k", "w")).groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w"), (F.sum("bias") / F.sum("n")).alias("bias"), (F.sum("prior") / F.sum("n")).alias("prior"))
+    got = sorted(whole.collect(), key=lambda r: r["k"])  # WIDTH rows
+    return Model(np.array([r["w"] for r in got]), got[0]["bias"], got[0]["prior"])
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
