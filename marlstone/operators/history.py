@@ -37,17 +37,22 @@ def change_history(df: DataFrame, key: list[str], at: str, tie: str, values: lis
 
 
 def interpolate(df: DataFrame, group: list[str], axis: str, value: str) -> DataFrame:
-    """Adds `filled`: between observed neighbours linear in `axis`; outside, along the slope of the two nearest observed."""
-    w = Window.partitionBy(*group).orderBy(axis)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Adds `filled`: between observed neighbours linear in `axis`; outside, along the slope of the two nearest observed.
+
+    A row carries its two neighbours and the two first and last observed points of its group, no list of them."""
+    w, back = Window.partitionBy(*group).orderBy(axis), Window.partitionBy(*group).orderBy(F.desc(axis))
+    whole = lambda o: o.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col(axis).cast("double").alias("x"), F.col(value).cast("double").alias("y")))
-    every = Window.partitionBy(*group)
-    points = F.array_sort(F.collect_list(seen).over(every))
-    d = df.withColumn("_p", F.last(seen, True).over(before)).withColumn("_n", F.first(seen, True).over(after)).withColumn("_all", points)
-    x = F.col(axis).cast("double")
-    def line(a, b):
+    points = {
+        "_p": F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "_first": F.nth_value(seen, 1, True).over(whole(w)), "_second": F.nth_value(seen, 2, True).over(whole(w)),
+        "_last": F.nth_value(seen, 1, True).over(whole(back)), "_prior": F.nth_value(seen, 2, True).over(whole(back)),
+    }
+    x, c = F.col(axis).cast("double"), F.col
+
+    def line(a: str, b: str) -> Column:
+        a, b = c(a), c(b)
         return a["y"] + (b["y"] - a["y"]) * (x - a["x"]) / (b["x"] - a["x"])
-    last, prior = F.element_at("_all", -1), F.try_element_at(F.col("_all"), F.lit(-2))
-    first, second = F.get("_all", F.lit(0)), F.get("_all", F.lit(1))
-    filled = F.when(F.col(value).isNotNull(), F.col(value).cast("double")).when(F.col("_p").isNotNull() & F.col("_n").isNotNull(), line(F.col("_p"), F.col("_n"))).when(F.size("_all") < 2, first["y"]).when(F.col("_p").isNotNull(), line(prior, last)).otherwise(line(first, second))
-    return d.withColumn("filled", filled).drop("_p", "_n", "_all")
+
+    filled = F.when(c(value).isNotNull(), c(value).cast("double")).when(c("_p").isNotNull() & c("_n").isNotNull(), line("_p", "_n")).when(c("_second").isNull(), c("_first")["y"]).when(c("_p").isNotNull(), line("_prior", "_last")).otherwise(line("_first", "_second"))
+    return df.withColumns(points).withColumn("filled", filled).drop(*points)

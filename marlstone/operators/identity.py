@@ -63,12 +63,26 @@ def best_of_identity(df: DataFrame, identity: list[str], order: list[Column], pe
     return ranked.withColumn("conflict", F.coalesce(F.min(mine).over(top) != F.max(mine).over(top), F.lit(False))).drop("_p", "_b")
 
 
+def _followed(pairs: DataFrame, settled: DataFrame) -> DataFrame:
+    """Where chains of rows with one predecessor each begin: (c, o, root, odd), root a row of `settled` (c, o), odd whether
+    an odd number of steps leads there. By pointer doubling: as many rounds as the longest chain has binary digits."""
+    step = through_table(pairs.select("c", "o", F.col("before").alias("root"), F.lit(True).alias("odd")), "chains")
+    while True:
+        further = step.select("c", F.col("o").alias("root"), F.col("root").alias("_root"), F.col("odd").alias("_odd"))
+        met = step.join(further, ["c", "root"], "left")
+        step = through_table(met.select("c", "o", F.coalesce("_root", "root").alias("root"), F.when(F.col("_root").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("_odd")).alias("odd"), F.col("_root").isNotNull().alias("moved")), "chains")
+        if step.filter("moved").isEmpty():
+            return step.join(settled.select("c", F.col("o").alias("root")), ["c", "root"], "left_semi").select("c", "o", "odd")
+        step = step.drop("moved")
+
+
 def greedy_dedupe(df: DataFrame, component: str, order: list[str], keys: list[str]) -> DataFrame:
     """Adds `kept`: in order, a row is kept if none of its keys was held by an earlier kept row of its component.
 
     `order` tells the rows of a component apart.  Of rows equal in all keys only the first can be kept, so the others
-    leave at once.  Then in rounds: a row that is the first of the undecided for each of its keys is kept, rows that
-    share a key with a kept one go, until none is undecided.  No task holds a component; a round is a few joins."""
+    leave at once.  Then in rounds: a row that is the first of the undecided for each of its keys is kept; a row with one
+    undecided predecessor is what that isn't, so chains of such rows are settled whole, by pointer doubling; rows that
+    share a key with an earlier kept one go.  No task holds a component, and a chain of any length is one round."""
     row = F.struct(*order)
     first = df.groupBy(component, *keys).agg(F.min(row).alias("o"))
     marks = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.concat(F.lit(f"{i}:"), F.col(k).cast("string"))) for i, k in enumerate(keys))))
@@ -76,11 +90,19 @@ def greedy_dedupe(df: DataFrame, component: str, order: list[str], keys: list[st
     kept = None
     while not open_.isEmpty():
         low = open_.groupBy("c", "m").agg(F.min("o").alias("low"))
-        told = open_.join(low, ["c", "m"])
-        won = through_table(told.groupBy("c", "o").agg(F.min(F.col("o") == F.col("low")).alias("wins")).filter("wins").select("c", "o"), "kept")
+        told = through_table(open_.join(low, ["c", "m"]), "led")
+        second = told.filter("o > low").groupBy("c", "m").agg(F.min("o").alias("second"))
+        placed = told.join(second, ["c", "m"], "left")
+        before = F.when(F.col("o") > F.col("low"), F.col("low"))
+        many = (F.col("o") > F.col("low")) & (F.col("o") > F.col("second"))
+        each = through_table(placed.groupBy("c", "o").agg(F.min(before).alias("before"), (F.max(many) | (F.min(before) != F.max(before))).alias("several")), "placed")
+        free = each.filter("before IS NULL").select("c", "o")
+        chained = _followed(each.filter("before IS NOT NULL AND NOT coalesce(several, false)").select("c", "o", "before"), free)
+        won = through_table(free.unionByName(chained.filter("NOT odd").select("c", "o")), "kept")
+        lost = chained.filter("odd").select("c", "o")
         kept = won if kept is None else kept.unionByName(won)
-        taken = open_.join(won, ["c", "o"], "left_semi").select("c", "m").distinct()
-        gone = open_.join(taken, ["c", "m"], "left_semi").select("c", "o").distinct()
+        taken = open_.join(won, ["c", "o"], "left_semi").groupBy("c", "m").agg(F.min("o").alias("at"))
+        gone = open_.join(taken, ["c", "m"]).filter("o >= at").select("c", "o").unionByName(lost).distinct()
         open_ = through_table(open_.join(gone, ["c", "o"], "left_anti"), "undecided")
     keyless = F.coalesce(*(F.col(k).cast("string") for k in keys)).isNull()
     if kept is None:

@@ -85,6 +85,27 @@ def test_quantiles_equal_numpy_on_skewed_groups(spark, monkeypatch):
     assert ranking.quantiles(spark.createDataFrame([], "v double"), [], "v", [0.5]).collect() == []
 
 
+def test_quantiles_of_odd_doubles_end(spark, monkeypatch):
+    rounds = []
+    told = ranking.through_table
+    monkeypatch.setattr(ranking, "through_table", lambda df, name: rounds.append(name) or told(df, name))
+    rng = np.random.default_rng(3)
+    n = 20_000
+    wide = np.r_[-1.7e308, 1.7e308, 5e-324, -5e-324, 0.0, rng.normal(0, 1, n) * 10.0 ** rng.integers(-300, 300, n)]
+    groups = {"wide": wide, "inf": np.r_[rng.normal(0, 1, n), np.inf, np.inf, -np.inf], "nan": np.r_[rng.normal(5, 1, n), np.nan], "near": 1e9 + rng.random(n) * 1e-6, "all nan": np.full(9000, np.nan)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    qs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {r.g: [r[f"q{k}"] for k in range(5)] for r in ranking.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", qs).collect()}
+    for g, vs in groups.items():
+        ordered = np.sort(vs)  # NaN last
+        for q, x in zip(qs, got[g], strict=True):
+            low, high = ordered[int(np.floor(q * (len(vs) - 1)))], ordered[int(np.ceil(q * (len(vs) - 1)))]
+            f = q * (len(vs) - 1) % 1
+            want = low if f == 0 or low == high else low + f * (high - low)
+            assert np.isclose(x, want, rtol=1e-9, atol=0, equal_nan=True), (g, q, x, want)
+    assert len(rounds) < 20
+
+
 def test_numbers_within_groups(spark):
     rows = [("hot", k * 7919 % 1000) for k in range(900)] + [(None, k) for k in range(5)] + [("one", 3)]
     got = ranking.numbered(spark.createDataFrame(rows, "g string, v int").repartition(5), ["g"], [F.col("v").desc()], "n").collect()
@@ -107,6 +128,22 @@ def test_greedy_dedupe_equals_the_sequential_rule(spark):
     assert {(r.id, r.c): r.kept for r in got} == want
 
 
+def test_greedy_dedupe_settles_a_chain_in_few_rounds(spark, monkeypatch):
+    tables = []
+    told = identity.through_table
+    monkeypatch.setattr(identity, "through_table", lambda df, name: tables.append(name) or told(df, name))
+    rows = [(0, k, f"a{(k + 1) // 2}", f"b{k // 2}") for k in range(400)]
+    got = identity.greedy_dedupe(spark.createDataFrame(rows, "c int, id int, x string, y string"), "c", ["id"], ["x", "y"]).collect()
+    assert {r.id: r.kept for r in got} == {k: k % 2 == 0 for k in range(400)}
+    assert tables.count("undecided") <= 3 and len(tables) < 25
+
+
+def test_gaps_are_filled_from_few_points(spark):
+    rows = [(1, k, None if k in (0, 1, 4, 5, 9) else float(k * k)) for k in range(10)] + [(2, 1, None), (2, 2, 7.0), (3, 1, None)]
+    got = {(r.g, r.x): r.filled for r in history.interpolate(spark.createDataFrame(rows, "g int, x int, y double"), ["g"], "x", "y").collect()}
+    assert (got[1, 0], got[1, 1], got[1, 4], got[1, 5], got[1, 9]) == (-6.0, -1.0, 18.0, 27.0, 79.0) and got[2, 1] == 7.0 and got[3, 1] is None
+
+
 def test_chains_of_any_length(spark):
     rows = [(k, k - 1 if k else None) for k in range(90)] + [(200, 201), (201, 200), (300, 999), (400, 200)]
     got = {r.k: (r.root, r.depth, r.cycle) for r in identity.root_chain(spark.createDataFrame(rows, "k int, p int"), "k", "p").collect()}
