@@ -1,7 +1,11 @@
 """A small price model: season intercepts shrunk to a trend, tier effects that never fall, break effects that never rise.
 
-Rows reduce to cells (season, tier, break class) of counts and sums in Spark; there are 16 for each quarter between the
-first and the last date, whatever the number of rows, so the coordinate descent runs on the driver.  Prediction is a column expression."""
+Rows reduce to cells (season, tier, break class) of counts and sums in Spark; there are 25 for each season at most, whatever
+the number of rows, so the coordinate descent runs on the driver.  Prediction is a column expression.
+
+Cases: a season is a quarter that occurs, so a stray date adds one; of more than MOST_SEASONS quarters neighbours share a
+season; a row without a price or a date takes no part; an unknown tier or break class counts as the first one; without
+rows all effects are 0."""
 
 from __future__ import annotations
 
@@ -16,17 +20,28 @@ from marlstone.operators.filters import tier
 TIERS, BREAKS = ("few", "medium", "many", "hundred"), ("none", "slight", "medium", "large")
 
 
+#: Seasons at most.
+MOST_SEASONS = 120
+
+
 def _index(c: str, names: tuple[str, ...]) -> Column:
-    return F.array_position(F.array(*(F.lit(x) for x in names)), F.col(c)).cast("int") - 1
+    return F.greatest(F.coalesce(F.array_position(F.array(*(F.lit(x) for x in names)), F.col(c)), F.lit(0)).cast("int") - 1, F.lit(0))
+
+
+def levels(found: list, names: tuple[str, ...]) -> np.ndarray:
+    """The place of each name; unknown ones count as the first."""
+    return np.array([names.index(x) if x in names else 0 for x in found], int)
 
 
 def priced_rows(lineitem: DataFrame) -> DataFrame:
-    """Line items with a price and a date, with a season (quarters since the first), a tier, a break class and y = ln(price)."""
-    quarter = F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1
-    usable = lineitem.filter("l_extendedprice > 0 AND l_shipdate IS NOT NULL")
-    season = quarter - F.lit(usable.agg(F.coalesce(F.min(quarter), F.lit(0))).first()[0])
-    named = usable.withColumn("season", season).withColumn("tier", tier(F.col("l_quantity") * 2, [(90, "hundred"), (60, "many"), (30, "medium")], "few"))
-    return named.withColumn("break_class", tier(F.col("l_discount"), [(0.08, "large"), (0.05, "medium"), (0.02, "slight")], "none")).withColumn("y", F.ln("l_extendedprice"))
+    """Line items with a price and a date, with a season (a quarter's place among those that occur), a tier, a break class and y = ln(price)."""
+    usable = lineitem.filter("l_extendedprice > 0 AND l_shipdate IS NOT NULL").withColumn("quarter", F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1)
+    quarters = sorted(r["quarter"] for r in usable.select("quarter").distinct().collect())  # as many as the calendar has
+    places = [(q, k if len(quarters) <= MOST_SEASONS else k * MOST_SEASONS // len(quarters)) for k, q in enumerate(quarters)]
+    seasons = lineitem.sparkSession.createDataFrame(places, "quarter int, season int")
+    named = usable.join(F.broadcast(seasons), "quarter").drop("quarter").withColumn("tier", tier(F.col("l_quantity") * 2, [(90, "hundred"), (60, "many"), (30, "medium")], "few"))
+    named = named.withColumn("tier", F.when(F.col("l_quantity").isNotNull(), F.col("tier"))).withColumn("break_class", tier(F.col("l_discount"), [(0.08, "large"), (0.05, "medium"), (0.02, "slight")], "none"))
+    return named.withColumn("break_class", F.when(F.col("l_discount").isNotNull(), F.col("break_class"))).withColumn("y", F.ln("l_extendedprice"))
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -72,14 +87,13 @@ def _solve(season: np.ndarray, t: np.ndarray, b: np.ndarray, n: np.ndarray, sy:
 
 
 def _columns(got: dict) -> tuple[np.ndarray, ...]:
-    t = np.array([TIERS.index(x) for x in got["tier"]], int)
-    b = np.array([BREAKS.index(x) for x in got["break_class"]], int)
-    return np.array(got["season"], int), t, b, np.array(got["n"], float), np.array(got["sy"], float)
+    return np.array(got["season"], int), levels(got["tier"], TIERS), levels(got["break_class"], BREAKS), np.array(got["n"], float), np.array(got["sy"], float)
 
 
 def fit_cells(cell_table: DataFrame, ridge: float = 1.0) -> Model:
-    """Fits from the cell table (16 rows a season)."""
-    return _solve(*_columns(cell_table.toArrow().to_pydict()), ridge)
+    """Fits from the cell table (25 rows a season at most)."""
+    got = cell_table.toArrow().to_pydict()
+    return _solve(*_columns(got), ridge) if got["season"] else Model(np.zeros(1), np.zeros(len(TIERS) - 1), np.zeros(len(BREAKS) - 1), 0)
 
 
 def predict(rows: DataFrame, model: Model) -> DataFrame:

@@ -6,6 +6,7 @@ without members is unknown; an icon without a catalog item makes its package unk
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Packages of a page at most, currencies of symbols that establish one, and words of a name that is a package's. Fixed values.
 MOST = 1000
-CURRENCIES = (("NT$", "TWD"), ("US$", "USD"), ("₫", "VND"))
+CURRENCIES = (("NT$", "TWD"), ("US$", "USD"), ("$", None), ("¥", None), ("₫", "VND"))
 PACKAGE_WORDS = "禮包|套組|套裝"
 
 
@@ -76,11 +77,14 @@ def gift_packages(pages: DataFrame) -> DataFrame:
 
 
 def displayed_prices(text: Column) -> Column:
-    """An array of struct(symbol, currency, amount): prices shown for reference; a bare $ or ¥ names no currency."""
-    pattern = r"(NT\$|US\$|\$|¥|₫)\s*(\d+(?:,\d{3})*(?:\.\d+)?)(?![\d.,])"
-    symbols, amounts = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2))
-    names = F.create_map(*(F.lit(x) for pair in CURRENCIES for x in pair))
-    return F.transform(F.arrays_zip(symbols.alias("s"), amounts.alias("a")), lambda p: F.struct(p["s"].alias("symbol"), F.try_element_at(names, p["s"]).alias("currency"), F.regexp_replace(p["a"], ",", "").cast("double").alias("amount")))
+    """An array of struct(symbol, currency, amount): prices shown for reference; a bare $ or ¥ names no currency.
+
+    What follows a symbol is read as one run of digits, commas and points, and counts only if it is a well-formed number."""
+    shown = "(" + "|".join(re.escape(symbol) for symbol, _ in CURRENCIES) + r")\s*([0-9.,]+)"
+    found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(shown), F.lit(k)).alias(name) for k, name in ((1, "symbol"), (2, "run"))))
+    whole = F.filter(found, lambda p: p["run"].rlike(r"^[0-9]+(,[0-9]{3})*([.][0-9]+)?$"))
+    names = F.create_map(*(F.lit(x) for pair in CURRENCIES if pair[1] for x in pair))
+    return F.transform(whole, lambda p: F.struct(p["symbol"].alias("symbol"), F.try_element_at(names, p["symbol"]).alias("currency"), F.replace(p["run"], F.lit(",")).cast("double").alias("amount")))
 
 
 def package_status(packages: DataFrame, icons: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -45,6 +45,33 @@ def test_lookup_from_cells_equals_that_from_rows(spark):
         hierarchy.fit_lookup(spark.createDataFrame([], BY_CELL))
 
 
+def test_pulls_are_the_stated_rows():
+    seasons, alphas = 3, (2.0, 5.0, 7.0)
+    rng = np.random.default_rng(1)
+    w = rng.normal(0, 1, 1 + seasons - 1 + 6 + 6 * seasons)
+    steps, market, own = w[1:seasons], w[seasons : seasons + 6].reshape(2, 3), w[seasons + 6 :].reshape(2, seasons, 3)
+    want = alphas[0] * (steps**2).sum() + (market**2).sum() + alphas[1] * ((own - market[:, None, :]) ** 2).sum() + alphas[2] * ((own[:, 1:] - own[:, :-1]) ** 2).sum()
+    assert np.isclose(((hierarchy.pulls(seasons, *alphas) @ w) ** 2).sum(), want)
+
+
+def test_unknown_classes_and_empty_tables(spark):
+    from marlstone.operators import models
+
+    kind = "l_orderkey long, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double"
+    import datetime as d
+
+    rows = [(k, d.date(2000 + k % 3, 1 + k % 12, 1), 100.0 + k, None if k % 4 == 0 else float(k), None if k % 5 == 0 else 0.01 * (k % 9)) for k in range(60)]
+    rows += [(90, d.date(9999, 12, 1), 5.0, 1.0, 0.0), (91, None, 5.0, 1.0, 0.0), (92, d.date(2000, 1, 1), None, 1.0, 0.0)]
+    items = spark.createDataFrame(rows, kind)
+    priced = models.priced_rows(items)
+    assert priced.agg(F.max("season")).first()[0] == 12 and priced.count() == 61
+    assert models.predict(priced, models.fit_cells(models.cells(priced))).filter("predicted IS NULL").count() == 0
+    priced, cells = hierarchy.lookup_cells(items)
+    assert hierarchy.lookup_price(priced, hierarchy.fit_lookup(cells)).filter("predicted IS NULL").count() == 0
+    none = models.priced_rows(items.limit(0))
+    assert models.predict(none, models.fit_cells(models.cells(none))).count() == 0
+
+
 def test_robust_lookup_withstands_outliers(spark):
     rng = np.random.default_rng(6)
     rows = [(k % 2, "few", "none", 3.0 + float(rng.normal(0, 0.1)) + (8.0 if k % 10 == 0 else 0.0)) for k in range(300)]
