@@ -7,73 +7,28 @@ without members is unknown; an icon without a catalog item makes its package unk
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.sources.pages import html_rows
+
 #: Packages of a page at most, currencies of symbols that establish one, and words of a name that is a package's. Fixed values.
 MOST = 1000
 CURRENCIES = (("NT$", "TWD"), ("US$", "USD"), ("$", None), ("¥", None), ("₫", "VND"))
 PACKAGE_WORDS = "禮包|套組|套裝"
 
 
-class _Page(HTMLParser):
-    """Texts by class inside #gl .g-item, icons of .g-unlocks, and the text of #gc. Nothing is fetched or run."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.open: list[tuple[str, frozenset[str], str | None]] = []
-        self.count, self.packages = "", []
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        a = {k: v or "" for k, v in attrs}
-        classes = frozenset(a.get("class", "").split())
-        if any(i == "gl" for _, _, i in self.open) and "g-item" in classes:
-            self.packages.append({"nm": "", "pr": "", "g-extras": "", "icons": []})
-        if tag == "img" and self.packages and any("g-unlocks" in c for _, c, _ in self.open):
-            self.packages[-1]["icons"].append(a.get("alt", ""))
-        if tag not in self.VOID:
-            self.open.append((tag, classes, a.get("id")))
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                del self.open[k:]
-                return
-
-    def handle_data(self, data: str) -> None:
-        if any(i == "gc" for _, _, i in self.open):
-            self.count += data
-        for name in ("nm", "pr", "g-extras"):
-            if self.packages and any(name in c for _, c, _ in self.open) and any("g-item" in c for _, c, _ in self.open):
-                self.packages[-1][name] += data
-
-
-_ROWS = "page string, place int, name string, price_text string, extras string, icons array<string>, reason string"
-
-
 def gift_packages(pages: DataFrame) -> DataFrame:
-    """From (page, html): a row for each package, or one with a reason for a page that can't be trusted."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = _Page()
-                p.feed(html or "")
-                n = p.count.strip()
-                if not (n.isascii() and n.isdigit() and int(n) == len(p.packages) and 0 < len(p.packages) <= MOST):
-                    out.append((page, None, None, None, None, None, "incomplete"))
-                    continue
-                out += [(page, k, x["nm"].strip(), x["pr"].strip(), x["g-extras"].strip(), x["icons"], None) for k, x in enumerate(p.packages, 1)]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=[c.split()[0] for c in _ROWS.split(", ")])
-
-    return pages.select(F.col("page").cast("string"), F.col("html").cast("string")).mapInArrow(run, _ROWS)
+    """From (page, html): a row for each package (page, place, name, price_text, extras, icons), or one with a reason for a
+    page that can't be trusted."""
+    fields = {"name": ".nm", "price": ".pr", "more": ".g-extras", "icons": ".g-unlocks img@alt"}
+    rows = html_rows(pages.select(F.col("page").cast("string"), "html"), "page", "html", "#gl .g-item", fields, {"declared": "#gc"})
+    count = F.trim(F.array_join("declared", ""))
+    sound = F.coalesce(count.rlike("^[0-9]+$") & (count.try_cast("long") == F.col("of")) & F.col("of").between(1, MOST), F.lit(False))
+    text = lambda c: F.when(sound, F.trim(F.array_join(c, "")))
+    told = rows.select("page", F.coalesce("place", F.lit(1)).alias("_at"), F.when(sound, F.col("place")).alias("place"), text("name").alias("name"), text("price").alias("price_text"), text("more").alias("extras"), F.when(sound, F.col("icons")).alias("icons"), F.when(~sound, "incomplete").alias("reason"))
+    return told.filter("reason IS NULL OR _at = 1").drop("_at")
 
 
 def displayed_prices(text: Column) -> Column:
