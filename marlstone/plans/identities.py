@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import identity as I
+from marlstone.operators.sequences import aligned
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,22 +89,18 @@ def greedy_dedupe(spark, sf):
     return I.greedy_dedupe(c, "component", ["doc_id"], ["text_key", "account"]).select("doc_id", "component", "kept")
 
 
+def _aligned(spark, sf):
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("words"))
+    return aligned(t, "conv_id", "turn", F.col("role") == "user", "words")
+
+
 @query()
 def sequence_align(spark, sf):
     """Needleman-Wunsch of a conversation's user turns against its other turns: gap -0.65, match 3 * similarity + 0.2."""
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.array_distinct(F.split(F.lower("text"), "[^a-z]+")).alias("words"))
+    return _aligned(spark, sf)[0].select("conv_id", F.round("score", 6).alias("score"))
+
 
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("turn", "ascending")])
-        sides = ([], [])
-        for turn, role, words in zip(*(rows.column(c).to_pylist() for c in ("turn", "role", "words")), strict=True):
-            sides[role != "user"].append((turn, set(words or ())))
-        a, b = sides
-        score = [[-0.65 * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                both, either = len(a[i - 1][1] & b[j - 1][1]), len(a[i - 1][1] | b[j - 1][1]) or 1
-                score[i][j] = max(score[i - 1][j] - 0.65, score[i][j - 1] - 0.65, score[i - 1][j - 1] + 3 * both / either + 0.2)
-        return pa.table({"conv_id": rows.column("conv_id")[:1], "score": pa.array([round(score[-1][-1], 6)])})
-
-    return t.groupBy("conv_id").applyInArrow(run, "conv_id long, score double")
+@query()
+def sequence_pairs(spark, sf):
+    """The turns that this alignment puts side by side."""
+    return _aligned(spark, sf)[1].select("conv_id", F.col("left").alias("user_turn"), F.col("right").alias("other_turn"), F.round("similarity", 6).alias("similarity"))

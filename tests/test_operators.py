@@ -290,6 +290,48 @@ def test_snapshot_stream(spark, tmp_path):
     assert (r.price, r.seen, r.first_seen_at.day, r.last_seen_at.day) == (12.0, 2, 1, 2)
 
 
+def brute_alignment(a, b):
+    like = lambda x, y: len(set(x) & set(y)) / (len(set(x) | set(y)) or 1)
+    s = np.zeros((len(a) + 1, len(b) + 1))
+    step = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        s[i, 0] = s[i - 1, 0] - 0.65
+    for j in range(1, len(b) + 1):
+        s[0, j] = s[0, j - 1] - 0.65
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            pair, over, before = s[i - 1, j - 1] + like(a[i - 1], b[j - 1]) * 3 + 0.2, s[i - 1, j] - 0.65, s[i, j - 1] - 0.65
+            step[i, j] = 1 if pair >= over and pair >= before else 2 if over >= before else 3
+            s[i, j] = (pair, over, before)[step[i, j] - 1]
+    pairs, i, j = set(), len(a), len(b)
+    while i and j:
+        if step[i, j] == 1:
+            pairs.add((i - 1, j - 1, round(like(a[i - 1], b[j - 1]), 9)))
+        i, j = i - (step[i, j] != 3), j - (step[i, j] != 2)
+    return round(float(s[-1, -1]), 6), pairs
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_alignment_in_blocks_equals_the_whole_matrix(spark, monkeypatch, block):
+    from marlstone.operators import sequences
+
+    monkeypatch.setattr(sequences, "BLOCK", block)
+    rng = random.Random(block)
+    groups, rows = {}, []
+    for g in range(8):
+        base = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 4))] for _ in range(rng.choice([0, 1, 4, 12, 17]))]
+        a, b = ([w for w in base if rng.random() < 0.8] for _ in "ab")
+        groups[g] = (a, b)
+        rows += [(g, 2 * k, True, w) for k, w in enumerate(a)] + [(g, 2 * k + 1, False, w or None) for k, w in enumerate(b)]
+    scores, pairs = sequences.aligned(spark.createDataFrame(rows, "g int, o int, left boolean, w array<string>").repartition(4), "g", "o", F.col("left"), "w")
+    got = {}
+    for r in pairs.collect():
+        got.setdefault(r.g, set()).add((r.left // 2, r.right // 2, round(r.similarity, 9)))
+    want = {g: brute_alignment(a, b) for g, (a, b) in groups.items() if a or b}
+    assert {r.g: round(r.score, 6) for r in scores.collect()} == {g: s for g, (s, _) in want.items()}
+    assert {g: got.get(g, set()) for g in want} == {g: p for g, (_, p) in want.items()}
+
+
 def test_sequence_align_uses_all_words_of_a_turn(spark, tmp_path):
     from marlstone.plans import identities
 
