@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from marlstone.operators import metrics as M
 from marlstone.operators import models
 from marlstone.operators.ranking import numbered, quantiles
+from marlstone.operators.validation import cross_validated
 from marlstone.sources.shared import through_table
 from marlstone.sources.tables import table
 
@@ -102,6 +103,14 @@ def nested_tuning(spark, sf):
     return models.tune(rows.groupBy("fold", "season", "tier", "break_class").agg(F.count("*").alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy")))
 
 
+@query()
+def cross_validated_prices(spark, sf):
+    """Every line item priced by the model of its supplier's fold, tuned inside the other folds."""
+    rows = models.priced_rows(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "l_suppkey", "season", "tier", "break_class", "y")
+    out, _ = cross_validated(rows, "l_suppkey")
+    return out.select("l_orderkey", "l_linenumber", F.col("outer").alias("fold"), "ridge", F.round("predicted", 2).alias("predicted"))
+
+
 @query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, CAST((k - 1) // 4 AS BIGINT) AS chunk, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY k) AS ids FROM e GROUP BY ALL")
 def chunk_rows(spark, sf):
     e = table(spark, sf, "events").withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions import evidence as E
+from marlstone.functions import listings as L
 from marlstone.functions import text as T
 from marlstone.functions.titles import SEASONS, title_claims
 from marlstone.operators.alignment import anchored, resolved
-from marlstone.operators.hierarchy import fit_lookup, lookup_cells, lookup_price
+from marlstone.operators.features import filled
+from marlstone.operators.hierarchy import fit_lookup, fit_robust, lookup_cells, lookup_price
 from marlstone.operators.models import priced_rows
-from marlstone.operators.percentage import explain, sums
+from marlstone.operators.percentage import explain, fit_adjusted, sums, supported_bindings, supported_seasons
 from marlstone.operators.percentage import fit as percentage_fit
+from marlstone.operators.spans import dictionary
 from marlstone.sources.shared import through_table
 from marlstone.sources.tables import table
 
@@ -192,3 +195,54 @@ def percentage_prices(spark, sf):
     model = percentage_fit(cells, seasons, {0: math.exp(first)}, ("wax",), within=0.1)
     out = explain(rows.withColumn("packages", F.col("l_quantity").cast("long") * 3), model, "packages")
     return out.select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(c) for c in ("base_price", "break_factor", "package_factor", "resource_factor", "predicted")))
+
+
+@query()
+def adjusted_prices(spark, sf):
+    """The same percentages with bindings, fitted twice: seasons that enough suppliers sold in, under several conditions, move from the reference."""
+    k = F.col("l_orderkey")
+    status = F.when(k % 3 == 0, "transfer").when(k % 3 == 1, "keep").otherwise("unknown")
+    rows = priced_rows(table(spark, sf, "lineitem")).withColumn("wax", F.col("l_tax") * 100).withColumn("bindings", F.create_map(F.lit("google"), status, F.lit("steam"), F.when(k % 5 == 0, "issue")))
+    kinds, movable = supported_bindings(rows), supported_seasons(rows, "l_suppkey")
+    cells = through_table(sums(rows, ("wax",), kinds), "price-sums")
+    seasons, first = cells.agg(F.max("season") + 1, F.sum(F.when(F.col("season") == 0, F.col("sy"))) / F.sum(F.when(F.col("season") == 0, F.col("n")))).first()
+    model = fit_adjusted(cells, seasons, {0: math.exp(first)}, movable, ("wax",), kinds)
+    out = explain(rows, model)
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, 4).alias(c) for c in ("base_price", "break_factor", "package_factor", "resource_factor", "binding_factor", "predicted")))
+
+
+@query()
+def robust_lookup(spark, sf):
+    """The pooled lookup with Student weights: prices far from their cell count little."""
+    rows = through_table(priced_rows(table(spark, sf, "lineitem")).select("l_orderkey", "l_linenumber", "season", "tier", "break_class", "y"), "priced")
+    return lookup_price(rows, fit_robust(rows, 4.0)).select("l_orderkey", "l_linenumber", "season", "tier", "break_class", F.round("predicted", 2).alias("predicted"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN f IN (0, 2) THEN 'rhythm' WHEN f = 1 THEN 'enchantment' WHEN f = 3 THEN 'given' END AS season, CASE WHEN f IN (0, 1) THEN 'none' END AS break_class, CASE f WHEN 0 THEN 'hundred' WHEN 1 THEN 'medium' END AS package_tier,
+       CASE f WHEN 0 THEN 'candles=' || s_suppkey WHEN 1 THEN 'binding:GC=不出,binding:GG=不出' WHEN 2 THEN 'progress:rhythm=0.5' WHEN 4 THEN 'accountStyle=resource,item:i' || s_nationkey || '=' || CASE WHEN s_suppkey % 2 = 0 THEN 'absent' ELSE 'present' END ELSE '' END AS features,
+       CASE f WHEN 0 THEN 'season,breakClass,packageTier' WHEN 1 THEN 'season,breakClass,packageTier' WHEN 2 THEN 'season' ELSE '' END AS corrections, CASE f WHEN 4 THEN 'other' ELSE '' END AS unresolved
+FROM (SELECT *, s_suppkey % 5 AS f FROM supplier)
+""")
+def listing_features(spark, sf):
+    """What summaries state of accounts, where nothing is known: fields filled, features, and words left over."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    forms = [F.concat(F.lit("#售\n音韻無斷百禮號\n白蠟 "), k.cast("string")), F.lit("#售 #多社\n髒號\n魔法無斷中禮；GG、GC 不出"), F.lit("#售\n畢業：音韻1/2"), F.lit("音韻微斷多禮號"), F.concat(F.lit("蠟燭簡號\n◇ "), F.when(k % 2 == 0, "沒有").otherwise(""), F.lit("item "), nation, F.lit("｜other"))]
+    rows = table(spark, sf, "supplier").select("s_suppkey", _planted(k, forms).alias("summary"), F.when(k % 5 == 3, "given").alias("season"), F.lit(None).cast("string").alias("break_class"), F.lit(None).cast("string").alias("package_tier"), F.when(k % 5 == 3, F.array(F.lit("breakClass"), F.lit("packageTier"))).alias("reviewed"))
+    items = dictionary(table(spark, sf, "nation").select(F.concat(F.lit("item "), F.col("n_nationkey").cast("string")).alias("n"), F.concat(F.lit("i"), F.col("n_nationkey").cast("string")).alias("i")), "n", "i")
+    out = filled(rows, "s_suppkey", items)
+    pairs = F.array_join(F.array_sort(F.transform(F.map_entries("features"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return out.select("s_suppkey", "season", "break_class", "package_tier", pairs.alias("features"), F.array_join(F.transform("corrections", lambda c: c["field"]), ",").alias("corrections"), F.array_join("unresolved", ",").alias("unresolved"))
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN f = 0 THEN 2 ELSE 1 END AS offers, CASE WHEN f = 0 THEN '#代出' || chr(10) || '乙' || s_suppkey END AS second_offer, CASE f WHEN 1 THEN 'a' || chr(10) || chr(10) || 'c' END AS inventory, CASE f WHEN 1 THEN 'b' || s_suppkey END AS gifted,
+       f = 2 AS data_only, CASE f WHEN 3 THEN s_suppkey * 1.0 END AS price, CASE f WHEN 3 THEN s_suppkey % 2 = 0 END AS excluded FROM (SELECT *, s_suppkey % 5 AS f FROM supplier)
+""")
+def listing_layout(spark, sf):
+    """Numbered offers of a post, sections that aren't the account's own, offers of data alone, and marked prices."""
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    forms = [F.concat(F.lit("#代出\n1️⃣\n甲\n2️⃣ 乙"), n), F.concat(F.lit("a\n✦ 贈號上數據\nb"), n, F.lit("\n\nc")), F.lit("僅國際服數據，無本體"), F.concat(F.lit("▍t\n♧ › "), n, F.lit(" NTD"), F.when(k % 2 == 0, "底").otherwise(""), F.lit("\n◇ ›")), F.lit("不是無本體數據")]
+    t, f = table(spark, sf, "supplier").select("s_suppkey", _planted(k, forms).alias("t")), k % 5
+    d = t.select("s_suppkey", L.numbered_offers(F.col("t")).alias("o"), L.inventory_sections(F.col("t")).alias("i"), L.data_only(F.col("t")).alias("data_only"), L.marked_offer(F.col("t"), F.lit("")).alias("m"))
+    return d.select("s_suppkey", F.size("o").alias("offers"), F.get("o", F.lit(1)).alias("second_offer"), F.when(f == 1, F.col("i.inventory")).alias("inventory"), F.when(f == 1, F.col("i.separate_account")).alias("gifted"), "data_only", F.col("m.price").alias("price"), F.when(f == 3, F.col("m.excluded")).alias("excluded"))

@@ -161,6 +161,42 @@ def test_percentages_are_the_constrained_minimum_and_are_explained(spark):
         percentage.fit(percentage.sums(df.limit(0), ()), seasons, {})
 
 
+def test_adjusted_bases_and_bindings_are_the_constrained_minimum(spark):
+    rng = np.random.default_rng(12)
+    seasons, rows = 4, []
+    for k in range(300):
+        s, t, b, w = int(rng.integers(0, seasons)), int(rng.integers(0, 4)), int(rng.integers(0, 4)), float(rng.integers(0, 50))
+        tie = {"google": str(rng.choice(["transfer", "keep", "unknown"])), "rare": "issue" if k < 3 else None}
+        y = 10 - 0.5 * s + 0.2 * t - 0.1 * b + 0.03 * np.log1p(w) + (0.3 if tie["google"] == "transfer" else 0) + rng.normal(0, 0.3)
+        rows.append((s, hierarchy.TIERS[t], hierarchy.BREAKS[b], float(y), w, k % (3 if s == 2 else 40), tie))
+    df = spark.createDataFrame(rows, "season int, tier string, break_class string, y double, wax double, seller int, bindings map<string,string>")
+    kinds, movable = percentage.supported_bindings(df), percentage.supported_seasons(df, "seller")
+    assert kinds == (("google", "keep"), ("google", "transfer")) and movable == {0, 1, 3}
+    cells = percentage.sums(df, ("wax",), kinds)
+    first = percentage.fit(cells, seasons, {0: float(np.exp(9.0))}, ("wax",), kinds=kinds)
+    m = percentage.fit_adjusted(cells, seasons, {0: float(np.exp(9.0))}, movable, ("wax",), kinds)
+    assert np.isclose(first.base[0], 9.0) and m.base[0] > 9.3 and np.isclose(m.base[2], first.base[2], atol=1e-8) and (np.diff(m.base[:-1]) <= 1e-9).all()
+
+    def loss(base, breaks, packages, wax, tied):
+        total = 0.0
+        for s, t, b, y, w, _, tie in rows:
+            x = base[s] + wax * np.log1p(w) + breaks[: hierarchy.BREAKS.index(b)].sum() + ((hierarchy.TIERS.index(t) >= np.arange(1, 4)) - np.array([1, 0.5, 0])) @ packages
+            total += (x + sum(v for (k, status), v in zip(kinds, tied) if tie[k] == status) - y) ** 2
+        pull = sum(2 * (base[s] - first.base[s]) ** 2 for s in movable)
+        return total + 10 * ((breaks**2).sum() + (packages**2).sum() + wax**2 + (tied**2).sum()) + 0.5 * (np.diff(base[:-1]) ** 2).sum() + pull
+
+    tied, wax = np.array([m.bindings[k] for k in kinds]), m.resources["wax"]
+    assert tied[1] > tied[0]
+    here = loss(m.base, m.breaks, m.packages, wax, tied)
+    for _ in range(150):
+        base = m.base + np.where(np.arange(5) == 2, 0, rng.normal(0, 0.02, 5))
+        if (np.diff(base[:-1]) <= 0).all():
+            assert here <= loss(base, np.minimum(m.breaks + rng.normal(0, 0.02, 3), 0), np.maximum(m.packages + rng.normal(0, 0.02, 3), 0), max(0, wax + rng.normal(0, 0.01)), tied + rng.normal(0, 0.02, 2)) + 1e-7
+    for r in percentage.explain(df, m).collect():
+        want = m.bindings.get(("google", r.bindings["google"]), 0.0)
+        assert np.isclose(np.log(r.binding_factor), want) and np.isclose(r.predicted, r.base_price * r.break_factor * r.package_factor * r.resource_factor * r.binding_factor)
+
+
 def test_cubic_keeps_to_its_points():
     x, y = np.array([0.0, 1, 3, 4, 9]), np.array([0.0, 2, 2, 3, 1])
     assert np.allclose(percentage.slopes(x, y), [3.3333333, 0, 0, 0, -1.0], atol=2.5) and percentage.slopes(x, y)[2] == 0
