@@ -1,12 +1,14 @@
 """Exact top-k by inner product: KD-trees per shard, searched best-first, with the kth score passed on between shards.
 
 Vectors become integers floor(scale * x).  The top of one KD-tree, median splits of a bounded sample, cuts space into
-cells; every vector goes to its cell, and a cell of more than SHARD vectors is dealt by hash into shards with the cell's
-box, so that a vector which many rows share fills several.  Each shard builds its own KD-tree: median splits on the
-widest side, with tight bounding boxes.  A query's best score in a box is at most the sum of max(q * low, q * high) over
-the sides; nodes are opened in order of that bound until the bound falls under the kth score so far (equal bounds are
-opened: ties go to smaller ids).  Shards are visited in the same order: every query first visits its shard of greatest
-bound, then the next NEXT ones, then the others, each time only those whose bound reaches the kth score found so far.
+CELLS cells at most, each with the tight box of its vectors; every vector goes to its cell, and a cell of more than SHARD
+vectors is dealt by hash into shards, so that a vector which many rows share fills several.  Each shard builds its own
+KD-tree: median splits on the widest side, with tight bounding boxes.  A query's best score in a box is at most the sum
+of max(q * low, q * high) over the sides; nodes are opened in order of that bound until the bound falls under the kth
+score so far (equal bounds are opened: ties go to smaller ids).  Cells are visited in the same order: every query first
+visits one shard of its cell of greatest bound, then the rest of that cell and the next NEXT ones, then the others, each
+time only those whose bound reaches the kth score found so far.  What is sent to all tasks, and what a query carries, is
+a box and a bound for each cell, whatever the number of vectors.
 
 Cases: vectors that are null, or hold a null or a component that isn't finite, take no part; vectors of a length other
 than the most common one of the table (the larger, if tied) neither; a query with fewer than k candidates gets them
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 from marlstone.llm.runtime import ship_package, through_table
 
 #: Vectors in a shard and in a leaf at most (a shard: expected), cells at most, vectors that the cells are cut by,
-#: queries that one call holds (expected) and that are searched together, shards in the second round.
+#: queries that one call holds (expected) and that are searched together, more cells in the second round.
 SHARD, LEAF, CELLS, SAMPLE, CALL, BLOCK, NEXT = 4096, 256, 1024, 32_768, 16_384, 1024, 4
 
 
@@ -144,7 +146,7 @@ def whole_numbers(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def _cells(x: DataFrame, n: int, width: int) -> DataFrame:
-    """vec_id, x and shard: the cell, cut by a bounded sample, and a part of it by hash where a cell is large."""
+    """vec_id, x, cell, cut by a bounded sample, its parts, and shard: a part of it by hash where a cell is large."""
     sample = x.select("x", F.xxhash64(F.lit(3), "vec_id", "x").alias("h")).orderBy("h").limit(SAMPLE).toArrow()  # SAMPLE rows at most
     cells = min(CELLS, max(1, n // SHARD))
     top = Tree(_matrix(sample.column("x"), width), max(1, sample.num_rows // cells))
@@ -158,40 +160,45 @@ def _cells(x: DataFrame, n: int, width: int) -> DataFrame:
 
     celled = through_table(x.mapInArrow(placed, "vec_id long, x array<long>, cell long"), "cells")
     parts = celled.groupBy("cell").agg(F.ceil(F.count("*") / SHARD).alias("parts"))  # CELLS rows at most
-    return celled.join(F.broadcast(parts), "cell").select("vec_id", "x", (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64(F.lit(9), "vec_id", "x"), "parts")).alias("shard"))
+    return celled.join(F.broadcast(parts), "cell").select("vec_id", "x", "cell", "parts", _shard(F.pmod(F.xxhash64(F.lit(9), "vec_id", "x"), "parts")).alias("shard"))
 
 
-def _boxes(shards: DataFrame, width: int) -> DataFrame:
-    """shard, low and high: the tight box of each shard's vectors, partly made where the vectors lie."""
+def _shard(part: Column) -> Column:
+    return F.col("cell") * (1 << 32) + part
+
+
+def _boxes(celled: DataFrame, width: int) -> DataFrame:
+    """cell, parts, low and high: the tight box of each cell's vectors, partly made where the vectors lie."""
 
     def partly(batches):
         for batch in batches:
-            x, shard = _matrix(batch.column(0), width), batch.column(1).to_numpy()
-            for s in np.unique(shard):
-                here = x[shard == s]
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([here.min(0).tolist()], pa.list_(pa.float64())), pa.array([here.max(0).tolist()], pa.list_(pa.float64()))], names=["shard", "low", "high"])
+            x, cell, parts = _matrix(batch.column(0), width), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for c in np.unique(cell):
+                here = x[cell == c]
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array(parts[cell == c][:1], pa.int64()), pa.array([here.min(0).tolist()], pa.list_(pa.float64())), pa.array([here.max(0).tolist()], pa.list_(pa.float64()))], names=["cell", "parts", "low", "high"])
 
-    some = shards.select("x", "shard").mapInArrow(partly, "shard long, low array<double>, high array<double>")
+    some = celled.select("x", "cell", "parts").mapInArrow(partly, "cell long, parts long, low array<double>, high array<double>")
     side = lambda c, f: F.array(*(f(F.get(c, F.lit(k))) for k in range(width))).alias(c)
-    return some.groupBy("shard").agg(side("low", F.min), side("high", F.max))
+    return some.groupBy("cell", "parts").agg(side("low", F.min), side("high", F.max))
 
 
 def _ranked(queries: DataFrame, boxes: DataFrame, width: int) -> DataFrame:
-    """query_id, query, q and the shards in order of falling bound, with the bounds.  Boxes: a row for each shard."""
-    got = boxes.orderBy("shard").toArrow()
-    names = got.column("shard").to_numpy()
-    shared = queries.sparkSession.sparkContext.broadcast((names, _matrix(got.column("low"), width), _matrix(got.column("high"), width)))
+    """query_id, query, q and the cells in order of falling bound, with the bounds and the cells' parts.  Boxes: CELLS rows at most."""
+    got = boxes.orderBy("cell").toArrow()
+    names, parts = got.column("cell").to_numpy(), got.column("parts").to_numpy()
+    shared = queries.sparkSession.sparkContext.broadcast((names, parts, _matrix(got.column("low"), width), _matrix(got.column("high"), width)))
 
     def run(batches):
-        names, low, high = shared.value
+        names, parts, low, high = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 batch = whole.slice(at, BLOCK)
                 bound = box_bounds(_matrix(batch.column(2), width), low, high)
                 order = np.argsort(-bound, axis=1, kind="stable")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[order].tolist(), pa.list_(pa.int64())), pa.array(np.take_along_axis(bound, order, 1).tolist(), pa.list_(pa.float64()))], names=["query_id", "query", "q", "shards", "bounds"])
+                lists = ((names[order], pa.int64()), (parts[order], pa.int64()), (np.take_along_axis(bound, order, 1), pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v.tolist(), pa.list_(kind)) for v, kind in lists)], names=["query_id", "query", "q", "cells", "parts", "bounds"])
 
-    return queries.mapInArrow(run, "query_id long, query long, q array<long>, shards array<long>, bounds array<double>")
+    return queries.mapInArrow(run, "query_id long, query long, q array<long>, cells array<long>, parts array<long>, bounds array<double>")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -206,21 +213,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     width = first[0]
     shards = through_table(_cells(x, n, width), "shards")
     queries = x.filter(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("x").alias("query"), F.col("x").alias("q")).dropDuplicates()
-    ranked = through_table(_ranked(queries, _boxes(shards, width), width), "ranked-shards")
+    ranked = through_table(_ranked(queries, _boxes(shards, width), width), "ranked-cells")
+    first = F.pmod(F.xxhash64(F.lit(13), "query_id", "query"), F.col("z.parts"))  # the part of its best cell that a query visits first
     found = None
-    for low, high in ((0, 1), (1, 1 + NEXT), (1 + NEXT, None)):
-        asked = ranked
+    for low, high in ((0, 1), (0, 1 + NEXT), (1 + NEXT, None)):
         if found is not None:
             kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1))  # k rows of each visited shard at most
             asked = ranked.join(found.groupBy("query_id", "query").agg(kth.alias("floor")), ["query_id", "query"], "left")
         else:
             asked = ranked.withColumn("floor", F.lit(None).cast("long"))
-        size = F.size("shards") - low if high is None else F.lit(high - low)
-        visit = F.filter(F.arrays_zip(F.slice("shards", low + 1, F.greatest(size, F.lit(0))).alias("shard"), F.slice("bounds", low + 1, F.greatest(size, F.lit(0))).alias("bound")), lambda z: F.col("floor").isNull() | (z["bound"] >= F.col("floor")))
-        asked = through_table(asked.select("query_id", "query", "q", "floor", F.explode(visit).alias("z")).select("query_id", "query", "q", "floor", "z.shard"), "asked")
+        size = F.greatest(F.size("cells") - low, F.lit(0)) if high is None else F.lit(high - low)
+        cut = lambda c, name: F.slice(c, low + 1, size).alias(name)
+        zipped = F.arrays_zip(cut("cells", "cell"), cut("parts", "parts"), cut("bounds", "bound"), F.slice(F.sequence(F.lit(0), F.size("cells") - 1), low + 1, size).alias("place"))
+        visit = F.filter(zipped, lambda z: F.col("floor").isNull() | (z["bound"] >= F.col("floor")))
+        each = asked.select("query_id", "query", "q", "floor", F.explode(visit).alias("z"))
+        if found is None:
+            part = F.array(first)
+        else:  # all parts, but the one that was visited first
+            part = F.filter(F.sequence(F.lit(0).cast("long"), F.col("z.parts") - 1), lambda p: (F.col("z.place") > 0) | (p != first))
+        each = each.select("query_id", "query", "q", "floor", F.col("z.cell").alias("cell"), F.explode(part).alias("p"))
+        asked = through_table(each.select("query_id", "query", "q", "floor", _shard(F.col("p")).alias("shard")), "asked")
         parts = asked.groupBy("shard").agg(F.ceil(F.count("*") / CALL).alias("parts"))  # a row for each shard
-        asked = asked.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "query"), "parts"))
-        held = shards.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("query_id", "query"), "parts"))
+        held = shards.select("shard", "vec_id", "x").join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         got = held.select("shard", "part", "vec_id", "x").groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_searched(width, k, LEAF), _FOUND)
         got = through_table(got, "found")
         found = got if found is None else found.unionByName(got)
