@@ -30,7 +30,7 @@ from marlstone.llm.runtime import bounded_sample, held_out, ship_package, with_f
 from marlstone.llm.textbatch import batches_of, span_hashes, spans, utf8
 
 #: Labelled rows at most that the classifier is fitted on, and unlabelled rows in a group (about).
-POSITIVES, UNLABELLED = 2000, 4000
+POSITIVES, UNLABELLED = 2000, 2000
 #: Confidence of the prior's bounds, and how much of them the least ratio is charged.
 DELTA, CHARGE = 0.1, 1.01
 STEPS, RATE, DECAY = 250, 0.03, 1e-3
