@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import aggregates, catalog, evaluation, governance, identities, joins, market, prices, scans, texts, windows
+from marlstone.plans import aggregates, catalog, evaluation, evidence, governance, identities, joins, market, prices, scans, texts, windows
 
-_MODULES = (prices, catalog, joins, aggregates, windows, texts, identities, evaluation, governance, market, scans)
+_MODULES = (prices, catalog, joins, aggregates, windows, texts, identities, evaluation, governance, market, scans, evidence)
 
 
 def queries() -> dict:
