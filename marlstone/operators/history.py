@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def snapshot_merge(df: DataFrame, key: list[str], at: str, tie: str, snapshot: Column, complete: Column, values: list[str], carried: list[str]) -> DataFrame:
+def snapshot_merge(df: DataFrame, key: list[str], at: str, tie: str, snapshot: Column, complete: Column, values: list[str], carried: list[str], base: str | None = None, based: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: first and last seen, the number of snapshots, whether any or the latest is complete.
 
     `values` are those of the newest row, nulls too: what it says not to know is not known.  `carried` are fields that
-    a row may lack: their latest value that isn't null."""
+    a row may lack: their latest value that isn't null.  `based` are fields that the newest row may lack: they then come from
+    the newest row that has a `base` (a text that isn't empty), and from no other."""
     newest = F.struct(F.col(at), F.col(tie))
     last = F.max(F.struct(newest.alias("o"), F.struct(complete.alias("_complete"), *values).alias("v")))
     found = df.groupBy(*key).agg(
@@ -21,9 +22,10 @@ def snapshot_merge(df: DataFrame, key: list[str], at: str, tie: str, snapshot: C
         F.coalesce(F.max(complete), F.lit(False)).alias("seen_in_complete_snapshot"),
         last.alias("_last"),
         *(F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in carried),
+        *([F.max(F.struct(newest.alias("o"), F.struct(*based).alias("v"))).alias("_new"), F.max(F.when(F.col(base) != "", F.struct(newest.alias("o"), F.struct(*based).alias("v")))).alias("_base")] if based else []),
     )
     kept = ("first_seen_at", "last_seen_at", "observation_count", "seen_in_complete_snapshot")
-    return found.select(*key, *kept, F.coalesce("_last.v._complete", F.lit(False)).alias("latest_snapshot_complete"), *(F.col("_last.v").getField(c).alias(c) for c in values), *carried)
+    return found.select(*key, *kept, F.coalesce("_last.v._complete", F.lit(False)).alias("latest_snapshot_complete"), *(F.col("_last.v").getField(c).alias(c) for c in values), *carried, *(F.coalesce(F.col("_new.v").getField(c), F.col("_base.v").getField(c)).alias(c) for c in based))
 
 
 def change_history(df: DataFrame, key: list[str], at: str, tie: str, values: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.functions import layout as Y
 from marlstone.operators.filters import all_of, bounded_int, reason_cascade, rejection_counts, tier
 from marlstone.operators.ranking import numbered
 from marlstone.sources.tables import table
@@ -181,3 +182,16 @@ def next_in_sequence(spark, sf):
 def grid_regions(spark, sf):
     n = table(spark, sf, "supplier").withColumn("grid_row", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("grid_col", F.explode(F.sequence(F.lit(0), F.lit(4))))
     return n.select("s_suppkey", F.col("grid_row").cast("long").alias("grid_row"), F.col("grid_col").cast("long").alias("grid_col"), (F.col("s_suppkey") * 10 + F.col("grid_col") * 64).cast("long").alias("x"), (F.col("grid_row") * 64).cast("long").alias("y"))
+
+
+@query()
+def wrapped_names(spark, sf):
+    """A customer's order priorities and years as rows of a sale text, progress rows, and its orders' boxes on pages."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("p"), (F.col("o_totalprice") / 4000).cast("int").alias("w"))
+    one = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "y", "p", "w"))).alias("l"))  # one customer's orders
+    names = F.transform("l", lambda x: F.concat(F.lower(F.substring_index(x["p"], "-", -1)), (x["y"] % 100).cast("string")))
+    seasons = F.transform("l", lambda x: F.struct(x["y"].cast("string").alias("name"), (x["w"] % 4).alias("owned"), (x["w"] % 5).alias("total")))
+    boxes = F.transform("l", lambda x: F.struct((x["w"] + 20).alias("w"), (x["w"] % 7 * 10 + 10).alias("h")))
+    d = one.select("o_custkey", names.alias("n"), seasons.alias("s"), Y.flowed(boxes, 120, 5).alias("f"))
+    ends = F.array_distinct(F.transform("f.places", lambda p: p["y"]))
+    return d.select("o_custkey", F.array_join(Y.wrapped(F.col("n")), "\n").alias("names"), F.array_join(Y.progress_rows(F.col("s")), "\n").alias("progress"), F.col("f.height").alias("height"), F.size(Y.pages(ends, F.col("f.height"), 150)).alias("pages"))
