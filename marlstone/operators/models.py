@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import round_price
 from marlstone.operators.filters import tier
 
 TIERS, BREAKS = ("few", "medium", "many", "hundred"), ("none", "slight", "medium", "large")
@@ -100,6 +101,24 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("predicted", F.exp(model.log_price())).withColumn("residual", F.col("y") - model.log_price())
 
 
+def predict_or_say(inputs: DataFrame, model: Model, spreads: dict[int, float], pooled: tuple[float, float] | None) -> DataFrame:
+    """`inputs` (season, tier, break_class) with status, reason, midpoint, low, high and method.
+
+    A null season is priced by the pooled base (log base, spread), another by its own; a season that the model hasn't, or
+    one without a spread, gives `unavailable` with a reason, and so does a model whose steps go the wrong way."""
+    sound = bool((model.tiers >= 0).all() and (model.breaks <= 0).all() and np.isfinite(model.season).all())
+    known = [s for s in sorted(spreads) if 0 <= s < len(model.season) and np.isfinite(spreads[s]) and spreads[s] >= 0]
+    bases = [(s, float(model.season[s]), float(spreads[s]), "season") for s in known] + ([(None, float(pooled[0]), float(pooled[1]), "pooled")] if pooled else [])
+    table = inputs.sparkSession.createDataFrame(bases, "_s int, _base double, _spread double, method string")
+    pick = lambda v, i: F.element_at(F.array(*(F.lit(float(x)) for x in v)), i + 1)
+    log = F.col("_base") + pick(np.r_[0, model.tiers.cumsum()], _index("tier", TIERS)) + pick(np.r_[0, model.breaks.cumsum()], _index("break_class", BREAKS))
+    met = inputs.join(F.broadcast(table), F.col("season").eqNullSafe(F.col("_s")), "left").withColumn("_log", log)
+    reason = F.when(F.lit(not sound), "model_not_ready").when(F.col("_base").isNull(), "invalid_model_season").when(~F.exp("_log").between(1e-300, 1e300), "invalid_prediction")
+    price = lambda d: F.when(F.col("reason").isNull(), round_price(F.exp(F.col("_log") + d * F.col("_spread"))))
+    told = met.withColumn("reason", reason).withColumns({"status": F.when(F.col("reason").isNull(), "unvalidated").otherwise("unavailable"), "midpoint": price(0)})
+    return told.withColumns({"low": F.least(price(-1), "midpoint"), "high": F.greatest(price(1), "midpoint"), "method": F.when(F.col("reason").isNull(), F.col("method"))}).drop("_s", "_base", "_spread", "_log")
+
+
 def project(grid: DataFrame, sweeps: int = 30) -> DataFrame:
     """Sweeps over the grid until values don't fall along tiers nor rise along break classes, nor rise along seasons."""
     got = grid.toArrow().to_pydict()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators import ledgers as L
 from marlstone.sources.tables import table
 
 QUERIES: dict = {}
@@ -121,3 +122,51 @@ def delimited_validate(spark, sf):
     f = table(spark, sf, "part").select("p_partkey", F.split(line, "[|]").alias("f")).withColumn("id", F.col("f")[0])
     c = f.withColumn("n", F.count("*").over(Window.partitionBy("id")))
     return c.select("p_partkey", "id", F.when(F.size("f") != 5, "field_count").when(~F.col("f")[2].isin("A", "B", "C"), "grade").when(F.col("n") > 1, "duplicate_id").alias("problem"))
+
+
+_RESULTS = "'applied', 'source_digest_mismatch', 'quote_not_found', 'reason_required', 'only_exclusions_may_be_added', 'invalid_feature', 'already_known_or_reviewed', 'duplicate_patch', 'applied', 'missing_or_duplicate_row', 'already_known_or_reviewed'"
+
+
+@query(f"SELECT p_partkey, copy, [{_RESULTS}][p_partkey % 11 + 1] AS result FROM part, range(CAST(CASE p_partkey % 11 WHEN 7 THEN 2 ELSE 1 END AS BIGINT)) t(copy)")
+def reviewed_patches(spark, sf):
+    """A patch for each part, each with one thing wrong or none."""
+    k = F.col("p_partkey")
+    f = k % 11
+    p = table(spark, sf, "part")
+    rows = p.filter(f != 9).select(k.cast("string").alias("post_key"), F.concat("p_name", F.lit(" "), "p_brand").alias("summary"), F.when(f == 10, F.array(F.lit("season"))).alias("reviewed_fields"), F.when(f == 6, "rhythm").alias("season"))
+    at = lambda n, other, good: F.when(f == n, other).otherwise(good)
+    patches = p.select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.when(f == 7, 1).otherwise(0).cast("long"))).alias("copy"), k.cast("string").alias("post_key"), F.when(f.isin(4, 8), "exclude_from_model").otherwise("season").alias("field"), F.when(f == 4, "false").when(f == 8, "true").when(f == 5, "winter").otherwise("rhythm").alias("value"), at(2, "nowhere", F.col("p_brand")).alias("quote"), at(3, " ", F.lit("seen")).alias("reason"), at(1, "old", F.lit("d1")).alias("source_digest"))
+    return L.reviewed_patches(rows, patches, "d1", {"season": ("rhythm", "flight")}).select("p_partkey", "copy", "result")
+
+
+@query("WITH d AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 END AS k, ts FROM events WHERE event_id % 5 <> 0 AND ts >= TIMESTAMP '2024-01-25' - INTERVAL 30 DAY AND ts <= TIMESTAMP '2024-01-25' + INTERVAL 5 MINUTE) SELECT user_id, CAST(count(*) > 0 AS BOOLEAN) AS found, min(k) > 1 AS moved FROM d WHERE k IS NOT NULL GROUP BY 1")
+def newest_drafts(spark, sf):
+    """A user's draft: under the first of three keys that has one which is readable and fresh."""
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    d = L.newest_drafts(e, "user_id", "event_type", ("purchase", "click", "view"), "ts", F.expr("timestamp_ntz'2024-01-25'"), F.col("event_id") % 5 != 0)
+    return d.select("user_id", F.lit(True).alias("found"), "moved")
+
+
+@query("SELECT 'query' AS how, p_partkey FROM part WHERE p_size <= 40 AND contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'ring') AND p_type <> 'SMALL' UNION ALL SELECT 'tab', p_partkey FROM part WHERE p_type = 'PROMO' AND p_size > 45 AND p_type <> 'SMALL'")
+def catalog_search(spark, sf):
+    """A query searches all closets and no tab, a blank one keeps to the tab; the source filter holds for both."""
+    p, source = table(spark, sf, "part"), F.col("p_type") != "SMALL"
+    tab, closet = (F.col("p_type") == "PROMO") & (F.col("p_size") > 45), F.col("p_size") <= 40
+    found = lambda q, how: L.searched(p, q, tab, closet, ["p_name", "p_brand", "p_type"], source, None).select(F.lit(how).alias("how"), "p_partkey")
+    return found("  RING ", "query").unionByName(found("   ", "tab"))
+
+
+@query("WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 'x套組' WHEN p_partkey % 2 = 0 THEN 'n' || p_partkey ELSE p_name END AS term, ['A', 'B', 'C'][p_partkey % 3 + 1] AS grade FROM part), c AS (SELECT term, count(*) AS n FROM n GROUP BY 1) SELECT p_partkey, CASE WHEN grade <> 'C' AND length(term) BETWEEN 2 AND 12 AND NOT contains(term, '套組') AND n = 1 THEN term END AS shown, CASE WHEN grade <> 'C' AND length(term) BETWEEN 2 AND 6 THEN term END AS for_sale FROM n JOIN c USING (term)")
+def shown_names(spark, sf):
+    """Names that may stand for their items, on display and in sale texts."""
+    k = F.col("p_partkey")
+    names = table(spark, sf, "part").select("p_partkey", F.when(k % 9 == 0, "x套組").when(k % 2 == 0, F.concat(F.lit("n"), k.cast("string"))).otherwise(F.col("p_name")).alias("term"), F.get(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (k % 3).cast("int")).alias("grade"))
+    return L.shown_names(names, "term", "grade").select("p_partkey", "shown", "for_sale")
+
+
+@query("SELECT c_custkey, CAST((c_custkey % 4 = 0)::INT + (c_custkey % 3 = 1)::INT AS BIGINT) AS locked FROM customer")
+def locked_bindings(spark, sf):
+    """How many bindings of an account are known to be locked."""
+    k = F.col("c_custkey")
+    features = F.create_map(F.lit("binding:GG"), F.when(k % 4 == 0, "不出").otherwise("transferable"), F.lit("binding:NS"), F.when(k % 3 == 1, "issue").when(k % 3 == 2, "unbound"), F.lit("candles"), F.lit("9"))
+    return table(spark, sf, "customer").select("c_custkey", L.locked(features).cast("long").alias("locked"))

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -167,3 +168,18 @@ def backup_lines(entries: DataFrame, key: str, value: str, version: int, exporte
 def stable_lines(df: DataFrame, order: list[str]) -> DataFrame:
     """One compact JSON line a row, fields by name and rows by `order`: the same table always gives the same text."""
     return df.orderBy(*order).select(F.to_json(F.struct(*sorted(df.columns))).alias("line"))
+
+
+def read_json_document(spark: SparkSession, path: str, rows: StructType | str, at: str | None = None) -> DataFrame:
+    """Rows of JSON documents over any number of lines: a list of objects, or the list under the field `at`.  A document
+    that can't be read, or whose field isn't a list, gives no rows."""
+    if at is None:
+        return spark.read.schema(rows).json(path, multiLine=True, mode="DROPMALFORMED")
+    kind = rows if isinstance(rows, str) else rows.simpleString().removeprefix("struct<").removesuffix(">")
+    return spark.read.schema(f"`{at}` array<struct<{kind}>>" if ":" in kind.split(",")[0] else f"`{at}` array<struct<{', '.join(':'.join(c.strip().split(None, 1)) for c in kind.split(','))}>>").json(path, multiLine=True).select(F.inline(at))
+
+
+def text_lines(rows: DataFrame, order: list, line: str) -> DataFrame:
+    """One column `value`: the lines in order, the first with a byte order mark before it; what a text writer saves."""
+    first = F.row_number().over(Window.orderBy(*order))  # a report's lines
+    return rows.select(F.when(first == 1, F.concat(F.lit("﻿"), F.col(line))).otherwise(F.col(line)).alias("value"))

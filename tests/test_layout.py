@@ -100,3 +100,29 @@ def test_the_richest_row_is_the_base(spark):
     df = spark.createDataFrame(rows, "k int, at int, text string, a string, b string")
     got = history.snapshot_merge(df, ["k"], "at", "at", F.col("at"), F.lit(True), [], [], base="text", based=("a", "b")).collect()
     assert {r.k: (r.a, r.b) for r in got} == {1: ("a", "x"), 2: (None, "z")}
+
+
+def test_predictions_or_reasons(spark):
+    import numpy as np
+
+    from marlstone.operators import models
+
+    m = models.Model(np.array([9.0, 8.0, 7.0]), np.array([0.5, 0.0, 0.1]), np.array([-0.2, 0.0, -0.3]), 1)
+    rows = spark.createDataFrame([(0, "few", "none"), (1, "hundred", "large"), (2, "few", "none"), (7, "few", "none"), (None, "medium", None)], "season int, tier string, break_class string")
+    got = {r.season: r for r in models.predict_or_say(rows, m, {0: 0.1, 1: 0.0, 2: float("nan")}, (8.5, 0.2)).collect()}
+    assert (got[0].status, got[0].midpoint, got[0].low, got[0].high, got[0].method) == ("unvalidated", 8100.0, 7330.0, 8960.0, "season")
+    assert got[1].midpoint == got[1].low == got[1].high and (got[None].method, got[None].midpoint) == ("pooled", 8100.0)
+    assert {s: (got[s].status, got[s].reason, got[s].midpoint) for s in (2, 7)} == {s: ("unavailable", "invalid_model_season", None) for s in (2, 7)}
+    wrong = models.Model(m.season, -m.tiers, m.breaks, 1)
+    assert {r.reason for r in models.predict_or_say(rows, wrong, {0: 0.1}, None).collect()} == {"model_not_ready"}
+
+
+def test_json_documents_and_text_lines(spark, tmp_path):
+    from marlstone.sources import files
+
+    (tmp_path / "a.json").write_text('{\n  "items": [\n    {"id": 1, "n": "x"},\n    {"id": 2}\n  ], "other": 3\n}')
+    (tmp_path / "b.json").write_text('[\n {"id": 5, "n": "y"}\n]')
+    assert sorted(tuple(r) for r in files.read_json_document(spark, str(tmp_path / "a.json"), "id int, n string", "items").collect()) == [(1, "x"), (2, None)]
+    assert [tuple(r) for r in files.read_json_document(spark, str(tmp_path / "b.json"), "id int, n string").collect()] == [(5, "y")]
+    lines = spark.createDataFrame([(2, "b"), (1, "a")], "k int, t string")
+    assert sorted(r.value for r in files.text_lines(lines, [F.col("k")], "t").collect()) == ["b", "\ufeffa"]
