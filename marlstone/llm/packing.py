@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.runtime import ship_package, through_table
 
-#: Pieces that one shard is meant to hold; pieces that one sequence holds at most; tokens in a block of attention.
-SHARD, MOST, BLOCK = 4096, 64, 128
+#: Pieces that one shard is meant to hold; pieces that one sequence holds at most (a sequence's attention cost alone would
+#: let in 64 short ones, so this is a capacity of its own); tokens in a block of attention.
+SHARD, MOST, BLOCK = 4096, 48, 128
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

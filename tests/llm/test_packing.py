@@ -68,7 +68,7 @@ def brute_best_fit(lengths, capacity, weights, block):
     return out, sequences
 
 
-@pytest.mark.parametrize("capacity,weights,block", [((100, 4, 60), (1.0, 0.3, 0.2), 10), ((1024, 64, 64), (1.0, 0.01, 0.05), 128), ((64, 64, 4), (1.0, 0.5, 0.5), 32)])
+@pytest.mark.parametrize("capacity,weights,block", [((100, 4, 60), (1.0, 0.3, 0.2), 10), ((1024, packing.MOST, 64), (1.0, 0.01, 0.05), 128), ((64, 64, 4), (1.0, 0.5, 0.5), 32)])
 def test_equals_brute_force_best_fit(capacity, weights, block):
     rng = np.random.default_rng(5)
     lengths = np.sort(np.concatenate([rng.integers(1, capacity[0] + 1, 300), rng.integers(1, max(2, capacity[0] // 50), 900)]))[::-1]
@@ -78,6 +78,19 @@ def test_equals_brute_force_best_fit(capacity, weights, block):
     assert any(s[1] == capacity[1] or s[2] == capacity[2] for s in sequences if s[0] < capacity[0])  # another bound than tokens binds
 
 
+def test_each_capacity_binds_alone(spark):
+    """Short documents fill the pieces of a sequence, those of a block and a token its attention cost, long ones its tokens."""
+    most = packing.MOST
+    for size, n, held in ((3, 3 * most + 1, most), (129, 40, 7), (513, 9, 1)):
+        where, _ = packing.fit(np.full(n, size), (1024, most, 64), (1.0, 0.01, 0.05))
+        assert max(np.bincount(where)) == held and len(set(where)) == math.ceil(n / held)
+    where, _ = packing.fit(np.full(20, 129), (1 << 20, 100, 64), (1.0, 0.01, 0.05))
+    assert max(np.bincount(where)) == 16  # 16 * 2 * 2
+    short = spark.range(2 * most + 1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    per = [r["count"] for r in packing.pack(short, PATH, P.PATTERN).groupBy("sequence_id").count().collect()]
+    assert sorted(per) == [1, most, most]
+
+
 def test_repeated_rows_fill_several_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 50)
     docs = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("the same words " * 30).alias("text")).repartition(4)
