@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.llm.components import components
 from marlstone.llm.runtime import ship_package, through_table
@@ -242,10 +241,11 @@ def _met(placed: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b, label1, label2, many, tokens, need) of groups whose members' prefixes leave room for a link."""
     about = placed.groupBy("g").agg(F.min("label").alias("label"), F.max("many").alias("many"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("tokens"))
     # Only groups of several classes need their cells made distinct.
-    cells = placed.select("g", "many", F.posexplode("prefix").alias("at", "token"))
-    matrix = cells.filter("NOT many").select("token", "g", "at").unionByName(cells.filter("many").groupBy("token", "g").agg(F.min("at").alias("at")))
-    shared = matrix.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").select("token", "g", "at")
-    shared = through_table(shared.join(about, "g"), "shared-tokens")
+    cells = placed.select("g", "label", "many", F.posexplode("prefix").alias("at", "token"))
+    matrix = cells.filter("NOT many").select("token", "g", "label", "at").unionByName(cells.filter("many").groupBy("token", "g", "label").agg(F.min("at").alias("at")))
+    # Groups of one label are never compared, so a token that only they hold, as those of many copies, leaves here.
+    told = matrix.groupBy("token").agg((F.min("label") < F.max("label")).alias("differ")).filter("differ").select("token")
+    shared = through_table(matrix.select("token", "g", "at").join(told, "token").join(about, "g"), "shared-tokens")
     names = ("g", "label", "many", "lo", "hi", "tokens", "at")
     x, y = shared.select("token", *(F.col(c).alias(f"{c}1") for c in names)), shared.select("token", *(F.col(c).alias(f"{c}2") for c in names))
     # A link needs ceil(t / (1 + t) * (n1 + n2)) common tokens; all but the first lie behind it in both sets.

@@ -64,6 +64,22 @@ def test_documents(spark):
     assert kept == {d for d, (_, c) in brute(rows, 5, 80).items() if d == c}
 
 
+def test_copies_share_tokens_with_others(spark, monkeypatch):
+    """A label of many groups: tokens that only it holds meet nothing, those that another label holds still do."""
+    monkeypatch.setattr(ngramjoin, "GROUP", 4)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        w[d % 110] = f"c{d}"
+        rows.append((d, " ".join(w)))
+    rows += [(100 + k, " ".join(base[: 105 + k] + [f"t{k}{j}" for j in range(12)])) for k in range(8)]
+    rows += [(200 + k, " ".join(rng.sample(base, 40))) for k in range(10)]
+    for per_cent in (60, 80, 85):
+        check(spark, rows, 4, per_cent)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngramjoin.join(docs).collect())
