@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions import evidence as E
 from marlstone.functions import listings as L
@@ -17,6 +16,7 @@ from marlstone.operators.hierarchy import fit_lookup, fit_robust, lookup_cells,
 from marlstone.operators.models import priced_rows
 from marlstone.operators.percentage import explain, fit_adjusted, sums, supported_bindings, supported_seasons
 from marlstone.operators.percentage import fit as percentage_fit
+from marlstone.operators.ranking import numbered
 from marlstone.operators.spans import dictionary
 from marlstone.sources.shared import through_table
 from marlstone.sources.tables import table
@@ -94,8 +94,7 @@ _POS = "WITH r AS (SELECT p_brand AS b, p_partkey AS k, row_number() OVER (PARTI
 def anchored_positions(spark, sf):
     """Two lists of a brand's parts, each with gaps of its own: between parts known in both, equal gaps match by place."""
     p = table(spark, sf, "part").select(F.col("p_brand").alias("b"), F.col("p_partkey").alias("k"))
-    place = F.row_number().over(Window.partitionBy("b").orderBy("k")).cast("long")
-    r, t = p.filter("k % 5 <> 2").withColumn("i", place), p.filter("k % 7 <> 3").withColumn("j", place)
+    r, t = (numbered(p.filter(some), ["b"], [F.col("k")], out) for some, out in (("k % 5 <> 2", "i"), ("k % 7 <> 3", "j")))
     anchors = r.join(t, ["b", "k"]).filter("k % 4 = 0").select("b", "i", "j")
     sizes = r.groupBy("b").agg(F.count("*").alias("n_i")).join(t.groupBy("b").agg(F.count("*").alias("n_j")), "b")
     met = anchored(anchors, sizes, "b")
