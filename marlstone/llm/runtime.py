@@ -17,10 +17,18 @@ from marlstone.sources.tables import table
 
 __all__ = ["bounded_sample", "free_names", "held_out", "shared_dir", "ship_package", "table", "through_table", "with_fields"]
 
+#: Rows of an Arrow batch, where the session doesn't set spark.sql.execution.arrow.maxRecordsPerBatch.
+RECORDS = 2000
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors once per context, for functions that run in Python there."""
+    """Sends this package's sources to the executors once per context, for functions that run in Python there.
+
+    A session that doesn't say how many rows an Arrow batch has gets RECORDS: rows hold whole texts, and a batch lies
+    outside the heap of an executor, which keeps memory of that size for each task."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RECORDS))
     if getattr(sc, "_marlstone_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

@@ -87,8 +87,10 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return table[data]
 
 
-def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 1 << 20, rows: int = 1 << 14):
-    """Cuts (data, offsets) into pieces of about `most` bytes of whole texts, `rows` texts at most: (first text, data, offsets)."""
+def batches_of(arrays: tuple[np.ndarray, np.ndarray], most: int = 1 << 18, rows: int = 1 << 14):
+    """Cuts (data, offsets) into pieces of about `most` bytes of whole texts, `rows` texts at most: (first text, data, offsets).
+
+    A worker holds some hundred bytes for each byte of a piece, and keeps that memory between pieces."""
     data, offsets = arrays
     n, at = len(offsets) - 1, 0
     while at < n:
