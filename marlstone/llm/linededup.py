@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from marlstone.llm.runtime import through_table
 
 MIN_WORDS, NEAR_WORDS = 1, 5
-#: Halves and documents that matter are told by this many hashes at most, before rows are shuffled. Speed only.
-BUCKETS = 1 << 19
+#: Keys that matter are told by this many hashes, 64 to a row, before rows are shuffled. Speed only.
+BUCKETS = 1 << 25
 _MASK = (1 << 40) - 1
 
 
@@ -68,9 +68,14 @@ def _halves(near_words: int) -> Column:
     return F.when(n >= near_words, F.when(whole == less, key(whole)).otherwise(F.concat(key(whole), key(less))))
 
 
-def _buckets(keys: DataFrame, of: Column, n: int) -> DataFrame:
-    """The distinct buckets of some keys: n rows at most, whatever the input, so they may be broadcast."""
-    return F.broadcast(keys.select(F.pmod(F.xxhash64(of), F.lit(n)).alias("_b")).distinct())
+def _among(rows: DataFrame, of: Column, keys: DataFrame, key: Column, how: str = "left_semi") -> DataFrame:
+    """The rows whose `of` can be one of the keys, by buckets as bits (left_anti: those whose can't): BUCKETS / 64 rows at
+    most are broadcast, whatever the input."""
+    place = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")
+    bits = keys.select(place).groupBy(F.shiftright("_b", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_b & 63 AS int))")).alias("_bits"))
+    told = rows.withColumn("_k", F.pmod(F.xxhash64(of), F.lit(BUCKETS)))
+    met = F.expr("shiftright(_k, 6) = _w AND (shiftright(_bits, cast(_k & 63 AS int)) & 1L) = 1L")
+    return told.join(F.broadcast(bits), met, how).drop("_k")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -78,7 +83,8 @@ def _variants(lines: DataFrame) -> DataFrame:
     it, and one for the whole line (whole: true for this, false for those of a word less, null for equal length)."""
     def value(seed: int, word: Column, k: Column) -> Column:
         return F.xxhash64(F.lit(seed), word, k).bitwiseAND(F.lit(_MASK))
-    each = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
+    # Dealt by line before they are cut, so that the sums over a line's words need no shuffle of a row a word.
+    each = lines.repartition("first").select("first", F.size("words").alias("n"), F.posexplode("words").alias("k", "w"))
     each = each.select("first", "n", "k", *(value(s, F.col("w"), F.col("k")).alias(f"a{s}") for s in (1, 2)), *(value(s, F.col("w"), F.col("k") - 1).alias(f"b{s}") for s in (1, 2)))
     line = Window.partitionBy("first", "n").orderBy("k")
     upto, whole = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -96,20 +102,20 @@ def _near(distinct: DataFrame, docs: DataFrame, min_words: int) -> DataFrame:
     # Pigeonhole: lines that share a half with another line.
     halves = distinct.filter("halves IS NOT NULL").select("first", F.explode("halves").alias("half"))
     shared = through_table(halves.groupBy("half").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).filter("lo <> hi").select("half"), "shared-halves")
-    maybe = halves.withColumn("_k", F.pmod(F.xxhash64("half"), F.lit(BUCKETS))).join(_buckets(shared, F.col("half"), BUCKETS), F.col("_k") == F.col("_b"), "left_semi")
+    maybe = _among(halves, F.col("half"), shared, F.col("half"))
     at = through_table(maybe.join(shared, "half", "left_semi").select("first").distinct(), "line-candidates")
     # Their words, from the documents that hold their first places.
-    holders = docs.withColumn("_k", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).join(_buckets(at, F.col("first.doc_id"), BUCKETS), F.col("_k") == F.col("_b"), "left_semi")
+    holders = _among(docs, F.col("doc_id"), at, F.col("first.doc_id"))
     words = _lines(holders.select("doc_id", "text"), min_words).select(_first(F.col("doc_id"), F.col("line")).alias("first"), "words")
-    lines = through_table(words.join(at, "first", "left_semi").dropDuplicates(["first"]), "line-words")
+    lines = through_table(_among(words, F.col("first"), at, F.col("first")).join(at, "first", "left_semi").dropDuplicates(["first"]), "line-words")
 
     v = through_table(_variants(lines), "variants")
     low = lambda cond: F.min(F.when(cond, F.col("first")))
     groups = v.groupBy("key").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), low(F.col("whole")).alias("w"), low(~F.col("whole")).alias("l"))
-    met = groups.filter("(w IS NULL AND l IS NULL AND lo <> hi) OR (w IS NOT NULL AND l IS NOT NULL)")
+    met = through_table(groups.filter("(w IS NULL AND l IS NULL AND lo <> hi) OR (w IS NOT NULL AND l IS NOT NULL)"), "variants-met")
     # A line of equal length meets the key's earliest, the whole line the earliest of a word more, those the whole line.
     by = F.when(F.col("whole").isNull(), F.col("lo")).when(F.col("whole"), F.col("l")).otherwise(F.col("w"))
-    found = v.join(met, "key").withColumn("by", by).filter(F.col("by") < F.col("first")).groupBy("first").agg(F.min("by").alias("by"))
+    found = _among(v, F.col("key"), met, F.col("key")).join(met, "key").withColumn("by", by).filter(F.col("by") < F.col("first")).groupBy("first").agg(F.min("by").alias("by"))
     # Verify the distance on the words.
     a = lines.select("first", F.col("words").alias("a"))
     b = lines.select(F.col("first").alias("by"), F.col("words").alias("b"))
@@ -145,15 +151,13 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WO
 
     # Documents that lose nothing need not be shuffled.  The caller's columns lie in a struct, where no name can clash.
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    told = held.withColumn("bucket", F.pmod(F.xxhash64("row.doc_id"), F.lit(BUCKETS)))
-    touched = _buckets(per_doc, F.col("of"), BUCKETS)
+    who = F.col("row.doc_id")
     none = F.lit(0).cast("long")
     text = F.col("row.text")
     n_lines = F.when(text.isNull(), none).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     kept = [F.col("row").getField(c).alias(c) for c in docs.columns]
-    plain = told.join(touched, F.col("bucket") == F.col("_b"), "left_anti").select(*kept, *(c.alias(name) for c, name in zip((n_lines, none, none), names, strict=True)))
-    some = told.join(touched, F.col("bucket") == F.col("_b"), "left_semi")
-    joined = some.join(per_doc, F.col("row.doc_id") == F.col("of"), "left")
+    plain = _among(held, who, per_doc, F.col("of"), "left_anti").select(*kept, *(c.alias(name) for c, name in zip((n_lines, none, none), names, strict=True)))
+    joined = _among(held, who, per_doc, F.col("of")).join(per_doc, who == F.col("of"), "left")
     return _rebuilt(joined, docs.columns, names).unionByName(plain)
 
 
