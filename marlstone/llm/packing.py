@@ -100,8 +100,8 @@ def pieces(docs: DataFrame, path: str, pattern: str, window: int = 1024, end: in
         added = _added[path] if added_tokens else {}
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.array([*ids_of(text or "", tool, added), end], "<u4")
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):  # one text at a time as a Python string
+                ids = np.array([*ids_of(text.as_py() or "", tool, added), end], "<u4")
                 first = len(ids) % window or window
                 for k, at in enumerate([0, *range(first, len(ids), window)] if len(ids) > window else [0]):
                     part = ids[at : first + k * window] if len(ids) > window else ids
