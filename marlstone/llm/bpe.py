@@ -37,7 +37,7 @@ CHUNK, AT_ONCE = 30_000, 4 << 20
 
 _ENCODE = """
 WITH RECURSIVE pieces(step, w, ids) AS (
-    SELECT 0, w, list(id ORDER BY pos) FROM piece_bytes GROUP BY w
+    SELECT 0, w, ids FROM piece_lists
   UNION ALL (
     WITH tok AS (SELECT w, unnest(ids) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids, 1) AS pos FROM pieces),
     least AS (SELECT w, min((m.id::BIGINT << 20) + pos) AS key FROM tok JOIN merges m USING (a, b) GROUP BY w)
@@ -45,7 +45,7 @@ WITH RECURSIVE pieces(step, w, ids) AS (
     FROM pieces JOIN least USING (w)
   )
 )
-SELECT w, arg_max(ids, step) AS ids FROM pieces GROUP BY w
+SELECT w, arg_min(ids, len(ids)) AS ids FROM pieces GROUP BY w  -- a round makes one token less
 """
 
 _ENCODE_LONG = """
@@ -65,9 +65,12 @@ SELECT step, pos, id FROM tok WHERE step = (SELECT max(step) FROM tok)
 """
 
 _DECODE = """
-SELECT w, string_agg(id, ',' ORDER BY pos) AS ids, string_agg(v.hexed, '' ORDER BY pos) AS hexed
-FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM id_lists) JOIN vocabulary v USING (id)
-GROUP BY w ORDER BY w
+SELECT w, array_to_string(ids, ',') AS ids, hexed
+FROM id_lists JOIN (
+    SELECT w, string_agg(v.hexed, '' ORDER BY pos) AS hexed
+    FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM id_lists) JOIN vocabulary v USING (id) GROUP BY w
+) USING (w)
+ORDER BY w
 """
 
 
@@ -96,7 +99,7 @@ class Codec:
         short = [k for k, x in enumerate(pieces) if len(x) <= LONG]
         for i in range(0, len(short), CHUNK):
             chosen = short[i : i + CHUNK]
-            self._bytes([pieces[k] for k in chosen])
+            self._lists([pieces[k] for k in chosen])
             self.con.execute(f"CREATE OR REPLACE TABLE id_lists AS {_ENCODE}")
             yield from self._decoded(chosen)
         for k, x in enumerate(pieces):
@@ -112,6 +115,11 @@ class Codec:
                 self.con.execute("CREATE OR REPLACE TABLE id_lists AS SELECT 0 AS w, list(id ORDER BY pos) AS ids FROM tokens")
                 yield from self._decoded([k])
 
+    def _lists(self, pieces: list[bytes]) -> None:
+        ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]))
+        self._table("piece_lists", pa.table({"w": np.arange(len(pieces), dtype=np.int32), "ids": ids}))
+
     def _bytes(self, pieces: list[bytes]) -> None:
         sizes = np.array([len(x) for x in pieces])
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
@@ -166,7 +174,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False)
         tool = codec(path, pattern)
         for batch in batches:
             rows = []
-            for ids, raw in tool.texts([x or "" for x in batch.column(1).to_pylist()]):
+            for ids, raw in tool.texts(batch.column(1).fill_null("").to_pylist()):
                 rows.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), *([[int(x) for x in ids.split(",")] if ids else [], raw] if keep else [])))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 4 + 2 * keep]
