@@ -108,6 +108,37 @@ def test_best_masks(spark, monkeypatch):
     assert {r.query: r.status for r in masks.classified(three).collect()} == {1: "accepted", 2: "review", 3: "review"}
 
 
+def test_masks_beyond_the_first_ones(spark, monkeypatch):
+    monkeypatch.setattr(masks, "FIRST", 5)
+    monkeypatch.setattr(masks, "ROWS", 3)
+    monkeypatch.setattr(masks, "COLUMNS", 7)
+    rng = np.random.default_rng(9)
+    for size, shift in ((8, 4), (11, 2)):
+        x = rng.random((70, size, size)) < rng.choice([0.0, 0.1, 0.4, 0.6], (70, 1, 1))
+        x[20:40] = x[0]
+        names, words = rng.permutation(70), masks.packed(x, size)
+        score = np.round(masks.overlaps(words, words, shift), 9)
+        got = masks.nearest(words, names, words, names, shift, 3)
+        for q in range(70):
+            want = sorted((-score[q, k], names[k]) for k in range(70) if k != q)[:3]
+            assert [(-round(s, 9), n) for n, s in zip(got[0][q], got[1][q], strict=True)] == want
+
+
+def test_masks_of_one_key_are_one_reference(spark):
+    m = {k: square(6, k, k, 3, 3).ravel().tolist() for k in (0, 1)} | {2: square(6, 0, 0, 6, 1).ravel().tolist()}
+    rows = spark.createDataFrame([(0, m[0]), (1, m[0]), (1, m[1]), (1, m[0]), (2, m[2]), (0, m[2])], "id long, m array<boolean>")
+    got = masks.best_overlaps(rows, F.col("id") == 0, "id", "m", 6, 1).collect()
+    assert {(r["query"], r["ref"], r["score"], r["rank"]) for r in got} == {(0, 1, 1.0, 1), (0, 2, 1.0, 2)}
+
+
+def test_few_shifts_of_masks_are_compared(monkeypatch):
+    compared, shared = [], masks.shared
+    monkeypatch.setattr(masks, "shared", lambda a, b: compared.append(len(a) * len(b)) or shared(a, b))
+    words = masks.packed(np.random.default_rng(10).random((4000, 64)) < 0.5, 8)
+    masks.nearest(words[:100], np.arange(100), words, np.arange(4000), 4, 2)
+    assert sum(compared) < 40 * 100 * 4000  # of 81 shifts, those of the first 256 masks included
+
+
 def test_pages_as_rows(spark):
     html = """<!-- <a class="tc-item" href="?id=9"></a> --><ul id=gl><li class="tc-item x" data-s="5"><b class=nm>A &amp; <i>b</i></b><img alt="p"><img alt='q'/><div class="pr">1<div>2</div></div></li>
       <li class="tc-item"><b class="nm">no close<li class="tc-item"><span class="nm">inner</span></li></li><li class="other"><b class="nm">z</b></li></ul><p id="n"> 3 </p><div class="tc-item">outside</div>"""
