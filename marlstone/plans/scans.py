@@ -35,13 +35,14 @@ SELECT o_orderkey, array_to_string(matched, ',') AS matched, gone AS excluded, C
 def catalog_spans(spark, sf):
     """Part names in an order's text, alone, inside other words, and said to be missing; a brand's name stands for all its parts."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" no "), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("set of "), "p_brand").alias("brand"))
-    known = spans.dictionary(p.select("name", "k").unionByName(p.select(F.col("brand").alias("name"), "k")), "name", "k")
+    known = spans.single(p.select("name", "k").unionByName(p.select(F.col("brand").alias("name"), "k")), "name", "k")
     n = p.count()
     name = lambda c: p.select(F.col("k").alias(c), F.col("name").alias(f"{c}_name"), F.col("brand").alias(f"{c}_brand"))
     o = table(spark, sf, "orders").select("o_orderkey", *(F.expr(f"cast(o_orderkey * {f} % {n} + 1 as bigint)").alias(c) for f, c in ((1, "x"), (7, "y"), (13, "z"))))
     o = o.join(name("x"), "x").join(name("y"), "y").join(name("z"), "z")
     text = o.select("o_orderkey", F.concat("x_name", F.lit("｜沒有"), "y_name", F.lit("、Xx"), "z_name", F.lit("yy | "), "x_brand", F.lit("| nothing at all")).alias("text"))
-    groups = tuple(r["term"] for r in known.select("term").filter(F.replace("term", F.lit("#")) == _GROUP).collect())  # one name
+    brands = p.select("brand").distinct().select(spans.form(F.col("brand")).alias("term")).distinct()
+    groups = tuple(r["term"] for r in brands.filter(F.replace("term", F.lit("#")) == _GROUP).collect())  # one name
     found = spans.resolved(spans.spans(text, "o_orderkey", "text", known, groups))
     of = lambda route: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("route") == route, F.col("thing")))), ","), F.lit(""))
     matched = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("route") == "matched", F.col("thing").cast("long")))), lambda k: k.cast("string")), ",")

@@ -54,6 +54,35 @@ def test_names_in_texts(spark, block):
     assert {(r.id, r.place, r.start, r.term, r.route) for r in got.collect()} == brute_spans(texts, names, groups)
 
 
+def test_texts_are_read_once_for_any_number_of_names(spark):
+    names = spark.createDataFrame([(f"name {k}", k) for k in range(100)], "name string, item int")
+    text = spark.createDataFrame([(1, "xname12y")], "id int, text string")
+    got = spans.spans(text, "id", "text", spans.dictionary(names, "name", "item"), block=7)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r.start, r.term, r["items"]) for r in got.collect()] == [(1, "name12", [12])]
+
+
+def test_names_without_their_items(spark):
+    rows = [("many things", k) for k in range(3000)] + [("one thing", 5), ("One-Thing", 5), ("x", 6), ("generic", 7), ("none", None)]
+    names = spark.createDataFrame(rows, "name string, item int")
+    text = spark.createDataFrame([(1, "many things, one thing!, amanythings, generic"), (2, None), (3, " , ")], "id int, text string")
+    known = [f(names, "name", "item", ("generic",)) for f in (spans.single, spans.dictionary)]
+    assert {tuple(r) for r in known[0].collect()} == {("manythings", None), ("onething", 5)}
+    got = [spans.spans(text, "id", "text", k, ("manythings",)) for k in known]
+    assert "items" not in got[0].columns
+    told = [{(r.place, r.start, r.term, r.item, r.route) for r in g.collect()} for g in got]
+    assert told[0] == told[1] == {(0, -1, "manythings", None, "group"), (1, -1, "onething", 5, "matched"), (2, 1, "manythings", None, "group"), (3, None, None, None, "unmatched")}
+
+
+def test_form_of_a_text_is_that_of_its_pieces(spark):
+    names = [("cat", 1), ("ΑΣ", 2), ("é", 3), ("a,b", 4), ("貓貓貓", 5), ("verylongnameofathing", 6), ("verylong", 7), ("verylongnameofathings", 8)]
+    texts = ["ΑΣ\nβ|ΑΣ", "e\u0301x|e|\u0301e", "a︐b", "ｃａｔ\xa0ｓ，x c.a-t", "q貓貓貓貓|~~|貓", "verylongnameofathing verylongnamesverylongnameofathings", "  | \t|-cat-"]
+    known = spans.dictionary(spark.createDataFrame(names, "name string, item int"), "name", "item")
+    got = spans.spans(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), "id", "text", known, block=1)
+    assert {(r.id, r.place, r.start, r.term, r.route) for r in got.collect() if r.id < 6} == brute_spans(list(enumerate(texts[:6])), names, ())
+    assert [(r.place, r.start, r.term) for r in got.filter("id = 6").collect()] == [(1, -1, "cat")]  # the tab counts as a piece that has nothing left
+
+
 def test_one_row_for_each_item(spark):
     names = spark.createDataFrame([("藍色帽子", 7), ("護士帽", 7), ("白鳥", 8), ("白鳥", 9)], "name string, item int")
     text = spark.createDataFrame([(1, "我的護士帽｜藍色帽子｜護士帽很好｜白鳥｜沒有護士帽")], "id int, text string")
